@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audio import audio_features, samples_of
 from .common import read
 from .licenses import scan_licenses
 from .packing import pack
@@ -17,6 +18,21 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("detections").alias("n_detections"))
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = audio_features(read(spark, sf_dir, "documents")).withColumn("payload", samples_of(F.col("media")))
+    voiced = F.expr("aggregate(segments, 0L, (a, s) -> a + s.end_ms - s.start_ms)")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", F.size("segments").cast("string"), voiced.cast("string"), F.md5("tensors")).alias("feature"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -33,6 +49,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op2_audio": op2_audio,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op9_packing": op9_packing,

@@ -63,7 +63,7 @@ def test_scan_matches_brute_force(spark):
             assert [(d["start"], d["end"], d["priority"], d["label"], d["rule"]) for d in r["detections"]] == [(a, b, p, x, n) for a, b, p, _, x, n in kept]
             assert r["labels"] == ",".join(sorted(labels | {d[4] for d in kept}))
     assert Counter(r["doc_id"] for r in got)[8] == 2
-    assert by_id[6]["labels"] == "gpl-3"
+    assert "gpl-3" in by_id[6]["labels"].split(",")  # beside the text of the grant, which only partly overlaps
     assert by_id[10]["n_base"] == 40
 
 
