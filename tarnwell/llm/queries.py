@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .audio import audio_features, samples_of
-from .common import read
+from .common import cut, read
 from .licenses import scan_licenses
 from .packing import pack
+from .quality_rules import judge, learn_rules, measure
 from .sharding import shard_slots
 from .simhash import near_duplicates
 
@@ -33,6 +34,12 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = cut(measure(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    found = judge(measured, learn_rules(measured, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -50,6 +57,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_audio": op2_audio,
+    "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op9_packing": op9_packing,
