@@ -52,6 +52,23 @@ class Condition:
 Rule = tuple[Condition, ...]
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to ``value``, which is computed once however often ``body`` is inlined."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _repeat_words(words: str) -> str:
+    """SQL: how many words lie in three-word windows that occur twice or more.
+
+    Windows are sorted by their hash, so equal ones are neighbours; the places of those cover up to three words each.
+    """
+    hashes = f"CASE WHEN size({words}) >= 3 THEN transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2])) ELSE cast(array() AS array<bigint>) END"
+    places = "sort_array(transform(filter(e, (s, j) -> coalesce(s.x = get(e, j - 1).x, false) OR coalesce(s.x = get(e, j + 1).x, false)), s -> s.i))"
+    covered = "aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1), x + 3) - x)), 0, (a, x) -> a + x)"
+    found = _let("e", "sort_array(transform(h, (x, i) -> struct(x AS x, i AS i)))", _let("p", places, covered))
+    return _let("h", hashes, f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0 ELSE {found} END")
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts (long), base_failed and MEASURES; columns of these names are replaced.
 
@@ -61,9 +78,6 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     # F.col, so that a name with odd characters stays a name
     rows = docs.drop(*[n for n in names if n != text]).withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     rows = rows.withColumns({"_w": F.expr(f"array_remove(split(_text, {_WORD_BREAK}), '')"), "_l": F.expr(rf"filter(split(_text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')")})
-    rows = rows.withColumn("_h", F.expr("CASE WHEN size(_w) >= 3 THEN transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) ELSE cast(array() AS array<bigint>) END"))
-    rows = rows.withColumn("_e", F.expr("CASE WHEN size(array_distinct(_h)) < size(_h) THEN sort_array(transform(_h, (x, i) -> struct(x AS x, i AS i))) ELSE cast(array() AS array<struct<x:bigint,i:int>>) END"))
-    rows = rows.withColumn("_p", F.expr("sort_array(transform(filter(_e, (s, j) -> coalesce(s.x = get(_e, j - 1).x, false) OR coalesce(s.x = get(_e, j + 1).x, false)), s -> s.i))"))
     without = lambda chars: F.length(F.regexp_replace("_text", chars, "")).cast("long")
     size = F.length("_text").cast("long")
     rows = rows.select(
@@ -72,7 +86,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         without(r"[\x20\x09-\x0D]").alias("word_chars"),
         (size - without(r"[#*$%&|<>]")).alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.expr("cast(aggregate(transform(_p, (x, j) -> least(3, coalesce(get(_p, j + 1), x + 3) - x)), 0, (a, x) -> a + x) AS bigint)").alias("n_repeat_words"),
+        F.expr(f"cast({_repeat_words('_w')} AS bigint)").alias("n_repeat_words"),
         F.size("_l").alias("_lines"),
         F.size(F.array_distinct("_w")).alias("_distinct"),
         (size - without("[A-Z]")).alias("_upper"),
@@ -209,7 +223,9 @@ def judge(measured: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that pass the base rule and the rules learned from ``labels``."""
-    plain = docs.select("doc_id", "text")
-    rules = learn_rules(measure(plain).drop("text"), labels)
+    measured = cut(measure(docs.select("doc_id", "text")).drop("text"))
+    rules = learn_rules(measured, labels)
     inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_source"))  # so that no column clashes
-    return judge(measure(inner, "_source"), rules).where("kept").select("_row.*")
+    judged = judge(measure(inner, "_source"), rules)
+    # The number keeps the optimizer from repeating all measures inside a filter pushed below them.
+    return judged.withColumn("_at", F.monotonically_increasing_id()).where("kept AND _at >= 0").select("_row.*")

@@ -65,7 +65,7 @@ def test_learned_list_separates_and_keeps_clean_texts(spark):
     known = spark.createDataFrame([*labels, (9999, 1), (1, None)], "doc_id long, quality int")
     rules = q.learn_rules(q.measure(docs), known)
     assert rules and all(len(r) <= q.MAX_CONDITIONS for r in rules)
-    kept = {r["doc_id"] for r in q.keep_good(docs, known).select("doc_id").collect()}
+    kept = {r["doc_id"] for r in q.keep_good(docs, known).collect()}
     good = {i for i, y in labels if y}
     assert kept <= good and len(kept) > 0.99 * len(good)
     assert q.keep_good(docs, known).columns == docs.columns
