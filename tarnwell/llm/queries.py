@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .audio import audio_features, samples_of
 from .common import cut, read
 from .licenses import scan_licenses
+from .mixing import mix
 from .packing import pack
 from .quality_rules import judge, learn_rules, measure
 from .sharding import shard_slots
@@ -40,6 +41,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(read(spark, sf_dir, "documents"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -58,6 +64,7 @@ QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_audio": op2_audio,
     "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op9_packing": op9_packing,
