@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import crf
 from .audio import audio_features, samples_of
 from .common import cut, read
 from .licenses import scan_licenses
@@ -56,6 +57,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = crf.score(docs, crf.learn(docs, read(spark, sf_dir, "labels")))
+    return found.select("doc_id", crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
@@ -67,6 +74,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
+    "op8_classifier": op8_classifier,
     "op9_packing": op9_packing,
 }
 #: None of these can be said in DuckDB's SQL whole (hash functions, learned models, tokenizers): tests/llm holds them
