@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: What the contracts call white space between words.
-SPACES = r"\x20\x09-\x0D"
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows that a Python step turns from Arrow into objects at once.
 SLICE_ROWS = 256
 
@@ -20,21 +18,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, so that what follows neither repeats nor loses it.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is made.
-    """
-    context = df.sparkSession.sparkContext
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarnwell-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwell-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
-def ascii_lower(column):
-    """Lower-cases A-Z and leaves every other character."""
-    return F.translate(column, UPPER, UPPER.lower())
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, so that what follows neither repeats nor loses it."""
+    _shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def gapless(df: DataFrame, group: str, name: str) -> DataFrame:
@@ -66,3 +61,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def store(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to a new folder in the shared checkpoint folder, and read again."""
+    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
