@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import crf
 from .audio import audio_features, samples_of
 from .common import cut, read
+from .html_text import extract
 from .licenses import scan_licenses
 from .mixing import mix
 from .packing import pack
@@ -67,6 +68,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_audio": op2_audio,
@@ -76,6 +81,7 @@ QUERIES = {
     "op7_sharding": op7_sharding,
     "op8_classifier": op8_classifier,
     "op9_packing": op9_packing,
+    "op10_html": op10_html,
 }
 #: None of these can be said in DuckDB's SQL whole (hash functions, learned models, tokenizers): tests/llm holds them
 #: against brute-force versions instead.
