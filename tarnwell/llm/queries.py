@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf
+from . import crf, lm
 from .audio import audio_features, samples_of
 from .common import cut, read
 from .html_text import extract
@@ -48,6 +48,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "kept")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -77,6 +81,7 @@ QUERIES = {
     "op2_audio": op2_audio,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_classifier": op8_classifier,
