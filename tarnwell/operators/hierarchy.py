@@ -114,8 +114,8 @@ def _above(rows: DataFrame) -> DataFrame:
 
 def nearest_parents(pages: DataFrame, index: DataFrame) -> DataFrame:
     """For each of ``pages`` (path): the id of the nearest directory above it that ``index`` (directory, id) knows."""
-    own = F.regexp_replace("path", "[^/]*$", "")
-    candidates = _above(pages).where(F.concat("directory", F.lit("/")) != F.concat_ws("", own, F.regexp_extract("path", r"([^/]*)\.md$", 1), F.lit("/")))
+    # a directory's own index page looks further up
+    candidates = _above(pages).where(F.col("path") != F.concat("directory", F.lit("/"), F.element_at(F.split("directory", "/"), -1), F.lit(".md")))
     found = candidates.join(index, "directory").groupBy("path").agg(F.max_by("id", F.length("directory")).alias("parent"))
     return pages.select("path").join(found, "path", "left").select("path", F.coalesce("parent", F.lit("")).alias("parent"))
 
