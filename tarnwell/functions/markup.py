@@ -281,3 +281,51 @@ parse_links = arrow(LINKS)(links)
 parse_media = arrow("array<struct<id:string,file:string>>")(media_references)
 parse_diagram = arrow("string")(diagram)
 parse_stems = arrow("array<string>")(stems)
+
+
+def format_document(fm: dict, body: str) -> str:
+    """A document's text from its fields: empty fields, the state 'current' and managed keys of extra are left out."""
+    lines = ["---"]
+    for key in ("id", "title", "version", "state", "status", "labels", "created_by", "created_at", "updated_by", "updated_at"):
+        value = fm.get(key)
+        if key == "labels":
+            value = sorted({x.strip().lower() for x in value or [] if x.strip()})
+        if value in (None, "", []) or key == "state" and str(value).strip().lower() == "current" or key == "version" and not value:
+            continue
+        lines.append(f"{key}: {json.dumps(value, ensure_ascii=False) if isinstance(value, str) else '[' + ', '.join(value) + ']' if isinstance(value, list) else value}")
+    lines += [f"{k}: {v}" for k, v in sorted(dict(fm.get("extra") or {}).items()) if k not in _MANAGED]
+    return "\n".join([*lines, "---", body])
+
+
+_ESCAPED_LINK = re.compile(r"\\\[([^\]\n]+?)\\\]\\\(([^)\n]+?)\\\)")
+_FENCES = re.compile(r"(?ms)^(?:```|~~~).*?^(?:```|~~~)[ \t]*$|`[^`\n]+`")
+
+
+def outside_code(body: str, change) -> str:
+    """``body`` with ``change`` applied to the stretches that are neither fenced nor code spans."""
+    out, at = [], 0
+    for m in _FENCES.finditer(body):
+        out += [change(body[at : m.start()]), m[0]]
+        at = m.end()
+    return "".join([*out, change(body[at:])])
+
+
+def unescape_links(body: str) -> str:
+    """Escaped inline links and parentheses as plain ones, outside code; date guards go."""
+    plain = lambda s: re.sub(r"\\([\\\[\]()_*])", r"\1", s).strip()
+
+    def link(m: re.Match) -> str:
+        label, target = plain(m[1]), plain(m[2])
+        fits = label and target and (re.match(r"(?i)https?://|mailto:|#|/|\.{0,2}/", target) or target.lower().split("#")[0].endswith(".md"))
+        return f"[{label}]({target})" if fits else m[0]
+
+    return outside_code(body.replace("\u200b", "").replace("\u2060", ""), lambda s: re.sub(r"\\([()])", r"\1", _ESCAPED_LINK.sub(link, s)))
+
+
+def guard_dates(body: str) -> str:
+    """A zero-width mark inside literal ISO dates outside code, so that they are not read as date nodes."""
+    return outside_code(body, lambda s: re.sub(r"\b(\d{4})-(\d{2}-\d{2})\b", "\\1-\u2060\\2", s))
+
+
+parse_unescaped = arrow("string")(unescape_links)
+parse_guarded = arrow("string")(guard_dates)

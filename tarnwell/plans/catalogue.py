@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import markup, text
-from tarnwell.operators import changes, hierarchy, links, lint, search
+from tarnwell.operators import changes, hierarchy, links, lint, planning, search
 from tarnwell.operators.search import SearchOptions
 from tarnwell.sources import workspace as ws
 
@@ -608,6 +608,105 @@ def metadata_drift(spark, sf_dir):
     return lint.metadata_drift(rows).select("page_id", F.array_join("drift", ",").alias("drift"))
 
 
+# Plans
+
+
+def _assets(spark, sf_dir, rest: str = "true"):
+    i = F.col("page_id")
+    rows = ws.table(spark, sf_dir, "pages").where(rest)
+    owner = (i % 40).cast("string")
+    return rows.select(owner.alias("page_id"), F.concat(F.lit("a"), i.cast("string")).alias("attachment_id"), F.concat(F.lit("assets/"), owner, F.lit("/a"), i.cast("string"), F.lit(".png")).alias("path"))
+
+
+@register("SELECT 'assets/' || (page_id % 40) || '/a' || page_id || '.png' AS path FROM pages WHERE (page_id % 40) % 2 = 0 AND page_id % 3 <> 0")
+def stale_attachments(spark, sf_dir):
+    every = _assets(spark, sf_dir)
+    return planning.stale_attachments(every.select("path", "attachment_id"), _assets(spark, sf_dir, "page_id % 3 = 0"), every.where("page_id % 2 = 0"))
+
+
+@register("""WITH a AS (SELECT page_id AS i, (page_id % 40)::VARCHAR AS o, 'assets/' || (page_id % 40) || '/a' || page_id || '.png' AS path FROM pages),
+c AS (SELECT DISTINCT 'p' || o || '.md' AS path, CASE WHEN o::INT % 5 = 0 THEN '' ELSE o END AS page_id, o FROM a WHERE o::INT < 20)
+SELECT 'upload' AS action, a.path FROM a JOIN c ON a.o = c.o WHERE c.page_id <> '' AND i % 3 = 0 AND i % 4 <> 0
+UNION ALL SELECT 'upload', 'x/a' || i || '.png (new page: ' || c.path || ')' FROM a JOIN c ON a.o = c.o WHERE c.page_id = '' AND i % 3 = 0
+UNION ALL SELECT 'delete', a.path FROM a JOIN c ON a.o = c.o WHERE c.page_id <> '' AND i % 4 = 0 AND i % 3 <> 0""")
+def attachment_plan(spark, sf_dir):
+    every = _assets(spark, sf_dir)
+    page = F.concat(F.lit("p"), "page_id", F.lit(".md"))
+    changed = every.where("page_id < 20").select(page.alias("path"), F.when(F.col("page_id") % 5 == 0, "").otherwise(F.col("page_id")).alias("page_id")).distinct()
+    used = _assets(spark, sf_dir, "page_id % 3 = 0").select(page.alias("path"), F.concat(F.lit("x/"), "attachment_id", F.lit(".png")).alias("asset"))
+    return planning.attachment_plan(changed, used, _assets(spark, sf_dir, "page_id % 4 = 0").select("path", "attachment_id"))
+
+
+@register("""WITH p AS (SELECT n_nationkey AS page_id, ['Rough', ' done ', 'Open', 'else', ''][(n_nationkey % 5 + 1)::INTEGER] AS status FROM nation)
+SELECT page_id, status, CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN 1 WHEN page_id % 5 IN (0, 1) THEN 2 WHEN page_id % 5 = 2 THEN 3 END AS state_id,
+  CASE WHEN page_id % 5 = 0 AND page_id % 2 = 0 THEN 'page' WHEN page_id % 5 IN (0, 1) THEN 'space' WHEN page_id % 5 = 2 THEN 'global' ELSE 'unresolved' END AS how FROM p WHERE status <> ''""")
+def content_states(spark, sf_dir):
+    names = F.array(*[F.lit(s) for s in ("Rough", " done ", "Open", "else", "")])
+    pages = ws.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page_id"), F.get(names, F.col("n_nationkey") % 5).alias("status"))
+    own = pages.where("page_id % 2 = 0").select("page_id", F.lit("rough").alias("name"), F.lit(1).alias("state_id"))
+    catalog = lambda *rows: spark.createDataFrame(rows, "name string, state_id int")
+    return planning.content_states(pages, own, catalog(("Rough", 2), ("DONE", 2)), catalog(("open", 3), ("done", 9)))
+
+
+@register("SELECT split_part(tag, '/', 3) AS space, arg_max(tag, (string_split(tag, '/')[-1], tag)) AS tag FROM (SELECT CASE WHEN event_id % 9 = 0 THEN 'sync/bad/' || user_id ELSE CASE WHEN event_id % 2 = 0 THEN 'sync/pull/S' ELSE 'sync/push/S' END || (user_id % 7) || '/' || strftime(ts, '%Y%m%d%H%M%S') END AS tag FROM events) WHERE len(string_split(tag, '/')) >= 4 GROUP BY 1")
+def baseline_tags(spark, sf_dir):
+    i, u = F.col("event_id"), F.col("user_id")
+    good = F.concat(F.when(i % 2 == 0, "sync/pull/S").otherwise("sync/push/S"), (u % 7).cast("string"), F.lit("/"), F.date_format("ts", "yyyyMMddHHmmss"))
+    return planning.baseline(ws.table(spark, sf_dir, "events").select(F.when(i % 9 == 0, F.concat(F.lit("sync/bad/"), u.cast("string"))).otherwise(good).alias("tag")))
+
+
+@register("SELECT s_suppkey AS page_id, 'u' || (s_suppkey % 30) AS author, CASE WHEN s_suppkey % 30 < 25 AND s_suppkey % 30 % 4 <> 0 THEN n_name ELSE 'u' || (s_suppkey % 30) END AS display_name FROM supplier LEFT JOIN nation ON n_nationkey = s_suppkey % 30")
+def display_names(spark, sf_dir):
+    users = ws.table(spark, sf_dir, "nation").select(F.concat(F.lit("u"), F.col("n_nationkey").cast("string")).alias("user_id"), F.when(F.col("n_nationkey") % 4 == 0, " ").otherwise(F.col("n_name")).alias("display_name"))
+    pages = ws.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_id"), F.concat(F.lit("u"), (F.col("s_suppkey") % 30).cast("string")).alias("author"))
+    return planning.display_names(pages, users, "author")
+
+
+@register("SELECT 'f' || c_custkey AS file_id, coalesce((SELECT max('a' || s_suppkey) FROM supplier WHERE s_suppkey % 50 = c_custkey), 'f' || c_custkey) AS attachment_id FROM customer WHERE c_custkey <= 100")
+def media_by_file(spark, sf_dir):
+    key = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    attachments = ws.table(spark, sf_dir, "supplier").select(key("f", F.col("s_suppkey") % 50).alias("file_id"), key("a", F.col("s_suppkey")).alias("attachment_id"))
+    return planning.media_by_file(ws.table(spark, sf_dir, "customer").where("c_custkey <= 100").select(key("f", F.col("c_custkey")).alias("file_id")), attachments)
+
+
+@register(f"WITH {_FEED} SELECT 'p/' || l.page_id || '.md' AS path, CASE WHEN r.page_id IS NULL THEN 'missing' WHEN r.page_id % 8 = 0 THEN 'archived' ELSE 'remote_ahead' END AS error FROM local l LEFT JOIN (SELECT * FROM remote WHERE page_id % 10 <> 0) r ON l.page_id = r.page_id WHERE l.page_id % 6 <> 0 AND (r.page_id IS NULL OR r.page_id % 8 = 0 OR r.version > l.version)")
+def push_conflicts(spark, sf_dir):
+    _, remote, local = _feed(spark, sf_dir)
+    i = F.col("page_id")
+    code = F.when(i % 6 == 0, "D").otherwise("M")
+    changed = local.select(F.concat(F.lit("p/"), i.cast("string"), F.lit(".md")).alias("path"), code.alias("code"), i.cast("string").alias("page_id"), "version")
+    there = remote.where("page_id % 10 <> 0").select(i.cast("string").alias("page_id"), F.when(i % 8 == 0, " Archived").otherwise("current").alias("status"), "version")
+    return planning.push_conflicts(changed, there)
+
+
+@register("SELECT event_type AS capability, CASE WHEN bool_or(user_id % 150 = 149 AND event_type <> 'view') THEN 'degraded' ELSE 'full' END AS mode FROM events GROUP BY 1")
+def capability_modes(spark, sf_dir):
+    answer = F.when((F.col("user_id") % 150 == 149) & (F.col("event_type") != "view"), 405).otherwise(500)
+    return planning.capability_modes(ws.table(spark, sf_dir, "events").select(F.col("event_type").alias("capability"), answer.alias("status")))
+
+
+@register("SELECT user_id AS run, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS modes FROM events WHERE event_type <> 'click' GROUP BY 1")
+def fallback_modes(spark, sf_dir):
+    rows = ws.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.when(F.col("event_type") != "click", F.col("event_type")).alias("mode"))
+    return planning.fallback_modes(rows)
+
+
+@register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE (event_id % 4)::INTEGER END AS nodes FROM events")
+def top_level_nodes(spark, sf_dir):
+    nodes = F.array_join(F.array_repeat(F.lit('{"type":"paragraph"}'), (F.col("event_id") % 4).cast("int")), ",")
+    body = F.when(F.col("event_id") % 3 == 0, F.col("props")).otherwise(F.concat(F.lit('{"type":"doc","content":['), nodes, F.lit("]}")))
+    return ws.table(spark, sf_dir, "events").select("event_id", planning.top_level_nodes(body).alias("nodes"))
+
+
+@register(f"""WITH {_PATHS} SELECT p.path, CASE WHEN p.path LIKE 'ASIA/%' THEN 'asia' ELSE '' END AS parent, regexp_replace(p.path, '[^/]*$', '') || 'New-' || p.page_id || '.md' AS target, 2 * count(*) AS uploads
+FROM (SELECT path, min(page_id) AS page_id FROM page_paths WHERE page_id LIKE 's%' GROUP BY path) p GROUP BY p.path, p.page_id""")
+def create_preview(spark, sf_dir):
+    planned = hierarchy.planned_paths(ws.nodes(spark, sf_dir)).where("page_id LIKE 's%'").groupBy("path").agg(F.min("page_id").alias("page_id"))
+    pages = planned.select("path", F.concat(F.lit("New "), "page_id").alias("title"))
+    index = spark.createDataFrame([("ASIA", "asia")], "directory string, id string")
+    return planning.create_preview(pages, index, pages.select("path").unionAll(pages.select("path")))
+
+
 # Incremental maintenance
 
 
