@@ -64,6 +64,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, "doc_id long, text_hash long, print long")
 
 
+def _spread(prints: DataFrame) -> DataFrame:
+    """``prints`` over all shuffle partitions: they are few bytes each, but every one becomes 64 rows."""
+    return prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _variants(prints: DataFrame) -> DataFrame:
     """Each fingerprint under 64 keys: which segment, which wildcard bit, and the segment without that bit."""
     low, high = "print & 4294967295L", "shiftrightunsigned(print, 32)"
@@ -78,13 +83,16 @@ def _centres(prints: DataFrame) -> DataFrame:
 
 def links(prints: DataFrame) -> DataFrame:
     """Pairs a, b of the distinct fingerprints ``prints`` that connect all that lie within two bits (not every such pair)."""
+    prints = _spread(prints)
     held = _variants(prints).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a"), F.max("print").alias("b")).where("n > 1")
     held = cut(held)
     pairs = held.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE).select("a", "b")
-    crowded = _variants(prints).join(held.where("n > 2").select("key"), "key", "left_semi").select("print").distinct()
-    around = _centres(cut(crowded))
+    busy = held.where("n > 2").select("key").hint("shuffle_hash")  # grows with the input: never sent to every executor
+    crowded = _variants(prints).join(busy, "key", "left_semi").select("print").distinct()
+    around = _centres(_spread(cut(crowded)))
     met = around.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a")).where("n > 1").select("centre", "a")
-    stars = around.join(met, "centre").select("a", F.col("print").alias("b")).where("a <> b")
+    # Spark takes the 65-fold rows of `around` for as few as the prints, and would broadcast them
+    stars = around.join(met.hint("shuffle_hash"), "centre").select("a", F.col("print").alias("b")).where("a <> b")
     return pairs.unionByName(stars).distinct()
 
 
