@@ -6,6 +6,7 @@ import base64
 import json
 import re
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -218,6 +219,7 @@ _STEP3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", n
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+@lru_cache(maxsize=1 << 17)
 def stem(w: str) -> str:
     """Porter's stem of a lower-case English word."""
     if len(w) <= 2 or not w.isascii():
