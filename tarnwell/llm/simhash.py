@@ -9,6 +9,9 @@ aggregate. Fingerprints of variants with more holders would give pairs as the sq
 exactly by the centres between them instead: two fingerprints are within two bits if and only if some 64-bit value lies
 within one bit of both, and all fingerprints within one bit of the same centre are within two of each other. So each is
 listed under its 65 centres and tied to the least fingerprint of each centre: stars, no pairs.
+
+near_duplicates() works on these links. keep_one() goes by similarity instead, which fingerprints of 64 bits tell too
+roughly: near_copies() takes candidates from minimum hashes in bands and verifies each on the whole sets of shingles.
 """
 
 from __future__ import annotations
@@ -27,6 +30,16 @@ SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 2
 
+#: Near copies: texts whose sets of five-word shingles share 4 of 5 at least. A pair at just that similarity shares none
+#: of the BANDS keys with a probability of (1 - 0.8 ** BAND_ROWS) ** BANDS = 7e-5.
+COPY_WORDS, ALIKE = 5, (4, 5)
+BANDS, BAND_ROWS = 24, 5
+#: Most holders of a key that are all compared at once.
+BUCKET = 8
+_random = np.random.default_rng(SEED)
+_MASKS = _random.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
+_FACTORS = _random.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
+
 
 def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> bytes:
     """Eight bytes, most significant bit first; all zero for a text without words."""
@@ -130,9 +143,102 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return rows.join(grouped.join(ids, "group").select("print", "group", "component_id"), "print")
 
 
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted distinct hashes of a text's runs of COPY_WORDS words; of all its words, if there are fewer; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_digest
+    runs = range(max(1, len(words) - COPY_WORDS + 1))
+    return np.unique(np.frombuffer(b"".join([digest(b" ".join(words[k : k + COPY_WORDS]), SEED) for k in runs]), np.uint64))
+
+
+def _band_keys(shingles: np.ndarray) -> list[int]:
+    """BANDS numbers, each of BAND_ROWS least values of the set under as many hash functions; none for an empty set."""
+    if not len(shingles):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), 1024):
+        np.minimum(least, ((shingles[at : at + 1024, None] ^ _MASKS) * _FACTORS).min(axis=0), out=least)
+    values = least.tobytes()
+    width = 8 * BAND_ROWS
+    return [xxhash.xxh64_intdigest(values[k * width : (k + 1) * width], k) - (1 << 63) for k in range(BANDS)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = [shingle_set(t) for t in as_bytes(batch.column(2))]
+        names = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
+        keys = pa.array([_band_keys(s) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, keys], ["doc_id", "text_hash", "print", "keys"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        sets = pa.array([shingle_set(t).tobytes() for t in as_bytes(batch.column(1))], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["print", "shingles"])
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the similarity (shared of all) of two sets is ALIKE at least."""
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared * ALIKE[1] >= ALIKE[0] * (len(a) + len(b) - shared)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array([alike(a, b) for a, b in zip(left, right, strict=True)], pa.bool_()))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are alike."""
+    right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("sb"))
+    left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("sa"))
+    return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"))
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, print (of the text's set of shingles), group and component_id for every row of ``docs``.
+
+    Rows whose sets are alike, directly or through others, form a group. Candidates share a band key; every link is
+    verified on the whole sets. Of a key with more than BUCKET holders, all are first compared with the least, then all
+    pairs that are not in one group by then. Texts without words are copies of each other.
+    """
+    numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = cut(numbered.mapInArrow(_sketches, "doc_id long, text_hash long, print long, keys array<long>"))
+    prints = cut(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.min(F.struct("text_hash", "doc_id")).alias("row")))
+    index = prints.select(F.explode("keys").alias("key"), "print")
+    held = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a")).where("n > 1")
+    index = cut(index.join(held.hint("shuffle_hash"), "key"))
+    few = index.where(f"n <= {BUCKET}")
+    pairs = few.select("key", F.col("print").alias("b")).join(few.select("key", F.col("print").alias("a")), "key").where("a < b").select("a", "b")
+    pairs = pairs.unionByName(index.where(f"n > {BUCKET} AND a <> print").select("a", F.col("print").alias("b")))
+    pairs = cut(pairs.distinct())
+    wanted = prints.join(index.select("print").distinct(), "print", "left_semi").select("print", F.col("row.text_hash").alias("_hash"), F.col("row.doc_id").alias("_id"))
+    texts = numbered.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    sets = cut(texts.select("print", "text").mapInArrow(_sets, "print long, shingles binary").dropDuplicates(["print"]))
+    edges = _verified(pairs, sets)
+    labels = components(edges)
+    group = F.coalesce("label", "print").alias("group")
+    many = cut(index.where(f"n > {BUCKET}").join(labels, F.col("print") == F.col("node"), "left").select("key", "print", group))
+    split = many.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
+    many = cut(many.join(split, "key", "left_semi"))
+    left = many.select("key", F.col("print").alias("a"), F.col("group").alias("x"))
+    right = many.select("key", F.col("print").alias("b"), F.col("group").alias("y"))
+    more = left.join(right, "key").where("a < b AND x <> y").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = _verified(more, sets)
+    if more.limit(1).count():
+        labels = components(edges.unionByName(more))
+    grouped = cut(prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least", group))
+    ids = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
+    return rows.drop("keys").join(grouped.join(ids, "group").select("print", "group", "component_id"), "print")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group: the row of the least id, one if it is repeated."""
-    found = near_duplicates(docs)
+    """The rows of ``docs``, all columns, that stand for their group of near copies: the row of the least id, one if it is
+    repeated."""
+    found = near_copies(docs)
     chosen = cut(found.where("doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("it"), F.count(F.lit(1)).alias("n")))
     ids = chosen.select(F.col("it.doc_id").alias("_id"), F.col("it.text_hash").alias("_hash"))
     kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")

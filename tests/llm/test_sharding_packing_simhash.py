@@ -112,6 +112,37 @@ def test_keep_one(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_keep_one_drops_copies_with_edits(spark):
+    random = np.random.default_rng(8)
+    rows = []
+    for k in range(30):
+        words = [f"w{x}" for x in random.integers(0, 5000, 120)]
+        rows.append((10 * k, " ".join(words)))
+        words[60] = "edited"
+        rows.append((10 * k + 1, " ".join(words)))  # shares 111 of 121 shingles
+        rows.append((10 * k + 2, " ".join(words[:30] + [f"x{x}" for x in random.integers(0, 5000, 90)])))
+    base = [f"h{x}" for x in random.integers(0, 5000, 100)]
+    for k in range(40):  # a key with more holders than BUCKET
+        words = list(base)
+        for at in random.integers(0, 100, 1 + k % 3):
+            words[at] = f"e{k}"
+        rows.append((1000 + k, " ".join(words)))
+    sets = [(i, simhash.shingle_set(t.encode())) for i, t in rows]
+    parent = {i: i for i, _ in rows}
+
+    def top(x):
+        return x if parent[x] == x else top(parent[x])
+
+    for n, (i, a) in enumerate(sets):
+        for j, b in sets[:n]:
+            shared = len({*a.tolist()} & {*b.tolist()})
+            if shared / (len(a) + len(b) - shared) >= 0.8:
+                parent[max(top(i), top(j))] = min(top(i), top(j))
+    kept = sorted(r["doc_id"] for r in simhash.keep_one(table(spark, rows)).collect())
+    assert kept == sorted({top(i) for i, _ in rows})
+    assert not {10 * k + 1 for k in range(30)} & set(kept) and {10 * k + 2 for k in range(30)} <= set(kept)
+
+
 def test_empty_tables(spark):
     empty = table(spark, []).limit(0)
     assert simhash.near_duplicates(empty).count() == 0
