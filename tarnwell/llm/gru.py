@@ -213,15 +213,18 @@ def train(model: dict, shape: Shape, texts: list[np.ndarray], epochs: int = 1) -
         order = sorted(random.permutation(len(texts)).tolist(), key=lambda i: len(texts[i]))  # like lengths side by side
         for low in random.permutation(range(0, len(order), TRAIN_LANES)).tolist():
             lanes = [texts[i] for i in order[low : low + TRAIN_LANES]]
-            longest = max(map(len, lanes))
+            lengths = np.array([len(t) for t in lanes])  # they rise
+            longest = lengths[-1]
             words, mask = np.zeros((longest, len(lanes)), np.int32), np.zeros((longest, len(lanes)), bool)
             for k, t in enumerate(lanes):
                 words[: len(t), k], mask[: len(t), k] = t, True
             h, before = np.zeros((len(lanes), STATE), np.float32), np.full(len(lanes), END, np.int32)
+            ended = 0
             for at in range(0, longest, WINDOW):
-                part = slice(at, at + WINDOW)
-                if not mask[part].any():
-                    break
+                still = np.searchsorted(lengths, at, "right") - ended  # lanes from here on go on
+                ended += still
+                h, before = h[still:], before[still:]
+                part = slice(at, at + WINDOW), slice(ended, None)
                 slopes, h, _ = gradients(model, shape, words[part], before, h, mask[part])
                 before = words[part][-1]
                 scale = 1.0 / mask[part].sum() * TRAIN_LANES

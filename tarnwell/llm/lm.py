@@ -3,7 +3,7 @@
 1. Counts: every training text's words are counted on the executors; the table (word, count) is never brought together.
 2. The most frequent words, HOT at most, go to the executors with their counts; the first VOCABULARY of them are the
    recurrent model's words, all others are one unknown word to it.
-3. Training: every training text gives one in TRAIN_ONE_IN of its stretches of TRAIN_STRETCH tokens, all along the text.
+3. Training: every training text gives one in TRAIN_ONE_IN of its stretches of TRAIN_STRETCH tokens: all, in text order.
    Each partition trains from the same start on its own texts; the models are averaged by their tokens in streams of
    blocks, ROUNDS times. What is read and learned grows with the corpus.
 4. Scoring: the state runs through the whole text. A word outside the model's vocabulary has the probability of the
@@ -28,7 +28,7 @@ from .common import as_bytes, cut, slices
 #: Rows of crc32(doc_id) mod HELD_OUT_OF == HELD_OUT teach nothing.
 HELD_OUT_OF, HELD_OUT = 7, 2
 HOT, VOCABULARY = 50_000, 2000
-TRAIN_STRETCH, TRAIN_ONE_IN, ROUNDS = 2 * gru.WINDOW, 4, 1
+TRAIN_STRETCH, TRAIN_ONE_IN, ROUNDS = 2 * gru.WINDOW, 1, 1
 #: Count buckets for each factor of e between counts.
 BUCKETS = 64
 #: Distinct words that a task counts before it hands them on, and numbers of a model's block.

@@ -100,5 +100,32 @@ def test_stretches_cover_the_whole_text():
     assert len(lm.stretches(text[:3], 3)) == 3
 
 
+def test_training_reads_every_token_in_order():
+    for n in (1, 47, 48, 49, 191, 1000):
+        text = list(range(n))
+        assert all(lm.stretches(text, shift) == text for shift in range(8))
+
+
+def test_ended_lanes_do_not_change_the_training():
+    model, shape = small()
+    random = np.random.default_rng(7)
+    texts = [random.integers(2, 40, n).astype(np.int32) for n in (3, 24, 25, 60, 130)]
+    got = gru.train(model, shape, texts)
+    want, past = {k: v.copy() for k, v in model.items()}, {k: np.full_like(v, 1e-2) for k, v in model.items()}
+    words, mask = np.zeros((130, 5), np.int32), np.zeros((130, 5), bool)
+    for k, t in enumerate(texts):
+        words[: len(t), k], mask[: len(t), k] = t, True
+    h, before = np.zeros((5, gru.STATE), np.float32), np.full(5, gru.END, np.int32)
+    for at in range(0, 130, gru.WINDOW):
+        part = slice(at, at + gru.WINDOW)
+        slopes, h, _ = gru.gradients(want, shape, words[part], before, h, mask[part])
+        before = words[part][-1]
+        for k, g in slopes.items():
+            g = np.clip(g / mask[part].sum() * gru.TRAIN_LANES, -5, 5)
+            past[k] += g * g
+            want[k] += gru.LEARNING * g / np.sqrt(past[k])
+    assert all(np.allclose(got[k], want[k], atol=1e-3) for k in want)
+
+
 def test_empty_table(spark):
     assert lm.score(table(spark, []).limit(0)).count() == 0
