@@ -20,14 +20,14 @@ class Rule(NamedTuple):
 
 #: A licence: label, keyword that every mention of it holds, pattern of its name, pattern of its identifier.
 LICENCES = [
-    ("mit", "mit", r"(?:the )?(?:mit|expat)(?: x11)?", r"mit"),
+    ("mit", "mit", r"(?:the )?mit(?: x11)?", r"mit"),
     ("mit-0", "no attribution", r"(?:the )?mit no attribution", r"mit 0"),
     ("apache-1.1", "apache", r"(?:the )?apache(?: software)? licen[sc]e (?:version |v)?1 1", r"apache 1 1"),
     ("apache-2", "apache", r"(?:the )?apache(?: software)?(?: licen[sc]e)?,? ?(?:version |v)?2(?: 0)?", r"apache 2 0"),
     ("bsd-2-clause", "bsd", r"(?:the )?(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)", r"bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:bsd 3 clause|3 clause bsd|three clause bsd|(?:new|modified|revised) bsd)", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:the )?(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
-    ("bsd-0-clause", "bsd", r"(?:the )?(?:0bsd|zero clause bsd|bsd zero clause|free public licen[sc]e)", r"0bsd"),
+    ("bsd-0-clause", "bsd", r"(?:the )?(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
     ("isc", "isc", r"(?:the )?isc", r"isc"),
     ("gpl-1", "1", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? (?:version |v)?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
     ("gpl-2", "2", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? ?(?:version |v)?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
@@ -53,7 +53,7 @@ LICENCES = [
     ("zlib", "zlib", r"(?:the )?zlib(?: libpng)?", r"zlib"),
     ("libpng", "libpng", r"(?:the )?libpng", r"libpng 2 0"),
     ("unlicense", "unlicen", r"(?:the )?unlicen[sc]e", r"unlicense"),
-    ("wtfpl", "public license", r"(?:the )?do what the f\S+ you want to public licen[sc]e", r"wtfpl"),
+    ("wtfpl", "want to public", r"(?:the )?do what the f\S+ you want to public licen[sc]e", r"wtfpl"),
     ("eupl-1.2", "1 2", r"(?:the )?(?:eupl|european union public licen[sc]e) ?(?:version |v)?1 2", r"eupl 1 2"),
     ("eupl-1.1", "1 1", r"(?:the )?(?:eupl|european union public licen[sc]e) ?(?:version |v)?1 1", r"eupl 1 1"),
     ("osl-3", "3 0", r"(?:the )?(?:osl|open software licen[sc]e) ?(?:version |v)?3 0", r"osl 3 0"),
@@ -73,12 +73,12 @@ LICENCES = [
     ("odc-by-1", "open data", r"(?:the )?open data commons attribution licen[sc]e", r"odc by 1 0"),
     ("pddl-1", "public domain", r"(?:the )?(?:open data commons )?public domain dedication and licen[sc]e", r"pddl 1 0"),
     ("cc0-1", "cc0", r"(?:the )?(?:creative commons )?cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
-    ("cc-by", "by", r"(?:the )?(?:cc|creative commons) (?:by|attribution)(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]"),
-    ("cc-by-sa", "sa", r"(?:the )?(?:cc|creative commons) (?:by sa|attribution share ?alike)(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]"),
-    ("cc-by-nd", "nd", r"(?:the )?(?:cc|creative commons) (?:by nd|attribution no ?deriv(?:ative)?s)(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]"),
-    ("cc-by-nc", "nc", r"(?:the )?(?:cc|creative commons) (?:by nc|attribution non ?commercial)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "nc", r"(?:the )?(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "nc", r"(?:the )?(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv(?:ative)?s)(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]"),
+    ("cc-by", "by", r"(?:the )?(?:cc|creative commons) by(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]"),
+    ("cc-by-sa", "sa", r"(?:the )?(?:cc|creative commons) by sa(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]"),
+    ("cc-by-nd", "nd", r"(?:the )?(?:cc|creative commons) by nd(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]"),
+    ("cc-by-nc", "nc", r"(?:the )?(?:cc|creative commons) by nc(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "nc", r"(?:the )?(?:cc|creative commons) by nc sa(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "nc", r"(?:the )?(?:cc|creative commons) by nc nd(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]"),
     ("upl-1", "universal permissive", r"(?:the )?universal permissive licen[sc]e(?: (?:version |v)?1 0)?", r"upl 1 0"),
     ("sspl-1", "server side", r"(?:the )?server side public licen[sc]e(?: (?:version |v)?1)?", r"sspl 1 0"),
     ("elastic-2", "elastic", r"(?:the )?elastic licen[sc]e(?: (?:version |v)?2(?: 0)?)?", r"elastic 2 0"),
@@ -92,6 +92,18 @@ LICENCES = [
     ("qpl-1", "q public", r"(?:the )?q public licen[sc]e(?: (?:version |v)?1 0)?", r"qpl 1 0"),
 ]
 
+#: Other names of a licence, which do not hold its keyword: label, what rules of the name are called, keyword, pattern.
+ALIASES = [
+    ("mit", "expat", "expat", r"(?:the )?expat(?: x11)?"),
+    ("bsd-0-clause", "free-public", "free public licen", r"(?:the )?free public licen[sc]e"),
+    ("cc-by", "attribution", "attribution", r"(?:the )?(?:cc|creative commons) attribution(?: [1-4] [05])?(?: international| unported)?"),
+    ("cc-by-sa", "attribution", "attribution share", r"(?:the )?(?:cc|creative commons) attribution share ?alike(?: [1-4] [05])?(?: international| unported)?"),
+    ("cc-by-nd", "attribution", "attribution no", r"(?:the )?(?:cc|creative commons) attribution no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported)?"),
+    ("cc-by-nc", "attribution", "attribution non", r"(?:the )?(?:cc|creative commons) attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?"),
+    ("cc-by-nc-sa", "attribution", "attribution non", r"(?:the )?(?:cc|creative commons) attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?"),
+    ("cc-by-nc-nd", "attribution", "attribution non", r"(?:the )?(?:cc|creative commons) attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported)?"),
+]
+
 _END = r"(?: (?:public )?licen[sc]e)?(?: agreement)?"
 #: How a text speaks of a licence: name of the frame, priority, pattern around the licence's own.
 FRAMES = [
@@ -154,7 +166,8 @@ OTHERS = [
     ("cc-any", "creative-commons", "creative commons", 4, r"(?:a )?creative commons(?: licen[sc]e)?"),
     ("public-domain", "public-domain", "public domain", 4, r"(?:dedicated to|released into|placed in|in) the public domain"),
     ("proprietary-rights", "all-rights-reserved", "rights reserved", 4, r"all rights reserved"),
-    ("proprietary", "proprietary", "proprietary", 4, r"(?:proprietary and confidential|proprietary licen[sc]e|commercial licen[sc]e required)"),
+    ("proprietary", "proprietary", "proprietary", 4, r"(?:proprietary and confidential|proprietary licen[sc]e)"),
+    ("proprietary-commercial", "proprietary", "commercial", 4, r"commercial licen[sc]e required"),
     ("non-commercial", "non-commercial", "commercial", 4, r"(?:for )?non ?commercial (?:use|purposes) only"),
     ("as-is", "warranty-disclaimer", "as is", 4, r"(?:is )?provided (?:by \S+(?: \S+){0,8} )?as is(?: and any express or implied warranties| without warranty of any kind)"),
     ("see-licence-file", "see-licence-file", "licen", 4, r"see (?:the )?(?:file )?licen[sc]e(?: file)?(?: txt| md)? for (?:details|more information|licen[sc]e information)"),
@@ -162,13 +175,15 @@ OTHERS = [
 
 
 def rules() -> list[Rule]:
-    """All rules in order: about 330, each name in each frame, each identifier, and the rules of their own."""
+    """All rules in order: about 360, each name in each frame, each identifier, and the rules of their own."""
     found = []
     for label, keyword, name, identifier in LICENCES:
         versioned = any(c.isdigit() for c in label)  # "under the gnu gpl version 3" needs no further word
-        for frame, priority, before, after in FRAMES:
-            after = f"{after}?" if frame == "under" and versioned else after
-            found.append(Rule(f"{label}/{frame}", label, keyword, priority, f"{before}(?:{name}){after}"))
+        named = [(label, keyword, name)] + [(f"{label}/{alias}", word, other) for of, alias, word, other in ALIASES if of == label]
+        for called, word, pattern in named:
+            for frame, priority, before, after in FRAMES:
+                after = f"{after}?" if frame == "under" and versioned else after
+                found.append(Rule(f"{called}/{frame}", label, word, priority, f"{before}(?:{pattern}){after}"))
         found.append(Rule(f"{label}/identifier", label, "spdx", 1, f"{_IDENTIFIER}{identifier}"))
     found += [Rule(name, label, keyword, priority, pattern) for name, label, keyword, priority, pattern in OTHERS]
     return found

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from tarnwell.llm import licenses
+from tarnwell.llm import license_rules, licenses
 from tarnwell.llm.license_rules import ANCHORS, LICENCES, OTHERS, rules
 
 SCHEMA = "doc_id long, text string, labels string, _norm string, start int"
@@ -80,6 +80,53 @@ def test_rules_are_sound(spark):
     assert len(LICENCES) > 60
 
 
+def samples(parsed):
+    """Texts that a parsed pattern matches, every alternative and every optional part with and without."""
+    parts = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            parts.append([chr(arg)])
+        elif op == "IN":
+            kind, value = str(arg[0][0]), arg[0][1]
+            parts.append(["3" if "DIGIT" in str(value) else "x"] if kind == "CATEGORY" else [chr(value[0])] if kind == "RANGE" else [chr(v) for _, v in arg])
+        elif op == "SUBPATTERN":
+            parts.append(samples(arg[3]))
+        elif op == "BRANCH":
+            parts.append([x for b in arg[1] for x in samples(b)])
+        else:
+            assert op == "MAX_REPEAT", op
+            parts.append([""] * (arg[0] == 0) + samples(arg[2]))
+    out = [""]
+    for p in parts:
+        out = [a + b for a in out for b in p]
+    return list(dict.fromkeys(out))
+
+
+def test_every_alternative_holds_its_keyword_and_an_anchor():
+    names = [(word, name) for _, word, name, _ in LICENCES] + [(word, name) for _, _, word, name in license_rules.ALIASES]
+    for keyword, pattern in names:  # frames bring the anchors
+        for x in samples(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, x) and keyword in f" {x} ", (keyword, x)
+    for name, _, keyword, _, pattern in OTHERS:
+        for x in samples(re._parser.parse(pattern)):
+            assert re.fullmatch(pattern, x) and keyword in f" {x} " and any(a in f" {x} " for a in ANCHORS), (name, x)
+
+
+def test_names_without_the_usual_keyword_are_found(spark):
+    texts = [
+        ("cc-by-sa", "Licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+        ("cc-by-nd", "Creative Commons Attribution-NoDerivatives License"),
+        ("cc-by-nc", "Creative Commons Attribution Non-Commercial License"),
+        ("mit", "See the Expat License"),
+        ("bsd-0-clause", "under the Free Public License license"),
+        ("proprietary", "Commercial licence required"),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan_licenses(df).collect()}
+    assert all(label in got[i] for i, (label, _) in enumerate(texts)), got
+
+
 def test_an_identifier_beats_the_name_around_it(spark):
     df = spark.createDataFrame([(1, "Licensed under the terms of the GNU Lesser General Public License v2.1")], "doc_id long, text string")
     assert licenses.scan_licenses(df).collect()[0]["labels"] == "lgpl-2.1"
