@@ -17,7 +17,6 @@ other rows; at a partition's edge a page is paired with its neighbour inside. Pa
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -40,8 +39,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 WALLS = frozenset(("ul", "ol", "dl", "table", "article", "main", "section", "div", "nav", "aside", "header", "footer", "body"))
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
-#: Lines of two pages are aligned between the anchors that occur once in both; stretches beyond this product are
-#: aligned by equal line in order instead of by the quadratic table.
+#: Largest product of two pages' lines that are aligned by a table; longer ones are halved until they fit.
 TABLE = 250_000
 
 
@@ -152,8 +150,7 @@ def _table(a: list[str], b: list[str]) -> list[int]:
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Indices of ``a`` that a common subsequence with ``b`` holds: the longest, where the stretch that differs is small
-    enough for a table; otherwise the longest through the lines that are unique in both."""
+    """Indices of ``a`` that a longest common subsequence with ``b`` holds."""
     low = 0
     while low < len(a) and low < len(b) and a[low] == b[low]:
         low += 1
@@ -164,34 +161,39 @@ def shared_lines(a: list[str], b: list[str]) -> set[int]:
     left, right = a[low : len(a) - high], b[low : len(b) - high]
     common = set(left) & set(right)
     mine, theirs = [i for i, x in enumerate(left) if x in common], [j for j, x in enumerate(right) if x in common]
-    if len(mine) * len(theirs) <= TABLE:
-        picked = [mine[k] for k in _table([left[i] for i in mine], [right[j] for j in theirs])]
-    else:
-        places: dict[str, list[int]] = {}
-        for j in theirs:
-            places.setdefault(right[j], []).append(j)
-        picked = _increasing([(i, places[left[i]][0]) for i in mine if len(places[left[i]]) == 1])
+    picked = [mine[k] for k in _longest([left[i] for i in mine], [right[j] for j in theirs])]
     return found | {low + i for i in picked}
 
 
-def _increasing(pairs: list[tuple[int, int]]) -> list[int]:
-    """First members of a longest subsequence whose second members rise."""
-    tails: list[int] = []
-    at: list[int] = []
-    before = [-1] * len(pairs)
-    for k, (_, j) in enumerate(pairs):
-        p = bisect_left(tails, j)
-        before[k] = at[p - 1] if p else -1
-        if p == len(tails):
-            tails.append(j)
-            at.append(k)
-        else:
-            tails[p], at[p] = j, k
-    found, k = [], at[-1] if at else -1
-    while k >= 0:
-        found.append(pairs[k][0])
-        k = before[k]
-    return found[::-1]
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Lengths of the longest common subsequences of ``a`` with each beginning of ``b``; one bit of a number for each of b."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    whole = (1 << len(b)) - 1
+    row = whole
+    for x in a:
+        met = row & places.get(x, 0)
+        if met:
+            row = (row + met | row - met) & whole
+    lengths = [0]
+    for bit in reversed(f"{row:0{len(b)}b}"):
+        lengths.append(lengths[-1] + (bit == "0"))
+    return lengths
+
+
+def _longest(a: list[str], b: list[str]) -> list[int]:
+    """Indices of ``a`` in a longest common subsequence with ``b``; long ones are halved where both halves' lengths add up most."""
+    if not a or not b:
+        return []
+    if len(a) == 1:
+        return [0] if a[0] in b else []
+    if len(a) * len(b) <= TABLE:
+        return _table(a, b)
+    half = len(a) // 2
+    before, after = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+    cut = max(range(len(b) + 1), key=lambda j: before[j] + after[j])
+    return _longest(a[:half], b[:cut]) + [half + i for i in _longest(a[half:], b[cut:])]
 
 
 def main_text(lines: list[tuple[str, bool]], neighbour: list[str] | None) -> str:

@@ -54,6 +54,19 @@ def test_long_pages_align_by_unique_lines(monkeypatch):
     assert h.shared_lines(a, b) == {1, 2, 4}
 
 
+def test_long_pages_align_exactly(monkeypatch):
+    a = [x for i in range(700) for x in (f"own {i}", "Reply")]
+    b = [x for i in range(700) for x in (f"other {i}", "Reply")]
+    assert h.shared_lines(a, b) == {2 * i + 1 for i in range(700)}
+    monkeypatch.setattr(h, "TABLE", 4)
+    random = np.random.default_rng(9)
+    for _ in range(60):
+        a, b = (["abcd"[i] for i in random.integers(0, 4, random.integers(0, 9))] for _ in range(2))
+        found = sorted(h.shared_lines(a, b))
+        it = iter(b)
+        assert all(a[i] in it for i in found) and len(found) == lcs(a, b)
+
+
 def page(i, body):
     return f"<html><body><div>Site name</div><div>Daily news</div><p>{body}</p><div>Terms of use</div></body></html>"
 
