@@ -2,28 +2,32 @@
 
 1. A page is parsed into lines, one per block of text, each with the elements around it. Elements that never hold main
    text (scripts, styles, navigation, headers, footers, sidebars, forms, adverts, notices, comments) give none.
-2. Pages are sorted by host and URL path, and each is paired with the neighbour in that order whose path begins most
-   like its own.
+2. Pages are sorted by host and URL path, and each is paired with that one of the nearest differing pages before and
+   after it in the host whose path begins most like its own.
 3. The lines of both pages are aligned by longest common subsequence; lines that both have are furniture and are
    deleted, unless they stand in the page's main element (article or main): what a site repeats is furniture, what an
-   article repeats is text. A neighbour that is a copy of the page is no evidence and deletes nothing.
+   article repeats is text. A copy of the page is no evidence; the nearest page beyond it is.
 
 If a page has a main element, its text is the lines inside; differencing then only matters on pages without one.
 
 Pairs are formed inside range partitions of (host, path, page), so a host with a third of all pages is spread like any
-other rows; at a partition's edge a page is paired with its neighbour inside. Pages travel once, unparsed.
+other rows. Pages travel once, unparsed. The runs of equal pages at the partitions' edges, and the next ones inside, then meet in
+one task: a few pages a partition, of equal ones only the first with its lines.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 
 #: Elements whose text is never main text.
 DROPPED = frozenset("script style noscript template nav footer aside form button select option textarea input iframe svg canvas head title object embed audio video dialog menu".split())
@@ -192,8 +196,8 @@ def _longest(a: list[str], b: list[str]) -> list[int]:
         return _table(a, b)
     half = len(a) // 2
     before, after = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
-    cut = max(range(len(b) + 1), key=lambda j: before[j] + after[j])
-    return _longest(a[:half], b[:cut]) + [half + i for i in _longest(a[half:], b[cut:])]
+    split = max(range(len(b) + 1), key=lambda j: before[j] + after[j])
+    return _longest(a[:half], b[:split]) + [half + i for i in _longest(a[half:], b[split:])]
 
 
 def main_text(lines: list[tuple[str, bool]], neighbour: list[str] | None) -> str:
@@ -215,8 +219,78 @@ def _common(a: str, b: str) -> int:
     return n
 
 
+class _Run:
+    """Pages side by side in a host with equal lines; the lines are held once."""
+
+    def __init__(self, row: dict, index: int) -> None:
+        self.host, self.lines, self.first, self.index = row["host"], row["lines"], row["path"], index
+        self.rows: list[dict] = []
+        self.add(row)
+
+    def takes(self, row: dict) -> bool:
+        return row["host"] == self.host and row["lines"] == self.lines
+
+    def add(self, row: dict) -> None:
+        main = self.rows[-1]["main"] if self.rows and self.rows[-1]["main"] == row["main"] else row["main"]
+        self.rows.append({k: row[k] for k in ("page_id", "url", "path")} | {"main": main, "final": row.get("final", False)})
+        self.last = row["path"]
+
+
+def _texts(before: _Run | None, run: _Run, after: _Run | None) -> Iterator[str]:
+    """Texts of a run's pages, each against the nearer of the differing pages before and after the run."""
+    before = before if before and before.host == run.host else None
+    after = after if after and after.host == run.host else None
+    known: dict[tuple, str] = {}
+    for row in run.rows:
+        left = _common(row["path"], before.last) if before else -1
+        right = _common(row["path"], after.first) if after else -1
+        other = None if max(left, right) < 0 else before if left >= right else after
+        key = id(other), id(row["main"])
+        if key not in known:
+            known[key] = main_text(list(zip(run.lines, row["main"], strict=True)), other and other.lines)
+        yield known[key]
+
+
+def _runs(rows: Iterator[dict]) -> Iterator[tuple[_Run | None, _Run, _Run | None]]:
+    """Each run with the one before and the one after it."""
+    before = run = after = None
+    for row in rows:
+        if after is not None and after.takes(row):
+            after.add(row)
+            continue
+        if run is not None:
+            yield before, run, after
+        before, run, after = run, after, _Run(row, 0 if after is None else after.index + 1)
+    if run is not None:
+        yield before, run, after
+    if after is not None:
+        yield run, after, None
+
+
+_PARTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("final", pa.bool_()), ("seq", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("page", pa.string())])
+_PARTS_SQL = "page_id long, url string, text string, final boolean, seq long, host string, path string, page string"
+
+
+def _packed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True))
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, schema, strict=True)], schema.names)
+
+    for row in rows:
+        out.append(row)
+        if len(out) >= 256:
+            yield batch()
+    if out:
+        yield batch()
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of host and path; three at a time are in memory beside the batch."""
+    """Rows in order of host and path. Pages of a partition's first and last run, whose neighbours may lie in other
+    partitions, are not final: they go on with their lines, as do those of the next runs inside, which are final. A page
+    with the lines of the one before it goes on without them."""
 
     def rows() -> Iterator[dict]:
         for batch in batches:
@@ -227,41 +301,57 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     parsed = lines_of((html or b"").decode("utf-8", "replace"))
                     yield row | {"lines": [x for x, _ in parsed], "main": [m for _, m in parsed]}
 
-    def near(row: dict, other: dict | None) -> int:
-        return -1 if other is None or other["host"] != row["host"] or other["lines"] == row["lines"] else _common(row["path"], other["path"])
+    def parts() -> Iterator[tuple]:
+        held: tuple | None = None
+        for found in _runs(rows()):
+            if held is not None:
+                yield from part(*held, found[2] is None)
+            held = found
+        if held is not None:
+            yield from part(*held, True)
+
+    def part(before: _Run | None, run: _Run, after: _Run | None, late: bool) -> Iterator[tuple]:
+        final = before is not None and after is not None
+        goes_on = not final or run.index == 1 or late
+        start = TaskContext.get().partitionId() << 40
+        main = None
+        for row, text in zip(run.rows, _texts(before, run, after) if final else [None] * len(run.rows), strict=True):
+            page = None
+            if goes_on:
+                page = json.dumps([run.lines if main is None else None, None if row["main"] is main else row["main"]])
+                main = row["main"]
+            count[0] += 1
+            yield row["page_id"], row["url"], text, final, start + count[0], run.host if goes_on else None, row["path"] if goes_on else None, page
+
+    count = [0]
+    yield from _packed(parts(), _PARTS)
+
+
+def _join_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the pages that are not final, from all pages that go on, in order."""
 
-    def finish(before: dict | None, row: dict, after: dict | None) -> tuple:
-        left, right = near(row, before), near(row, after)
-        other = None if max(left, right) < 0 else before if left >= right else after
-        text = main_text(list(zip(row["lines"], row["main"], strict=True)), other and other["lines"])
-        return row["page_id"], row["url"], text, len(text)
+    def rows() -> Iterator[dict]:
+        lines = main = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, marks = json.loads(row["page"])
+                lines, main = lines if own is None else own, main if marks is None else marks
+                yield row | {"lines": lines, "main": main}
 
-    out: list[tuple] = []
+    def texts() -> Iterator[tuple]:
+        for before, run, after in _runs(rows()):
+            for row, text in zip(run.rows, _texts(before, run, after), strict=True):
+                if not row["final"]:
+                    yield row["page_id"], row["url"], text
 
-    def emit() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True))
-        out.clear()
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "url", "text", "n_chars"])
-
-    before = row = None
-    for after in rows():
-        if row is not None:
-            out.append(finish(before, row, after))
-            if len(out) >= 256:
-                yield emit()
-        before, row = row, after
-    if row is not None:
-        out.append(finish(before, row, None))
-    if out:
-        yield emit()
+    yield from _packed(texts(), pa.schema([_PARTS.field(k) for k in range(3)]))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages``.
 
-    Null and empty pages have empty text. Null urls are one host of their own. Repeated pages give equal texts: a copy
-    of a page is no neighbour of it. Other columns are not read. An empty table gives an empty result.
+    Null and empty pages have empty text. Null urls are one host of their own. A copy of
+    a page is no neighbour of it. Other columns are not read. An empty table gives an empty result.
     """
     url = F.lower(F.coalesce("url", F.lit("")))
     bare = F.regexp_replace(url, r"^[a-z][a-z0-9+.-]*://|[?#].*$", "")
@@ -274,4 +364,7 @@ def extract(pages: DataFrame) -> DataFrame:
     )
     order = ["host", "path", "page_id"]
     parted = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return parted.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    parts = cut(parted.mapInArrow(_difference, _PARTS_SQL))
+    edges = parts.where("page IS NOT NULL").repartition(1).sortWithinPartitions("seq")
+    texts = parts.where("final").select("page_id", "url", "text").unionByName(edges.mapInArrow(_join_edges, "page_id long, url string, text string"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))

@@ -85,6 +85,39 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert "Copy" in by_id[200]["text"] and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def nearest_differing(rows):
+    """Texts by page, from one sorted list."""
+    rows = sorted(rows, key=lambda r: (r[1], r[0]))
+    parsed = [h.lines_of(r[2]) for r in rows]
+    own = [[x for x, _ in p] for p in parsed]
+    path = lambda k: rows[k][1].partition("org")[2]
+    out = {}
+    for k, r in enumerate(rows):
+        host = lambda j: rows[j][1].partition("org")[0]
+        near = [next((j for j in way if host(j) == host(k) and own[j] != own[k]), None) for way in (range(k - 1, -1, -1), range(k + 1, len(rows)))]
+        near = [j for j in near if j is not None]
+        other = max(near, key=lambda j: h._common(path(k), path(j)), default=None)
+        out[r[0]] = h.main_text(parsed[k], None if other is None else own[other])
+    return out
+
+
+def test_copies_and_partition_edges_find_the_nearest_differing_page(spark):
+    rows = [(i, f"http://x.org/{i:03}", page(i, f"Story {i // 7 if i % 50 < 30 else i}")) for i in range(200)]
+    rows += [(300 + i, f"http://y.org/{i:03}", page(i, "Same")) for i in range(60)] + [(400, "http://y.org/a", page(1, "Last"))]
+    df = table(spark, rows)
+    want = nearest_differing(rows)
+    for partitions in (1, 4, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            got = h.extract(df).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", 4)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert len(got) == len(rows) and {r["page_id"]: r["text"] for r in got} == want
+    assert all(want[i] == "Same" for i in range(300, 360)) and want[400] == "Last"
+
+
 def test_articles_keep_lines_that_neighbours_share(spark):
     rows = [(i, f"http://x.org/{i}", f"<nav>m{i}</nav><article><h1>Same</h1><p>own {i}</article>") for i in range(4)]
     got = h.extract(table(spark, rows)).collect()
