@@ -728,7 +728,7 @@ def markdown_links(spark, sf_dir):
 
 @register(None)
 def stemmed_terms(spark, sf_dir):
-    return ws.table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.size(F.array_distinct(markup.parse_stems(F.col("text")))).alias("stems"))
+    return ws.table(spark, sf_dir, "documents").select("doc_id", F.size(F.array_distinct(markup.parse_stems(F.col("text")))).alias("stems"))
 
 
 FLAGSHIP = search_bm25_and

@@ -34,6 +34,11 @@ def test_query_runs(spark, name):
     assert catalogue.QUERIES[name](spark, DATA).count() >= 0
 
 
+def test_stems_of_documents_in_every_language(spark, db):
+    got = sorted(r["doc_id"] for r in catalogue.QUERIES["stemmed_terms"](spark, DATA).collect())
+    assert got == [i for (i,) in db.sql("SELECT doc_id FROM documents ORDER BY 1").fetchall()]
+
+
 def test_entry_and_registry(spark):
     assert entry.entry(spark).columns == ["id", "score"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
