@@ -175,27 +175,17 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
-        sets = pa.array([shingle_set(t).tobytes() for t in as_bytes(batch.column(1))], pa.binary())
+        sets = pa.array([shingle_set(t).view(np.int64) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["print", "shingles"])
 
 
-def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the similarity (shared of all) of two sets is ALIKE at least."""
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared * ALIKE[1] >= ALIKE[0] * (len(a) + len(b) - shared)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        left, right = ([np.frombuffer(x, np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array([alike(a, b) for a, b in zip(left, right, strict=True)], pa.bool_()))
-
-
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets are alike."""
+    """Those of ``pairs`` (a, b) whose sets share ALIKE of all their members at least; row by row, as sets can be long."""
     right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("sb"))
     left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("sa"))
-    return cut(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long"))
+    shared = F.size(F.array_intersect("sa", "sb"))  # of all: the members of both less those shared
+    alike = shared * sum(ALIKE) >= ALIKE[0] * (F.size("sa") + F.size("sb"))
+    return cut(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(alike).select("a", "b"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -217,7 +207,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     pairs = cut(pairs.distinct())
     wanted = prints.join(index.select("print").distinct(), "print", "left_semi").select("print", F.col("row.text_hash").alias("_hash"), F.col("row.doc_id").alias("_id"))
     texts = numbered.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = cut(texts.select("print", "text").mapInArrow(_sets, "print long, shingles binary").dropDuplicates(["print"]))
+    sets = cut(texts.select("print", "text").mapInArrow(_sets, "print long, shingles array<long>").dropDuplicates(["print"]))
     edges = _verified(pairs, sets)
     labels = components(edges)
     group = F.coalesce("label", "print").alias("group")
