@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import store
 
 #: Elements whose text is never main text.
 DROPPED = frozenset("script style noscript template nav footer aside form button select option textarea input iframe svg canvas head title object embed audio video dialog menu".split())
@@ -364,7 +364,7 @@ def extract(pages: DataFrame) -> DataFrame:
     )
     order = ["host", "path", "page_id"]
     parted = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    parts = cut(parted.mapInArrow(_difference, _PARTS_SQL))
+    parts = store(parted.mapInArrow(_difference, _PARTS_SQL))
     edges = parts.where("page IS NOT NULL").repartition(1).sortWithinPartitions("seq")
     texts = parts.where("final").select("page_id", "url", "text").unionByName(edges.mapInArrow(_join_edges, "page_id long, url string, text string"))
     return texts.withColumn("n_chars", F.length("text").cast("long"))
