@@ -16,7 +16,7 @@ UNKNOWN, END = 0, 1
 STATE, CLASSES = 16, 40
 WINDOW = 24
 LANES = 256
-TRAIN_LANES, LEARNING = 96, 0.08
+TRAIN_LANES, STEPS, LEARNING = 384, 100, 0.4
 SEED = 5
 
 
@@ -80,10 +80,31 @@ def step(model: dict, word: np.ndarray, h: np.ndarray) -> tuple:
     return h + z * (n - h), r, z, n, kept[:, 2 * STATE :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)  # every caller's x is its own
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+def _masses(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp(x) and its sums by row, up to a factor; ``x`` loses the logarithm of that factor."""
+    x -= x.max(initial=-1e30)  # every caller's x is its own
+    mass = np.exp(x)
+    sums = mass @ np.ones(x.shape[1], x.dtype)
+    if not sums.min(initial=1) > 1e-30:  # rows far below the largest value
+        x -= x.max(axis=1, keepdims=True)
+        mass = np.exp(x)
+        sums = mass.sum(axis=1)
+    return mass, sums
+
+
+def _chosen(x: np.ndarray, at: tuple) -> np.ndarray:
+    """Log softmax of ``x`` at one place of each row."""
+    sums = _masses(x)[1]
+    return x[at] - np.log(sums)
+
+
+def _chosen_and_slope(x: np.ndarray, at: tuple) -> tuple[float, np.ndarray]:
+    """Sum of the log softmax at one place of each row, and its gradient by ``x``."""
+    mass, sums = _masses(x)
+    total = float((x[at] - np.log(sums)).sum())
+    mass *= (-1 / sums)[:, None]
+    mass[at] += 1
+    return total, mass
 
 
 def _by_class(shape: Shape, target: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -95,41 +116,49 @@ def _by_class(shape: Shape, target: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 def log_odds(model: dict, shape: Shape, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after each state."""
-    out = _log_softmax(h @ model["classes"] + model["class_bias"])[np.arange(len(h)), shape.of[target]].astype(np.float64)
+    out = _chosen(h @ model["classes"] + model["class_bias"], (np.arange(len(h)), shape.of[target])).astype(np.float64)
     for c, rows in _by_class(shape, target):
         members = shape.members[c]
         if len(members) > 1:
-            logs = _log_softmax(h[rows] @ model["words"][members].T + model["word_bias"][members])
-            out[rows] += logs[np.arange(len(rows)), shape.place[target[rows]]]
+            logits = h[rows] @ model["words"][members].T + model["word_bias"][members]
+            out[rows] += _chosen(logits, (np.arange(len(rows)), shape.place[target[rows]]))
     return out
 
 
-def score(model: dict, shape: Shape, texts: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each text (word numbers, END last).
-
-    Texts are laid end to end on LANES lanes of about equal length; windows of all lanes are read at once, each lane's
-    state goes on from window to window and starts anew with each text.
-    """
-    total = np.zeros(len(texts))
-    lanes: list[list[int]] = [[] for _ in range(min(LANES, len(texts)))]
-    heap = [(0, k) for k in range(len(lanes))]
-    for i in sorted(range(len(texts)), key=lambda i: -len(texts[i])):
+def _lanes(texts: list[np.ndarray], order: list[int], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts laid end to end, in ``order``, on ``count`` lanes of about equal length, the longest lane first: the word at
+    each step of each lane, its text, whether a text begins there, and how many lanes last until each step."""
+    lanes: list[list[int]] = [[] for _ in range(count)]
+    heap = [(0, k) for k in range(count)]
+    for i in order:
         length, k = heapq.heappop(heap)
         lanes[k].append(i)
         heapq.heappush(heap, (length + len(texts[i]), k))
-    lanes.sort(key=lambda lane: -sum(len(texts[i]) for i in lane))
     lengths = np.array([sum(len(texts[i]) for i in lane) for lane in lanes])
-    word = np.zeros((lengths.max(initial=0), len(lanes)), np.int32)
+    longest_first = np.argsort(-lengths, kind="stable")
+    lengths = lengths[longest_first]
+    word = np.zeros((lengths.max(initial=0), count), np.int32)
     owner = np.zeros(word.shape, np.int32)
     opens = np.zeros(word.shape, bool)
-    for k, lane in enumerate(lanes):
+    for k, lane in enumerate(longest_first):
         at = 0
-        for i in lane:
+        for i in lanes[lane]:
             word[at : at + len(texts[i]), k], owner[at : at + len(texts[i]), k], opens[at, k] = texts[i], i, True
             at += len(texts[i])
-    h = np.zeros((len(lanes), STATE), np.float32)
-    before = np.full(len(lanes), END, np.int32)
-    active = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(len(word)), "right")
+    active = count - np.searchsorted(lengths[::-1], np.arange(len(word)), "right")
+    return word, owner, opens, active
+
+
+def score(model: dict, shape: Shape, texts: list[np.ndarray]) -> np.ndarray:
+    """Natural log probability of each text (word numbers, END last).
+
+    Windows of all lanes are read at once; each lane's state goes on from window to window and starts anew with each text.
+    """
+    total = np.zeros(len(texts))
+    longest_first = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    word, owner, opens, active = _lanes(texts, longest_first, min(LANES, len(texts)))
+    h = np.zeros((word.shape[1], STATE), np.float32)
+    before = np.full(word.shape[1], END, np.int32)
     for low in range(0, len(word), WINDOW):
         states, targets, owners = [], [], []
         for t in range(low, min(low + WINDOW, len(word))):
@@ -157,79 +186,101 @@ def _sum_rows(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def gradients(model: dict, shape: Shape, words: np.ndarray, before: np.ndarray, h: np.ndarray, mask: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of a window's log probability (words: steps x lanes), the state after it, and that log probability."""
+def gradients(model: dict, shape: Shape, words: np.ndarray, opens: np.ndarray, before: np.ndarray, h: np.ndarray, mask: np.ndarray) -> tuple[dict, np.ndarray, float]:
+    """Gradients of a window's log probability (words: steps x lanes), the state after it, and that log probability.
+
+    Where a text opens, the state starts anew. What doesn't depend on the recurrence is done for all steps at once.
+    """
     steps, lanes = words.shape
-    inputs = np.vstack([before[None], words[:-1]])
-    path, states = [], [h]
+    inputs = np.where(opens, END, np.concatenate([before[None], words[:-1]]))
+    goes_on = (~opens).astype(h.dtype)[:, :, None]
+    seen = np.take(model["input"], inputs, axis=0)
+    kind = seen.dtype
+    gates, news, kepts = np.empty((steps, lanes, 2 * STATE), kind), np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)
+    states, after = np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)  # before and after each step
     for t in range(steps):
-        path.append(step(model, inputs[t], states[-1]))
-        states.append(path[-1][0])
+        np.multiply(after[t - 1] if t else h, goes_on[t], out=states[t])
+        kept = states[t] @ model["state"]
+        gate = gates[t]
+        np.add(seen[t, :, : 2 * STATE], kept[:, : 2 * STATE], out=gate)
+        gate *= 0.5
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        kepts[t] = kept[:, 2 * STATE :]
+        new = news[t]
+        np.multiply(gate[:, :STATE], kepts[t], out=new)
+        new += seen[t, :, 2 * STATE :]
+        np.tanh(new, out=new)
+        step = new - states[t]
+        step *= gate[:, STATE:]
+        np.add(states[t], step, out=after[t])
     live = mask.ravel()
-    at = np.concatenate(states[1:])[live]
+    at = after.reshape(-1, STATE)[live]
     target = words.ravel()[live]
-    logs = _log_softmax(at @ model["classes"] + model["class_bias"])
-    total = float(logs[np.arange(len(at)), shape.of[target]].sum())
-    slope = -np.exp(logs)
-    slope[np.arange(len(at)), shape.of[target]] += 1
-    out = {k: np.zeros_like(v) for k, v in model.items()}
+    total, slope = _chosen_and_slope(at @ model["classes"] + model["class_bias"], (np.arange(len(at)), shape.of[target]))
+    out = {k: np.zeros_like(v) for k, v in model.items() if k in ("words", "word_bias")}
     out["classes"], out["class_bias"] = at.T @ slope, slope.sum(axis=0)
     back = slope @ model["classes"].T
     for c, rows in _by_class(shape, target):
         members = shape.members[c]
         if len(members) > 1:
-            logs = _log_softmax(at[rows] @ model["words"][members].T + model["word_bias"][members])
-            place = (np.arange(len(rows)), shape.place[target[rows]])
-            total += float(logs[place].sum())
-            slope = -np.exp(logs)
-            slope[place] += 1
-            out["words"][members], out["word_bias"][members] = slope.T @ at[rows], slope.sum(axis=0)
+            mine = at[rows]
+            logits = mine @ model["words"][members].T + model["word_bias"][members]
+            part, slope = _chosen_and_slope(logits, (np.arange(len(rows)), shape.place[target[rows]]))
+            total += part
+            out["words"][members], out["word_bias"][members] = slope.T @ mine, slope.sum(axis=0)
             back[rows] += slope @ model["words"][members]
-    to_state = np.zeros((steps * lanes, STATE), np.float32)
+    to_state = np.zeros((steps * lanes, STATE), kind)
     to_state[live] = back
     to_state = to_state.reshape(steps, lanes, STATE)
-    carried, slopes = np.zeros((lanes, STATE), np.float32), []
+    r, z = gates[..., :STATE], gates[..., STATE:]
+    of_new = z * (1 - news * news)
+    of_mix = (news - states) * z * (1 - z)
+    of_reset = kepts * r * (1 - r)
+    keep = 1 - z
+    slopes, inner = np.empty((steps, lanes, 3 * STATE), kind), np.empty((steps, lanes, 3 * STATE), kind)
+    carried, back_state = np.zeros((lanes, STATE), kind), np.ascontiguousarray(model["state"].T)
     for t in range(steps - 1, -1, -1):
-        _, r, z, n, kept = path[t]
         d = carried + to_state[t]
-        dn = d * z * (1 - n * n)
-        dz = d * (n - states[t]) * z * (1 - z)
-        dr = dn * kept * r * (1 - r)
-        slopes.append(np.hstack([dr, dz, dn]))
-        inner = np.hstack([dr, dz, dn * r])
-        out["state"] += states[t].T @ inner
-        carried = d * (1 - z) + inner @ model["state"].T
-    out["input"] = _sum_rows(np.concatenate(slopes[::-1]), inputs.ravel(), len(model["input"]))
-    return out, states[-1], total
+        new, row = d * of_new[t], inner[t]
+        np.multiply(new, of_reset[t], out=row[:, :STATE])
+        np.multiply(d, of_mix[t], out=row[:, STATE : 2 * STATE])
+        np.multiply(new, r[t], out=row[:, 2 * STATE :])
+        slopes[t, :, 2 * STATE :] = new
+        carried = row @ back_state
+        d *= keep[t]
+        carried += d
+        carried *= goes_on[t]
+    slopes[..., : 2 * STATE] = inner[..., : 2 * STATE]
+    out["state"] = states.reshape(-1, STATE).T @ inner.reshape(-1, 3 * STATE)
+    out["input"] = _sum_rows(slopes.reshape(-1, 3 * STATE), inputs.ravel(), len(model["input"]))
+    return {k: out[k] for k in model}, after[-1], total
 
 
 def train(model: dict, shape: Shape, texts: list[np.ndarray], epochs: int = 1) -> dict:
-    """The model after so many passes over the texts: windows of TRAIN_LANES texts of like length at a time, adaptive step
-    sizes."""
+    """The model after so many passes over the texts, which lie on lanes in random order; adaptive step sizes, so that a
+    window of few live tokens moves little, which fall to nothing at the end. Few tokens get fewer lanes, so that there are
+    STEPS windows."""
     model = {k: v.copy() for k, v in model.items()}
     past = {k: np.full_like(v, 1e-2) for k, v in model.items()}
     random = np.random.default_rng(SEED)
+    size = sum(map(len, texts))
+    count = int(np.clip(size // (STEPS * WINDOW), 1, min(TRAIN_LANES, len(texts))))
+    seen = 0
     for _ in range(epochs):
-        order = sorted(random.permutation(len(texts)).tolist(), key=lambda i: len(texts[i]))  # like lengths side by side
-        for low in random.permutation(range(0, len(order), TRAIN_LANES)).tolist():
-            lanes = [texts[i] for i in order[low : low + TRAIN_LANES]]
-            lengths = np.array([len(t) for t in lanes])  # they rise
-            longest = lengths[-1]
-            words, mask = np.zeros((longest, len(lanes)), np.int32), np.zeros((longest, len(lanes)), bool)
-            for k, t in enumerate(lanes):
-                words[: len(t), k], mask[: len(t), k] = t, True
-            h, before = np.zeros((len(lanes), STATE), np.float32), np.full(len(lanes), END, np.int32)
-            ended = 0
-            for at in range(0, longest, WINDOW):
-                still = np.searchsorted(lengths, at, "right") - ended  # lanes from here on go on
-                ended += still
-                h, before = h[still:], before[still:]
-                part = slice(at, at + WINDOW), slice(ended, None)
-                slopes, h, _ = gradients(model, shape, words[part], before, h, mask[part])
-                before = words[part][-1]
-                scale = 1.0 / mask[part].sum() * TRAIN_LANES
-                for k, g in slopes.items():
-                    g = np.clip(g * scale, -5, 5)
-                    past[k] += g * g
-                    model[k] += LEARNING * g / np.sqrt(past[k])
+        words, _, opens, active = _lanes(texts, random.permutation(len(texts)).tolist(), count)
+        h, before = np.zeros((count, STATE), np.float32), np.full(count, END, np.int32)
+        for at in range(0, len(words), WINDOW):
+            n = active[at]
+            part = slice(at, at + WINDOW), slice(0, n)
+            mask = np.arange(n) < active[at : at + WINDOW, None]
+            slopes, h, _ = gradients(model, shape, words[part], opens[part], before[:n], h[:n], mask)
+            before = words[part][-1]
+            rate = LEARNING * (1 - seen / (epochs * size))
+            seen += int(mask.sum())
+            for k, g in slopes.items():
+                g = np.clip(g / WINDOW, -5, 5)
+                past[k] += g * g
+                model[k] += rate * g / np.sqrt(past[k])
     return model

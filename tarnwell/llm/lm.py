@@ -3,9 +3,9 @@
 1. Counts: every training text's words are counted on the executors; the table (word, count) is never brought together.
 2. The most frequent words, HOT at most, go to the executors with their counts; the first VOCABULARY of them are the
    recurrent model's words, all others are one unknown word to it.
-3. Training: every training text gives one in TRAIN_ONE_IN of its stretches of TRAIN_STRETCH tokens: all, in text order.
-   Each partition trains from the same start on its own texts; the models are averaged by their tokens in streams of
-   blocks, ROUNDS times. What is read and learned grows with the corpus.
+3. Training reads every token of every training text, in text order. Texts are dealt by a hash of their rows to trainers,
+   one for every TRAINER_TOKENS tokens, so what each learns depends on the rows and not on how files split them. All
+   trainers begin with the same model; their models are averaged by their tokens, ROUNDS times.
 4. Scoring: the state runs through the whole text. A word outside the model's vocabulary has the probability of the
    unknown word times its own share, by the counts, of what unknown words have.
 5. Words that are not hot are looked up by a join: per text only its distinct rare words are shuffled.
@@ -28,7 +28,7 @@ from .common import as_bytes, cut, slices
 #: Rows of crc32(doc_id) mod HELD_OUT_OF == HELD_OUT teach nothing.
 HELD_OUT_OF, HELD_OUT = 7, 2
 HOT, VOCABULARY = 50_000, 2000
-TRAIN_STRETCH, TRAIN_ONE_IN, ROUNDS = 2 * gru.WINDOW, 1, 1
+TRAINER_TOKENS, ROUNDS = 2_000_000, 1
 #: Count buckets for each factor of e between counts.
 BUCKETS = 64
 #: Distinct words that a task counts before it hands them on, and numbers of a model's block.
@@ -114,31 +114,42 @@ def lexicon(counts: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) ->
     return Lexicon({w: i for i, w in enumerate(words)}, c, shape, vocabulary, total, distinct, rare_total, max(0, distinct - int((known > 0).sum())))
 
 
-def stretches(words: list, shift: int) -> list:
-    """Every TRAIN_ONE_IN-th stretch of a text, from one that ``shift`` picks; a text of few stretches gives its last."""
-    count = -(-len(words) // TRAIN_STRETCH)
-    first = shift % TRAIN_ONE_IN
-    picked = range(first, count, TRAIN_ONE_IN) if first < count else [count - 1]
-    return [w for k in picked for w in words[k * TRAIN_STRETCH : (k + 1) * TRAIN_STRETCH]]
+def _numbered(docs: DataFrame, lex: Lexicon) -> DataFrame:
+    """key and words (the model's word numbers, little-endian) of the training rows of ``docs``."""
+    kind = np.dtype("<u2" if lex.vocabulary < 60_000 else "<u4")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = [lex.model_words(lex.numbers(tokens(t))).astype(kind).tobytes() for t in as_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["key", "words"])
+
+    rows = docs.where(~held_out(F.col("doc_id"))).select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    return rows.mapInArrow(run, "key long, words binary")
 
 
 def train(docs: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
-    """The recurrent model averaged over the partitions' models."""
+    """The recurrent model averaged over the trainers' models. A trainer holds 2 * TRAINER_TOKENS tokens at most at once."""
     model = gru.start(lex.shape)
-    rows = docs.where(~held_out(F.col("doc_id"))).select("text")
+    kind = np.dtype("<u2" if lex.vocabulary < 60_000 else "<u4")
+    trainers = max(1, -(-lex.total // TRAINER_TOKENS))
+    dealt = _numbered(docs, lex).repartition(trainers, "key").sortWithinPartitions("key", "words").select("words")
     for _ in range(ROUNDS):
         begin = model
 
         def run(batches: Iterator[pa.RecordBatch], begin: dict = begin) -> Iterator[pa.RecordBatch]:
-            texts = []
+            texts, held, read, own = [], 0, 0, begin
             for batch in slices(batches):
-                for text in as_bytes(batch.column(0)):
-                    texts.append(lex.model_words(lex.numbers(stretches(tokens(text), len(text)))))
+                for words in batch.column(0).to_pylist():
+                    texts.append(np.frombuffer(words, kind))
+                    held += len(texts[-1])
+                    if held >= 2 * TRAINER_TOKENS:
+                        own, read, texts, held = gru.train(own, lex.shape, texts), read + held, [], 0
             if texts:
-                values = gru.flat(gru.train(begin, lex.shape, texts))
-                weight = float(sum(map(len, texts)))
+                own, read = gru.train(own, lex.shape, texts), read + held
+            if read:
+                values = gru.flat(own)
                 parts = [values[at : at + BLOCK] for at in range(0, len(values), BLOCK)]
-                columns = [pa.array(range(len(parts)), pa.int32()), pa.array([weight] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())]
+                columns = [pa.array(range(len(parts)), pa.int32()), pa.array([float(read)] * len(parts)), pa.array([p.tobytes() for p in parts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "weight", "part"])
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +163,7 @@ def train(docs: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
                 mean = [(held[1] / held[0]).astype(np.float32).tobytes() for held in sums.values()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(mean, pa.binary())], ["block", "mean"])
 
-        parts = rows.mapInArrow(run, "block int, weight double, part binary")
+        parts = dealt.mapInArrow(run, "block int, weight double, part binary")
         found = parts.repartition("block").mapInArrow(add, "block int, mean binary").collect()  # one model
         if found:
             blocks = sorted((r["block"], r["mean"]) for r in found)
@@ -178,7 +189,7 @@ def score(docs: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) -> Data
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row of ``docs``.
 
     Null texts count as empty: one token, the end. Null ids are training rows. Repeated rows get equal scores and count
-    as often as they occur. Without training rows every count is zero. Other columns are not read; an empty table gives
+    as often as they occur. Very long texts are scored whole, the state running through; a batch holds their numbers only. Without training rows every count is zero. Other columns are not read; an empty table gives
     an empty result.
     """
     docs = docs.select("doc_id", "text")
