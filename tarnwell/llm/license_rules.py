@@ -1,8 +1,8 @@
 """Signature rules of the licence scan.
 
 Patterns match texts as the scan normalises them: lower-case words of letters and digits, one space between words
-("SPDX-License-Identifier: GPL-3.0" reads "spdx license identifier gpl 3 0"). A rule is tried only where its keyword
-occurs. Smaller priorities win: 1 an explicit grant or identifier, 2 a licence text, 3 a licence's name, 4 a hint.
+("SPDX-License-Identifier: GPL-3.0" reads "spdx license identifier gpl 3 0"). A rule is tried only where its keyword,
+or one of them, occurs. Smaller priorities win: 1 an explicit grant or identifier, 2 a licence text, 3 a licence's name, 4 a hint.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ class Rule(NamedTuple):
     pattern: str
 
 
-#: A licence: label, keyword that every mention of it holds, pattern of its name, pattern of its identifier.
+#: A licence: label, keywords of which every mention of it holds one, pattern of its name, pattern of its identifier.
 LICENCES = [
     ("mit", "mit", r"(?:the )?mit(?: x11)?", r"mit"),
     ("mit-0", "no attribution", r"(?:the )?mit no attribution", r"mit 0"),
@@ -29,23 +29,23 @@ LICENCES = [
     ("bsd-4-clause", "bsd", r"(?:the )?(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
     ("bsd-0-clause", "bsd", r"(?:the )?(?:0bsd|zero clause bsd|bsd zero clause)", r"0bsd"),
     ("isc", "isc", r"(?:the )?isc", r"isc"),
-    ("gpl-1", "1", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? (?:version |v)?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
-    ("gpl-2", "2", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? ?(?:version |v)?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
-    ("gpl-3", "3", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? ?(?:version |v)?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
-    ("lgpl-2", "2", r"(?:the )?(?:gnu )?(?:lgpl|library general public licen[sc]e) ?(?:version |v)?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "2 1", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public licen[sc]e) ?(?:version |v)?2 1", r"lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3", "3", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public licen[sc]e) ?(?:version |v)?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
-    ("agpl-3", "3", r"(?:the )?(?:gnu )?(?:agpl|affero general public licen[sc]e) ?(?:version |v)?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
-    ("gfdl-1.2", "1 2", r"(?:the )?(?:gnu )?(?:gfdl|free documentation licen[sc]e) (?:version |v)?1 2", r"gfdl 1 2(?: only| or later)?"),
-    ("gfdl-1.3", "1 3", r"(?:the )?(?:gnu )?(?:gfdl|free documentation licen[sc]e) (?:version |v)?1 3", r"gfdl 1 3(?: only| or later)?"),
-    ("mpl-1.1", "1 1", r"(?:the )?(?:mpl|mozilla public licen[sc]e) ?(?:version |v)?1 1", r"mpl 1 1"),
-    ("mpl-2", "2 0", r"(?:the )?(?:mpl|mozilla public licen[sc]e) ?(?:version |v)?2 0", r"mpl 2 0"),
-    ("epl-1", "1 0", r"(?:the )?(?:epl|eclipse public licen[sc]e) ?(?:version |v)?1 0", r"epl 1 0"),
-    ("epl-2", "2 0", r"(?:the )?(?:epl|eclipse public licen[sc]e) ?(?:version |v)?2 0", r"epl 2 0"),
+    ("gpl-1", "gpl|general public", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? (?:version |v)?1(?: 0)?", r"gpl 1 0(?: only| or later)?"),
+    ("gpl-2", "gpl|general public", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? ?(?:version |v)?2(?: 0)?", r"gpl 2 0(?: only| or later)?"),
+    ("gpl-3", "gpl|general public", r"(?:the )?(?:gnu )?(?:gpl|general public licen[sc]e)(?: gpl)? ?(?:version |v)?3(?: 0)?", r"gpl 3 0(?: only| or later)?"),
+    ("lgpl-2", "lgpl|library general", r"(?:the )?(?:gnu )?(?:lgpl|library general public licen[sc]e) ?(?:version |v)?2(?: 0)?", r"lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "lgpl|lesser general", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public licen[sc]e) ?(?:version |v)?2 1", r"lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl|lesser general", r"(?:the )?(?:gnu )?(?:lgpl|lesser general public licen[sc]e) ?(?:version |v)?3(?: 0)?", r"lgpl 3 0(?: only| or later)?"),
+    ("agpl-3", "agpl|affero", r"(?:the )?(?:gnu )?(?:agpl|affero general public licen[sc]e) ?(?:version |v)?3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
+    ("gfdl-1.2", "gfdl|free documentation", r"(?:the )?(?:gnu )?(?:gfdl|free documentation licen[sc]e) (?:version |v)?1 2", r"gfdl 1 2(?: only| or later)?"),
+    ("gfdl-1.3", "gfdl|free documentation", r"(?:the )?(?:gnu )?(?:gfdl|free documentation licen[sc]e) (?:version |v)?1 3", r"gfdl 1 3(?: only| or later)?"),
+    ("mpl-1.1", "mpl|mozilla", r"(?:the )?(?:mpl|mozilla public licen[sc]e) ?(?:version |v)?1 1", r"mpl 1 1"),
+    ("mpl-2", "mpl|mozilla", r"(?:the )?(?:mpl|mozilla public licen[sc]e) ?(?:version |v)?2 0", r"mpl 2 0"),
+    ("epl-1", "epl|eclipse", r"(?:the )?(?:epl|eclipse public licen[sc]e) ?(?:version |v)?1 0", r"epl 1 0"),
+    ("epl-2", "epl|eclipse", r"(?:the )?(?:epl|eclipse public licen[sc]e) ?(?:version |v)?2 0", r"epl 2 0"),
     ("edl-1", "eclipse", r"(?:the )?eclipse distribution licen[sc]e(?: (?:version |v)?1 0)?", r"edl 1 0"),
-    ("cddl-1", "1", r"(?:the )?(?:cddl|common development and distribution licen[sc]e) ?(?:version |v)?1 [01]", r"cddl 1 [01]"),
-    ("cpl-1", "1 0", r"(?:the )?(?:cpl|common public licen[sc]e) ?(?:version |v)?1 0", r"cpl 1 0"),
-    ("cpal-1", "1 0", r"(?:the )?(?:cpal|common public attribution licen[sc]e) ?(?:version |v)?1 0", r"cpal 1 0"),
+    ("cddl-1", "cddl|common development", r"(?:the )?(?:cddl|common development and distribution licen[sc]e) ?(?:version |v)?1 [01]", r"cddl 1 [01]"),
+    ("cpl-1", "cpl|common public", r"(?:the )?(?:cpl|common public licen[sc]e) ?(?:version |v)?1 0", r"cpl 1 0"),
+    ("cpal-1", "cpal|common public", r"(?:the )?(?:cpal|common public attribution licen[sc]e) ?(?:version |v)?1 0", r"cpal 1 0"),
     ("artistic-1", "artistic", r"(?:the )?artistic licen[sc]e (?:version |v)?1 0", r"artistic 1 0"),
     ("artistic-2", "artistic", r"(?:the )?artistic licen[sc]e (?:version |v)?2 0", r"artistic 2 0"),
     ("bsl-1", "boost", r"(?:the )?boost software licen[sc]e(?: (?:version |v)?1 0)?", r"bsl 1 0"),
@@ -54,10 +54,10 @@ LICENCES = [
     ("libpng", "libpng", r"(?:the )?libpng", r"libpng 2 0"),
     ("unlicense", "unlicen", r"(?:the )?unlicen[sc]e", r"unlicense"),
     ("wtfpl", "want to public", r"(?:the )?do what the f\S+ you want to public licen[sc]e", r"wtfpl"),
-    ("eupl-1.2", "1 2", r"(?:the )?(?:eupl|european union public licen[sc]e) ?(?:version |v)?1 2", r"eupl 1 2"),
-    ("eupl-1.1", "1 1", r"(?:the )?(?:eupl|european union public licen[sc]e) ?(?:version |v)?1 1", r"eupl 1 1"),
-    ("osl-3", "3 0", r"(?:the )?(?:osl|open software licen[sc]e) ?(?:version |v)?3 0", r"osl 3 0"),
-    ("afl-3", "3 0", r"(?:the )?(?:afl|academic free licen[sc]e) ?(?:version |v)?3 0", r"afl 3 0"),
+    ("eupl-1.2", "eupl|european union", r"(?:the )?(?:eupl|european union public licen[sc]e) ?(?:version |v)?1 2", r"eupl 1 2"),
+    ("eupl-1.1", "eupl|european union", r"(?:the )?(?:eupl|european union public licen[sc]e) ?(?:version |v)?1 1", r"eupl 1 1"),
+    ("osl-3", "osl|open software", r"(?:the )?(?:osl|open software licen[sc]e) ?(?:version |v)?3 0", r"osl 3 0"),
+    ("afl-3", "afl|academic free", r"(?:the )?(?:afl|academic free licen[sc]e) ?(?:version |v)?3 0", r"afl 3 0"),
     ("ms-pl", "microsoft", r"(?:the )?microsoft public licen[sc]e", r"ms pl"),
     ("ms-rl", "microsoft", r"(?:the )?microsoft reciprocal licen[sc]e", r"ms rl"),
     ("ncsa", "ncsa", r"(?:the )?(?:university of illinois )?ncsa(?: open source)?", r"ncsa"),
@@ -73,12 +73,12 @@ LICENCES = [
     ("odc-by-1", "open data", r"(?:the )?open data commons attribution licen[sc]e", r"odc by 1 0"),
     ("pddl-1", "public domain", r"(?:the )?(?:open data commons )?public domain dedication and licen[sc]e", r"pddl 1 0"),
     ("cc0-1", "cc0", r"(?:the )?(?:creative commons )?cc0(?: 1 0)?(?: universal)?", r"cc0 1 0"),
-    ("cc-by", "by", r"(?:the )?(?:cc|creative commons) by(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]"),
-    ("cc-by-sa", "sa", r"(?:the )?(?:cc|creative commons) by sa(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]"),
-    ("cc-by-nd", "nd", r"(?:the )?(?:cc|creative commons) by nd(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]"),
-    ("cc-by-nc", "nc", r"(?:the )?(?:cc|creative commons) by nc(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "nc", r"(?:the )?(?:cc|creative commons) by nc sa(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "nc", r"(?:the )?(?:cc|creative commons) by nc nd(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]"),
+    ("cc-by", "cc by|commons by", r"(?:the )?(?:cc|creative commons) by(?: [1-4] [05])?(?: international| unported)?", r"cc by [1-4] [05]"),
+    ("cc-by-sa", "by sa", r"(?:the )?(?:cc|creative commons) by sa(?: [1-4] [05])?(?: international| unported)?", r"cc by sa [1-4] [05]"),
+    ("cc-by-nd", "by nd", r"(?:the )?(?:cc|creative commons) by nd(?: [1-4] [05])?(?: international| unported)?", r"cc by nd [1-4] [05]"),
+    ("cc-by-nc", "by nc", r"(?:the )?(?:cc|creative commons) by nc(?: [1-4] [05])?(?: international| unported)?", r"cc by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "by nc sa", r"(?:the )?(?:cc|creative commons) by nc sa(?: [1-4] [05])?(?: international| unported)?", r"cc by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "by nc nd", r"(?:the )?(?:cc|creative commons) by nc nd(?: [1-4] [05])?(?: international| unported)?", r"cc by nc nd [1-4] [05]"),
     ("upl-1", "universal permissive", r"(?:the )?universal permissive licen[sc]e(?: (?:version |v)?1 0)?", r"upl 1 0"),
     ("sspl-1", "server side", r"(?:the )?server side public licen[sc]e(?: (?:version |v)?1)?", r"sspl 1 0"),
     ("elastic-2", "elastic", r"(?:the )?elastic licen[sc]e(?: (?:version |v)?2(?: 0)?)?", r"elastic 2 0"),

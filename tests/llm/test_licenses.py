@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 
 from tarnwell.llm import license_rules, licenses
@@ -20,10 +21,15 @@ TEXTS = [
     (10, "filler words " * 30000 + "under the MIT license " * 40),
     (11, "http://www.apache.org/licenses/LICENSE-2.0 see the LICENSE file for details"),
     (12, "apache license version 2 apache license version 2 UNDER the mit LICENSE"),
+    (14, "under the \u212air license LICENSED under the KUrl license, \u0130SC"),
     (13, "Redistribution and use in source and binary forms, with or without modification, are permitted"),
 ]
 
 
+def holds(text, keywords):
+    return any(k in text for k in keywords.split("|"))
+
+
 def brute(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
@@ -36,8 +42,8 @@ def brute(text):
     norm = " " + "".join(w + " " for w in words)
     found = []
     for place, r in enumerate(rules()):
-        if r.keyword in norm and any(a in norm for a in ANCHORS):
-            found += [(m.start(), m.end(), r.priority, place, r.label, r.rule) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", norm)]
+        if holds(norm, r.keyword) and any(a in norm for a in ANCHORS):
+            found += [(norm.count(" ", 0, m.start()) - 1, norm.count(" ", 0, m.end()), r.priority, place, r.label, r.rule) for m in re.finditer(f"(?<= )(?:{r.pattern})(?= )", norm)]
 
     def beats(e, d):
         around = e[0] <= d[0] and e[1] >= d[1]
@@ -107,10 +113,10 @@ def test_every_alternative_holds_its_keyword_and_an_anchor():
     names = [(word, name) for _, word, name, _ in LICENCES] + [(word, name) for _, _, word, name in license_rules.ALIASES]
     for keyword, pattern in names:  # frames bring the anchors
         for x in samples(re._parser.parse(pattern)):
-            assert re.fullmatch(pattern, x) and keyword in f" {x} ", (keyword, x)
+            assert re.fullmatch(pattern, x) and holds(f" {x} ", keyword), (keyword, x)
     for name, _, keyword, _, pattern in OTHERS:
         for x in samples(re._parser.parse(pattern)):
-            assert re.fullmatch(pattern, x) and keyword in f" {x} " and any(a in f" {x} " for a in ANCHORS), (name, x)
+            assert re.fullmatch(pattern, x) and holds(f" {x} ", keyword) and any(a in f" {x} " for a in ANCHORS), (name, x)
 
 
 def test_names_without_the_usual_keyword_are_found(spark):
@@ -132,5 +138,16 @@ def test_an_identifier_beats_the_name_around_it(spark):
     assert licenses.scan_licenses(df).collect()[0]["labels"] == "lgpl-2.1"
 
 
+def test_many_mentions_in_a_long_text_take_time_in_proportion(spark):
+    seconds = {}
+    for n in (100, 4000, 40000):
+        df = spark.createDataFrame([(1, "Licensed under the MIT License. " * n)], "doc_id long, text string")
+        began = time.perf_counter()
+        [got] = licenses.scan_licenses(df).collect()
+        seconds[n] = time.perf_counter() - began
+        assert got["n_base"] == n == len(got["detections"]) and got["last_word"] == 5 * n - 4
+    assert seconds[40000] < 20
+
+
 def test_empty_table(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
