@@ -3,10 +3,12 @@
 1. Documents are tokenized on the executors and cut into pieces; pieces stay there.
 2. The driver sees only the histogram of piece lengths, at most ``capacity`` numbers. A configuration is a multiset of
    lengths that fits a sequence; the linear program asks for the fewest configurations that hold the histogram.
-   Multiplicative weights solve it: each length has a price that grows while the length lags behind, the dearest
-   configuration at these prices comes from a knapsack dynamic program, and it is used as often as the lengths allow.
-3. Rounding: usages are rounded down and never exceed what is left; the rest, fewer sequences than configurations, is
-   packed best fit, longest first, on the histogram again.
+   Multiplicative weights solve it: every length has a price, which falls as the length gets covered. A knapsack dynamic
+   program gives the dearest configuration at these prices, and from the same table the dearest that holds a given length;
+   those within SLACK of the dearest are used, as often as what their lengths lack allows. Prices over the dearest value
+   bound the number of sequences from below.
+3. Rounding: usages are rounded down and never exceed what is left; the rest is packed best fit, longest first, on the
+   histogram again.
 4. A piece gets its place from its rank among the pieces of its length, so the plan is as large as the number of
    configurations, whatever the number of pieces.
 """
@@ -14,6 +16,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,11 +32,14 @@ from .common import cut, gapless, slices
 
 CAPACITY = 2048
 END = 0
-#: Knapsack prices in the multiplicative weights, and how strongly prices react.
-ROUNDS = 600
-RATE = 0.5
-#: Share of what the scarcest length of a configuration has left that one round uses.
+#: Knapsack tables in the multiplicative weights, how strongly prices fall, and how much less than the dearest will do.
+ROUNDS, RATE, SLACK = 40, 2.0, 0.02
+#: Share of what the scarcest length of a configuration lacks that one use covers.
 STEP = 0.5
+#: Texts with a run of so many characters of one kind (space or not) go to the tokenizer itself: the fast one recurses there.
+LONG_RUN = 2000
+
+Config = tuple[int, ...]  # lengths, longest first
 
 
 def tokenizer_file() -> str:
@@ -51,20 +57,29 @@ def _byte_of() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str):
-    """Text -> ids: tiktoken over the file's own vocabulary, four times as fast; texts that hold a special token's
-    string go to the tokenizer itself."""
+    """Text -> ids: tiktoken over the file's own vocabulary, four times as fast as the tokenizer itself, which takes the texts
+    that hold a special token's string or a LONG_RUN, and all texts if the file does not split as GPT-2 does."""
     tokenizer = Tokenizer.from_file(path)
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
     special = [x["content"] for x in spec.get("added_tokens", [])]
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+
+    def slow(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    if not plain:
+        return slow
     byte_of = _byte_of()
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
-    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of the type ByteLevel
     fast = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    long_run = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
     def encode(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if any(s in text for s in special) or long_run.search(text):
+            return slow(text)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
     return encode
@@ -99,27 +114,62 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def dearest(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each of ``lengths`` (ascending) occurs in the configuration of the highest total price.
-
-    Knapsack dynamic program over capacities; as many capacities at a time as the shortest length allows.
-    """
+def knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The highest total price of ``lengths`` (ascending) that fit each room up to ``capacity``, and the index of one of them
+    (-1: none). As many rooms at a time as the shortest length allows; of equal prices the shorter length is taken."""
     least = int(lengths[0])
     value = np.zeros(capacity + 1)
     choice = np.full(capacity + 1, -1)
     for low in range(least, capacity + 1, least):
         at = np.arange(low, min(low + least, capacity + 1))
-        left = at[:, None] - lengths[None, :]
-        gain = np.where(left >= 0, value[left] + prices, -1.0)
+        usable = lengths[: np.searchsorted(lengths, at[-1], "right")]
+        left = at[:, None] - usable[None, :]
+        gain = np.where(left >= 0, value[left] + prices[: len(usable)], -1.0)
         best = gain.argmax(axis=1)
         top = gain[np.arange(len(at)), best]
         value[at], choice[at] = top, np.where(top > 0, best, -1)
-    counts = np.zeros(len(lengths), np.int64)
-    room = int(value.argmax())
+    return value, choice
+
+
+def _filled(lengths: list[int], choice: list[int], room: int) -> list[int]:
+    """Indices of the lengths that the knapsack puts into ``room``."""
+    found = []
+    least = lengths[0]
     while room >= least and choice[room] >= 0:
-        counts[choice[room]] += 1
-        room -= int(lengths[choice[room]])
-    return counts
+        found.append(choice[room])
+        room -= lengths[choice[room]]
+    return found
+
+
+def program(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[dict[Config, float], float]:
+    """Configurations with fractional usages that cover the histogram, as far as ``rounds`` tables bring them, and a lower
+    bound of the number of sequences that any packing needs."""
+    all_lengths = np.flatnonzero(histogram[1:]) + 1
+    need = histogram[all_lengths].astype(float)
+    prices = all_lengths / capacity
+    lack = need.copy()
+    used: dict[Config, float] = {}
+    bound = 0.0
+    for _ in range(rounds):
+        if not (lack > 0).any():
+            break
+        open_ = np.flatnonzero(lack > 0)
+        lengths = all_lengths[open_]
+        value, choice = knapsack(lengths, prices[open_], capacity)
+        bound = max(bound, float(need[open_] @ prices[open_]) / value[capacity])  # weak duality
+        sizes, picks = lengths.tolist(), choice.tolist()
+        with_it = value[capacity - lengths] + prices[open_]
+        for i in np.flatnonzero(with_it >= (1 - SLACK) * value[capacity])[::-1].tolist():
+            where, counts = np.unique(open_[[i, *_filled(sizes, picks, capacity - sizes[i])]], return_counts=True)
+            if not (lack[where] > 0).all():
+                continue
+            step = float((STEP * lack[where] / counts).min())
+            step = max(step, min(1.0, 2 * step))
+            lack[where] = np.maximum(lack[where] - step * counts, 0)
+            prices[where] *= np.exp(-RATE * step * counts / need[where])
+            config = tuple(np.repeat(all_lengths[where], counts)[::-1].tolist())
+            used[config] = used.get(config, 0.0) + step
+    return used, bound
 
 
 def fill(left: np.ndarray, counts: np.ndarray, room: int) -> int:
@@ -134,66 +184,46 @@ def fill(left: np.ndarray, counts: np.ndarray, room: int) -> int:
         room -= k * longest
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[np.ndarray, int]]:
-    """Configurations (count of each length, 0 to ``capacity``) and how often each is used; together exactly ``histogram``."""
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
+    """Configurations and how often each is used; together exactly ``histogram``. Equal histograms give equal plans."""
     left = histogram.astype(np.int64).copy()
     left[0] = 0
-    used: list[tuple[np.ndarray, int]] = []
-    wanted = left.astype(float)
-    covered = np.zeros(capacity + 1)
-    small = max(1, capacity // 64)  # shorter lengths fill the room that others leave
-    fraction: dict[bytes, float] = {}
-    for _ in range(rounds):
-        lengths = np.flatnonzero(wanted - covered > 0.5)
-        lengths = lengths[lengths >= small]
-        if not len(lengths):
-            break
-        lag = 1 - covered[lengths] / wanted[lengths]
-        prices = lengths / capacity * np.exp(RATE * (lag - 1) * small / lengths)
-        chosen = dearest(lengths, prices, capacity)
-        some = chosen > 0
-        step = (STEP * (wanted - covered)[lengths[some]] / chosen[some]).min()
-        step = max(step, min(1.0, 2 * step))
-        config = np.zeros(capacity + 1, np.int64)
-        config[lengths] = chosen
-        covered += step * config
-        fraction[config.tobytes()] = fraction.get(config.tobytes(), 0.0) + step
-    for key, amount in sorted(fraction.items(), key=lambda x: -x[1]):
-        config = np.frombuffer(key, np.int64).copy()
-        some = config > 0
-        times = min(int(amount), int((left[some] // config[some]).min()))
+    used: list[tuple[Config, int]] = []
+    fraction, _ = program(left, capacity, rounds)
+    for config, amount in sorted(fraction.items(), key=lambda x: (-x[1], x[0])):
+        where, counts = np.unique(config, return_counts=True)
+        times = min(int(amount + 1e-9), int((left[where] // counts).min()))
         if times <= 0:
             continue
-        room = capacity - int((config * np.arange(capacity + 1)).sum())
-        if room:  # the same short lengths in every use, as long as they last
-            every = (left - config * times) // times
-            filled = np.zeros_like(config)
-            fill(every, filled, room)
-            config = config + filled
-        left -= config * times
+        left[where] -= counts * times
+        room = capacity - sum(config)
+        if room:  # the same lengths in every use, as long as they last
+            more = np.zeros(capacity + 1, np.int64)
+            fill(left // times, more, room)
+            left -= more * times
+            config = tuple(sorted((*config, *np.repeat(np.arange(capacity + 1), more).tolist()), reverse=True))
         used.append((config, times))
     while left.any():
-        config = np.zeros(capacity + 1, np.int64)
-        fill(left, config, capacity)
-        some = config > 0
-        times = int((left[some] // config[some]).min())
-        left -= config * times
-        used.append((config, times))
+        counts = np.zeros(capacity + 1, np.int64)
+        fill(left, counts, capacity)
+        some = counts > 0
+        times = int((left[some] // counts[some]).min())
+        left -= counts * times
+        used.append((tuple(np.repeat(np.arange(capacity + 1), counts)[::-1].tolist()), times))
     return used
 
 
-def places(used: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def places(used: list[tuple[Config, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: the first rank, first sequence and offset of each run of its places."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
     ranks: dict[int, int] = {}
     base = 0
     for config, times in used:
         offset = 0
-        for length in np.flatnonzero(config)[::-1].tolist():
-            for _ in range(int(config[length])):
-                runs.setdefault(length, []).append((ranks.get(length, 0), base, offset))
-                ranks[length] = ranks.get(length, 0) + times
-                offset += length
+        for length in config:
+            runs.setdefault(length, []).append((ranks.get(length, 0), base, offset))
+            ranks[length] = ranks.get(length, 0) + times
+            offset += length
         base += times
     return {k: tuple(np.array(v, np.int64).T) for k, v in runs.items()}
 
@@ -201,8 +231,9 @@ def places(used: list[tuple[np.ndarray, int]]) -> dict[int, tuple[np.ndarray, np
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """pieces() of ``docs`` with sequence_id and offset; sequences hold at most ``capacity`` tokens without gaps.
 
-    Null and empty texts are a piece of one token. Repeated rows are packed like any others. Columns other than doc_id
-    and text are not read. An empty table gives an empty result.
+    Null and empty texts are a piece of one token; very long texts are cut into many. Repeated rows and pieces of equal
+    length are packed like any others, in the order of their rows. Columns other than doc_id and text are not read. An empty
+    table gives an empty result.
     """
     found = gapless(pieces(docs, path, capacity), "length", "_rank")
     found = cut(found)

@@ -214,7 +214,44 @@ def test_plan_holds_exactly_the_histogram():
     for capacity, top in ((2048, 300), (64, 5), (2048, 1)):
         histogram = np.zeros(capacity + 1, np.int64)
         histogram[1:] = random.integers(0, top + 1, capacity)
-        used = packing.plan(histogram, capacity, 50)
-        assert (sum(c * k for c, k in used) == histogram).all()
-        assert all((c * np.arange(capacity + 1)).sum() <= capacity for c, _ in used)
+        used = packing.plan(histogram, capacity, 5)
+        held = np.zeros_like(histogram)
+        for config, times in used:
+            np.add.at(held, list(config), times)
+            assert sum(config) <= capacity and list(config) == sorted(config, reverse=True)
+        assert (held == histogram).all()
+        assert used == packing.plan(histogram.copy(), capacity, 5)
     assert packing.plan(np.zeros(2049, np.int64)) == []
+
+
+def test_program_beats_best_fit_and_meets_its_bound():
+    for capacity in (1000, 2048):
+        quarter, e = capacity // 4, capacity // 100
+        histogram = np.zeros(capacity + 1, np.int64)
+        for length, count in ((capacity // 2 + e, 600), (quarter + 2 * e, 600), (quarter + e, 600), (quarter - 2 * e, 1200)):
+            histogram[length] = count
+        sequences = lambda rounds: sum(n for _, n in packing.plan(histogram, capacity, rounds))
+        assert sequences(0) == 1100  # best fit alone
+        assert sequences(packing.ROUNDS) == 900 == round(packing.program(histogram, capacity)[1])
+
+
+def test_knapsack_matches_brute_force():
+    random = np.random.default_rng(6)
+    for _ in range(20):
+        lengths = np.unique(random.integers(1, 20, 5))
+        prices = random.random(len(lengths))
+        best = [0.0] * 41
+        for room in range(1, 41):
+            best[room] = max([0.0, *(best[room - n] + p for n, p in zip(lengths, prices, strict=True) if n <= room)])
+        value, choice = packing.knapsack(lengths, prices, 40)
+        assert np.allclose(value, best)
+        filled = packing._filled(lengths.tolist(), choice.tolist(), 40)
+        assert lengths[filled].sum() <= 40 and np.isclose(prices[filled].sum(), best[40])
+
+
+def test_long_runs_are_tokenized():
+    from tokenizers import Tokenizer
+
+    tokenizer, encode = Tokenizer.from_file(packing.tokenizer_file()), packing._encoder(packing.tokenizer_file())
+    for text in (" " * 1_000_000 + "a", "a" * 5000, "x" + " " * 1999 + "y", "\n" * 100_000, "é" * 3000 + " " * 1999):
+        assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
