@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, store
 
 #: Fixed limits of the base rule.
 MIN_WORDS = 50
@@ -60,10 +60,12 @@ def _let(name: str, value: str, body: str) -> str:
 def _repeat_words(words: str) -> str:
     """SQL: how many words lie in three-word windows that occur twice or more.
 
-    Windows are sorted by their hash, so equal ones are neighbours; the places of those cover up to three words each.
+    Windows are sorted by their hash, so equal ones are neighbours; words tell whether neighbours of one hash are equal. The
+    places of equal windows cover up to three words each.
     """
     hashes = f"CASE WHEN size({words}) >= 3 THEN transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2])) ELSE cast(array() AS array<bigint>) END"
-    places = "sort_array(transform(filter(e, (s, j) -> coalesce(s.x = get(e, j - 1).x, false) OR coalesce(s.x = get(e, j + 1).x, false)), s -> s.i))"
+    same = lambda o: f"coalesce(s.x = {o}.x AND {words}[s.i] = {words}[{o}.i] AND {words}[s.i + 1] = {words}[{o}.i + 1] AND {words}[s.i + 2] = {words}[{o}.i + 2], false)"
+    places = f"sort_array(transform(filter(e, (s, j) -> {same('get(e, j - 1)')} OR {same('get(e, j + 1)')}), s -> s.i))"
     covered = "aggregate(transform(p, (x, j) -> least(3, coalesce(get(p, j + 1), x + 3) - x)), 0, (a, x) -> a + x)"
     found = _let("e", "sort_array(transform(h, (x, i) -> struct(x AS x, i AS i)))", _let("p", places, covered))
     return _let("h", hashes, f"CASE WHEN size(array_distinct(h)) = size(h) THEN 0 ELSE {found} END")
@@ -72,7 +74,8 @@ def _repeat_words(words: str) -> str:
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the base counts (long), base_failed and MEASURES; columns of these names are replaced.
 
-    Null and empty texts count zero in everything. Three-word windows are compared by 64-bit hashes.
+    Null and empty texts count zero in everything; very long ones are measured whole. Equal three-word windows are found by
+    64-bit hashes and verified by their words. Rows are independent, repeated ones get equal measures.
     """
     names = [*_BASE, *MEASURES, "base_failed"]
     # F.col, so that a name with odd characters stays a name
@@ -177,11 +180,12 @@ def _bucket(measure: str, thresholds: list[float]) -> Column:
 
 
 def learn_rules(measured: DataFrame, labels: DataFrame, key: str = "doc_id") -> list[Rule]:
-    """Rules for texts labelled quality 0, in order, from rows of measure() and labels (key, quality).
+    """Rules for texts labelled quality 0, in order, from rows of measure() with their ``key`` and labels (doc_id, quality).
 
-    Rows without a label or with a null one teach nothing; without both kinds of rows there are no rules.
+    Rows without a label or with a null one teach nothing; without both kinds of rows there are no rules. Of conditions that
+    gain the same, the first measure's lowest bucket is taken.
     """
-    known = labels.where("quality in (0, 1)").select(F.col(key).alias("_key"), (1 - F.col("quality")).cast("int").alias("bad"))
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("_key"), (1 - F.col("quality")).cast("int").alias("bad"))
     rows = measured.where(~F.col("base_failed")).join(known, F.col(key) == F.col("_key"))
     rows = cut(rows.select("bad", (F.pmod(F.xxhash64("_key"), F.lit(PRUNE_ONE_IN)) == 0).alias("pruning"), *MEASURES))
     bounds = rows.agg(*[F.percentile_approx(m, list(QUANTILES), 10_000).alias(m) for m in MEASURES]).first()
@@ -222,10 +226,11 @@ def judge(measured: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that pass the base rule and the rules learned from ``labels``."""
-    measured = cut(measure(docs.select("doc_id", "text")).drop("text"))
-    rules = learn_rules(measured, labels)
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_source"))  # so that no column clashes
-    judged = judge(measure(inner, "_source"), rules)
-    # The number keeps the optimizer from repeating all measures inside a filter pushed below them.
-    return judged.withColumn("_at", F.monotonically_increasing_id()).where("kept AND _at >= 0").select("_row.*")
+    """The rows of ``docs``, all columns, that pass the base rule and the rules learned from ``labels``.
+
+    Every text is measured once: rows are kept with their measures between learning and the verdict.
+    """
+    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), F.col("text").alias("_source"))  # so that no column clashes
+    measured = store(measure(inner, "_source").drop("_source"))
+    rules = learn_rules(measured, labels, "_id")
+    return judge(measured, rules).where("kept").select("_row.*")
