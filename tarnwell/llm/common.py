@@ -19,10 +19,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
+    """The session's checkpoint folder: ``spark.checkpoint.dir``, or a temporary one in local mode if that is unset."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarnwell-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tarnwell-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

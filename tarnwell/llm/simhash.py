@@ -109,14 +109,15 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node that edges lead to) for every node of ``edges`` (a, b long).
 
-    Each round takes the least label among neighbours and then that label's own label, so paths halve.
+    Each round takes the least label among neighbours and then that label's own label, so paths halve; labels only fall, so
+    rounds end when none does.
     """
     edges = cut(edges.union(edges.select("b", "a")).distinct())
     labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")))
-    for _ in range(rounds):
+    while True:
         offers = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("offer"))
         lower = labels.join(offers, labels["node"] == offers["a"]).select("node", F.col("label").alias("was"), F.least("label", "offer").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
@@ -124,14 +125,13 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         labels = moved.select("node", "label")
         if not moved.where("was <> label").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, print, group (long) and component_id (least doc_id of the group) for every row of ``docs``.
 
     Rows whose fingerprints are linked, directly or through others, form a group; copies and repeated rows share theirs.
-    Null and empty texts have fingerprint zero and are linked like any other. Null ids are ignored by component_id,
+    Null and empty texts have fingerprint zero and are linked like any other; very long texts count whole. Null ids are ignored by component_id,
     which is null only where a group has no other. Other columns are not read; an empty table gives an empty result.
     """
     rows = cut(fingerprints(docs))
@@ -193,7 +193,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
     Rows whose sets are alike, directly or through others, form a group. Candidates share a band key; every link is
     verified on the whole sets. Of a key with more than BUCKET holders, all are first compared with the least, then all
-    pairs that are not in one group by then. Texts without words are copies of each other.
+    pairs that are not in one group by then. Texts without words are copies of each other; null texts count as empty. A very
+    long text is one sketch and, if it has candidates, one array of hashes. Null ids are ignored by component_id. Other
+    columns are not read; an empty table gives an empty result.
     """
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = cut(numbered.mapInArrow(_sketches, "doc_id long, text_hash long, print long, keys array<long>"))
@@ -226,8 +228,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group of near copies: the row of the least id, one if it is
-    repeated."""
+    """The rows of ``docs``, all columns, that stand for their group of near copies: the row of the least id (null if the group
+    has no other), of several such rows the one of the least hash of its text, and one if that is repeated."""
     found = near_copies(docs)
     chosen = cut(found.where("doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("it"), F.count(F.lit(1)).alias("n")))
     ids = chosen.select(F.col("it.doc_id").alias("_id"), F.col("it.text_hash").alias("_hash"))
