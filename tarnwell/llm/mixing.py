@@ -2,16 +2,16 @@
 
 1. Documents are reduced to cells (source, language, topic) with their tokens.
 2. Raking: the cells' weights are scaled so that the sums by source, by language and by topic meet their targets in
-   turn, until all three hold. Windows over the cell table do it; a cell table is small beside its documents, and no
-   step needs it in one place.
-3. Calibration: a document of a cell stays with probability min(1, c * weight / tokens), where c makes the expected
-   tokens meet the budget.
+   turn, until all three hold. No cell may weigh more than its documents can give to a sample of the budget's size: a
+   margin that is short grows by its other cells, so the caps are part of the fit and not a cut after it. Windows over the
+   cell table do it; a cell table is small beside its documents, and no step needs it in one place.
+3. Calibration: a document of a cell stays with probability budget * weight / tokens, which is at most 1.
 4. A hash of the row decides, so the same rows stay when the job runs again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +23,10 @@ Target = Mapping[str, float] | float
 TARGETS: dict[str, Target] = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 #: Share of all tokens that the sample is to have.
 BUDGET = 0.6
-TOLERANCE, MAX_ROUNDS, ROUNDS_AT_ONCE = 1e-6, 60, 3
+TOLERANCE, MAX_ROUNDS, ROUNDS_AT_ONCE = 1e-5, 36, 3
 SEED = 11
-#: Up to so many cells are sent to every executor; more are joined by their keys.
-BROADCAST_CELLS = 50_000
+#: Up to so many cells are sent to every executor; more are joined by their keys, with the rows of a cell over SALTS tasks.
+BROADCAST_CELLS, SALTS = 50_000, 64
 NONE = "(none)"
 DIMENSIONS = ("source", "lang", "topic")
 
@@ -69,59 +69,65 @@ def _targets(cells: DataFrame, dimension: str, target: Target) -> DataFrame:
     return wanted.select(dimension, (F.col("share") / total).alias(f"want_{dimension}"))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Target] = TARGETS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with weight: sums to 1, its margins meet the targets.
+def rake(cells: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens) with weight: sums to 1, its margins meet the targets, and no weight is more than
+    the cell's tokens over the budget's (a share of all tokens).
 
-    A value that no target names gets no weight. Targets that the cells cannot meet together are met as nearly as
-    MAX_ROUNDS rounds bring them.
+    A value that no target names gets no weight. Targets that the cells cannot meet together, or not under the caps, are met
+    as nearly as the rounds bring them, until no weight moves by TOLERANCE or MAX_ROUNDS are over; weights may then sum to less than 1. Ties need no order.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    rows = cells.withColumn("weight", F.col("tokens") / F.lit(float(max(total, 1))))
+    rows = cells.withColumns({"weight": F.col("tokens") / F.lit(float(max(total, 1))), "_cap": F.col("tokens") / F.lit(max(budget * total, 1e-9))})
     for d in targets:
         rows = rows.join(_targets(cells, d, targets[d]), d)
+    if cells.count() <= BROADCAST_CELLS:
+        rows = rows.coalesce(1)  # so few that every window finds them in one task, without a shuffle
     rows = cut(rows)
+    free = F.col("weight") < F.col("_cap") * (1 - 1e-12)
     for _ in range(0, MAX_ROUNDS, ROUNDS_AT_ONCE):
+        rows = rows.withColumn("_was", F.col("weight"))
         for _ in range(ROUNDS_AT_ONCE):
             for d in targets:
-                now = F.sum("weight").over(Window.partitionBy(d))
-                rows = rows.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"want_{d}") / now).otherwise(0.0))
+                among, want = Window.partitionBy(d), F.col(f"want_{d}")
+                held, able = F.sum(F.when(~free, F.col("weight"))).over(among), F.sum(F.when(free, F.col("weight"))).over(among)
+                held, able = F.coalesce(held, F.lit(0.0)), F.coalesce(able, F.lit(0.0))
+                # too much: all shrink; too little: those below their caps grow
+                factor = F.when(held + able >= want, F.when(held + able > 0, want / (held + able)).otherwise(0.0)).otherwise(F.when(free & (able > 0), (want - held) / able).otherwise(1.0))
+                rows = rows.withColumn("weight", F.least("_cap", F.col("weight") * factor))
         rows = cut(rows)
-        off = [rows.groupBy(d).agg(F.sum("weight").alias("now"), F.first(f"want_{d}").alias("want")).agg(F.max(F.abs(F.col("now") - F.col("want")))).first()[0] or 0.0 for d in targets]
-        if max(off) < TOLERANCE:
+        if (rows.agg(F.max(F.abs(F.col("weight") - F.col("_was")))).first()[0] or 0.0) < TOLERANCE:
             break
-    return rows.drop(*[f"want_{d}" for d in targets])
+    return rows.drop("_cap", "_was", *[f"want_{d}" for d in targets])
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
-    """Raked ``cells`` with probability, so that the expected tokens are ``budget`` (or all that have a weight)."""
-    scale, full = float(budget), -1
-    for _ in range(100):
-        at_most = F.lit(scale) * F.col("weight") >= F.col("tokens")
-        live = cells.where("weight > 0 AND tokens > 0")
-        got = live.agg(F.sum(F.when(at_most, F.col("tokens"))).alias("full"), F.sum(F.when(~at_most, F.col("weight"))).alias("rest")).first()
-        if got["rest"] is None or (got["full"] or 0) == full:
-            break
-        full = got["full"] or 0
-        scale = max(scale, (budget - full) / got["rest"])
-    chance = F.least(F.lit(1.0), F.lit(scale) * F.col("weight") / F.col("tokens"))
+    """Raked ``cells`` with probability, so that the expected tokens of each are its weight's share of ``budget`` tokens."""
+    chance = F.least(F.lit(1.0), F.lit(float(budget)) * F.col("weight") / F.col("tokens"))
     return cells.withColumn("probability", F.when(F.col("tokens") > 0, chance).otherwise(0.0))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """_row (all columns of ``docs``), source, lang, topic, tokens, weight (of the cell), probability and kept.
+def mix(docs: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET, carry: Sequence[str] | None = None) -> DataFrame:
+    """_row, source, lang, topic, tokens, weight (of the cell), probability and kept.
 
-    Null sources and languages are the value "(none)". Null and empty texts have no tokens; a cell without tokens has
-    probability 0. Repeated rows share their fate. An empty table gives an empty result.
+    _row holds all columns of ``docs``, or those named by ``carry``, whose rows are then kept between the two passes, so that
+    texts are read once. Null sources and languages are the value "(none)". Null and empty texts have no tokens; a cell
+    without tokens has probability 0. Very long texts count whole. Repeated rows share their fate. An empty table gives an
+    empty result.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), described(docs).alias("_d"))
+    rows = docs.select(F.struct(*(docs.columns if carry is None else carry)).alias("_row"), described(docs).alias("_d"))
+    if carry is not None:
+        rows = cut(rows)
     keys = [F.col(f"_d.{d}").alias(d) for d in DIMENSIONS]
-    cells = cut(docs.select(described(docs).alias("_d")).groupBy(*keys).agg(F.sum("_d.tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
-    raked = rake(cells.drop("n"), targets)
+    cells = cut(rows.select("_d").groupBy(*keys).agg(F.sum("_d.tokens").alias("tokens")))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    chances = cut(calibrate(raked, budget * total).select(*DIMENSIONS, "weight", "probability"))
+    chances = cut(calibrate(rake(cells, targets, budget), budget * total).select(*DIMENSIONS, "weight", "probability"))
+    found = rows.select("_row", *keys, F.col("_d.tokens").alias("tokens"), F.col("_d.draw").alias("_draw"))
     if chances.count() <= BROADCAST_CELLS:
-        chances = F.broadcast(chances)
-    found = rows.select("_row", *keys, F.col("_d.tokens").alias("tokens"), F.col("_d.draw").alias("_draw")).join(chances, list(DIMENSIONS))
+        found = found.join(F.broadcast(chances), list(DIMENSIONS))
+    else:
+        found = found.withColumn("_salt", F.floor(F.col("_draw") * 1e9).cast("long") % SALTS)
+        salted = chances.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        found = found.join(salted.hint("merge"), [*DIMENSIONS, "_salt"])
     return found.select("_row", *DIMENSIONS, "tokens", "weight", "probability", (F.col("_draw") < F.col("probability")).alias("kept"))
 
 
