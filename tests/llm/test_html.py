@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 from itertools import combinations
 
@@ -18,16 +19,29 @@ three.<br>four<p>Second&nbsp;para &#233;<aside>Side</aside><ul><li>a<li>b</ul><f
 <section class="comments"><p>Nice</p></section></article><footer>&copy; x</footer></body></html>""".format()
 
 
+def alone(html, rules=True):
+    return h.main_text(*h.units_of(h.lines_of(html), rules), None)[0]
+
+
 def test_article_alone_is_text():
-    lines = h.lines_of(PAGE)
-    assert h.main_text(lines, None) == "Title & more\nOne two three. four\nSecond para é\na\nb"
+    assert alone(PAGE) == "Title & more\nOne two three. four\nSecond para é\na\nb"
 
 
 def test_broken_and_empty_pages():
     assert h.lines_of(None) == [] and h.lines_of("") == [] and h.lines_of("<p") == []
-    assert h.main_text(h.lines_of("<article><p>cut off in the mid"), None) == "cut off in the mid"
-    assert h.main_text(h.lines_of("plain text\n only"), None) == "plain text only"
-    assert h.main_text(h.lines_of("</div></p>x<div><div><p>y"), None) == "x\ny"
+    assert alone("<article><p>cut off in the mid") == "cut off in the mid" and alone("<p>a <a href='x") == "a"
+    assert alone("plain text\n only") == "plain text only"
+    assert alone("</div></p>x<div><div><p>y") == "x\ny"
+    assert alone("a < b <3 <!-- <p>no --> c<!--> d<!x> e<?y?> f</> g") == "a < b <3 c d e f g"
+    assert alone("<p title='a > b' class=x>one<script>if (a<b) '</p>'</SCRIPT >two<textarea><p>no</textarea>") == "onetwo"
+    assert alone("<P>one<BR/>two</P><svg/>three<title>no") == "one two\nthree"
+
+
+def test_long_and_broken_pages_take_linear_time():
+    began = time.perf_counter()
+    for html in ("<b>" * 100_000 + "</i>" * 100_000, "<a " * 300_000, "<a " * 300_000 + ">x", '<a "' * 200_000 + ">", "<p>" * 200_000, "<ul><li>" * 50_000 + "<li>" * 50_000, "<!--" * 200_000, "<div class='a'>" * 60_000 + "x", "<" * 500_000, "<script>" * 100_000, "&amp" * 200_000):
+        h.lines_of(html)
+    assert time.perf_counter() - began < 12
 
 
 def lcs(a, b):
@@ -47,13 +61,6 @@ def test_common_lines_match_brute_force():
         assert all(a[i] in it for i in found) and len(found) == lcs(a, b)
 
 
-def test_long_pages_align_by_unique_lines(monkeypatch):
-    monkeypatch.setattr(h, "TABLE", 10)
-    a = ["x", "n1", "n2", "own", "n3", "z"]
-    b = ["y", "n1", "other", "n2", "n3", "w"]
-    assert h.shared_lines(a, b) == {1, 2, 4}
-
-
 def test_long_pages_align_exactly(monkeypatch):
     a = [x for i in range(700) for x in (f"own {i}", "Reply")]
     b = [x for i in range(700) for x in (f"other {i}", "Reply")]
@@ -78,8 +85,7 @@ def test_differencing_deletes_what_neighbours_share(spark):
     got = h.extract(table(spark, rows).coalesce(1)).collect()
     assert Counter(r["page_id"] for r in got) == Counter(r[0] for r in rows)
     by_id = {r["page_id"]: r for r in got}
-    alone = sum(by_id[i]["text"] != f"Story {i}" for i in range(20))
-    assert alone <= 2  # a page whose neighbours went to other partitions keeps all its lines
+    assert all(by_id[i]["text"] == f"Story {i}" and by_id[i]["n_shared"] == 3 for i in range(20))
     assert by_id[100]["text"].split("\n") == ["Site name", "Daily news", "Alone", "Terms of use"]
     assert by_id[101]["text"] == "" and by_id[101]["n_chars"] == 0 and by_id[102]["text"] == "No url"
     assert "Copy" in by_id[200]["text"] and all(r["n_chars"] == len(r["text"]) for r in got)
@@ -88,16 +94,15 @@ def test_differencing_deletes_what_neighbours_share(spark):
 def nearest_differing(rows):
     """Texts by page, from one sorted list."""
     rows = sorted(rows, key=lambda r: (r[1], r[0]))
-    parsed = [h.lines_of(r[2]) for r in rows]
-    own = [[x for x, _ in p] for p in parsed]
+    units = [h.units_of(h.lines_of(r[2])) for r in rows]
     path = lambda k: rows[k][1].partition("org")[2]
     out = {}
     for k, r in enumerate(rows):
         host = lambda j: rows[j][1].partition("org")[0]
-        near = [next((j for j in way if host(j) == host(k) and own[j] != own[k]), None) for way in (range(k - 1, -1, -1), range(k + 1, len(rows)))]
+        near = [next((j for j in way if host(j) == host(k) and units[j][1] != units[k][1]), None) for way in (range(k - 1, -1, -1), range(k + 1, len(rows)))]
         near = [j for j in near if j is not None]
         other = max(near, key=lambda j: h._common(path(k), path(j)), default=None)
-        out[r[0]] = h.main_text(parsed[k], None if other is None else own[other])
+        out[r[0]] = h.main_text(*units[k], None if other is None else units[other][1])[0]
     return out
 
 
@@ -106,7 +111,7 @@ def test_copies_and_partition_edges_find_the_nearest_differing_page(spark):
     rows += [(300 + i, f"http://y.org/{i:03}", page(i, "Same")) for i in range(60)] + [(400, "http://y.org/a", page(1, "Last"))]
     df = table(spark, rows)
     want = nearest_differing(rows)
-    for partitions in (1, 4, 40):
+    for partitions in (1, 4, 64):
         spark.conf.set("spark.sql.shuffle.partitions", partitions)
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
         try:
@@ -124,5 +129,24 @@ def test_articles_keep_lines_that_neighbours_share(spark):
     assert {r["text"] for r in got} == {f"Same\nown {i}" for i in range(4)}
 
 
+def test_differencing_alone_finds_the_article(spark):
+    """Without the rules and without names of furniture: places that neighbours share go, whatever they say."""
+    random = np.random.default_rng(4)
+    words = lambda n: " ".join(f"w{x}" for x in random.integers(0, 9999, n))
+    rows, want = [], {}
+    for i in range(60):
+        menu = "".join(f"<li>{words(1)}" for _ in range(random.integers(2, 9)))
+        paragraphs = [words(30) for _ in range(random.integers(1, 6))]
+        want[i] = "\n".join(paragraphs)
+        rows.append((i, f"http://x.org/{i % 5}/{i}", f"<div class=q{i}><ul>{menu}</ul></div><div>{words(5)}</div><article>{''.join(f'<p>{p}</p>' for p in paragraphs)}</article><div class=z>{words(3)}</div>"))
+    rows.append((100, "http://alone.org/", rows[0][2]))
+    got = {r["page_id"]: r for r in h.extract(table(spark, rows), rules=False).collect()}
+    assert all(got[i]["text"] == want[i] and got[i]["n_shared"] == 3 for i in range(60))
+    assert got[100]["text"] != want[0] and got[100]["n_shared"] == 0  # no neighbour: only the rules tell
+    ruled = {r["page_id"]: r for r in h.extract(table(spark, rows)).collect()}
+    assert all(ruled[i]["text"] == want[i] and ruled[i]["n_ruled"] == 0 for i in range(60))
+    assert ruled[100]["text"] == want[0] and ruled[100]["n_ruled"] == 3
+
+
 def test_empty_table(spark):
     assert h.extract(table(spark, []).limit(0)).count() == 0
