@@ -8,15 +8,16 @@ model. Training is truncated backpropagation: gradients stay inside a window, th
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 
 #: Word numbers with a meaning of their own: all words outside the vocabulary, and the end of a text.
 UNKNOWN, END = 0, 1
-STATE, CLASSES = 16, 40
+STATE, CLASSES = 16, 24
 WINDOW = 24
 LANES = 256
-TRAIN_LANES, STEPS, LEARNING = 384, 100, 0.4
+TRAIN_LANES, STEPS, LEARNING = 512, 100, 0.4
 SEED = 5
 
 
@@ -27,7 +28,7 @@ class Shape:
         share = (counts + 1.0) / (counts + 1.0).sum()
         order = 1 + np.argsort(-share[1:], kind="stable")
         mass = np.cumsum(np.sqrt(share[order]))
-        of = np.zeros(len(counts), np.int64)
+        of = np.zeros(len(counts), np.uint8)
         of[order] = 1 + np.minimum((mass / mass[-1] * (CLASSES - 1)).astype(int), CLASSES - 2)
         self.of = of
         self.members = [np.flatnonzero(of == c) for c in range(CLASSES)]
@@ -64,20 +65,33 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def _gate(x: np.ndarray) -> np.ndarray:
-    y = x * 0.5
-    np.tanh(y, out=y)
-    y *= 0.5
-    y += 0.5
-    return y
-
-
-def step(model: dict, word: np.ndarray, h: np.ndarray) -> tuple:
-    seen, kept = np.take(model["input"], word, axis=0), h @ model["state"]
-    gates = _gate(seen[:, : 2 * STATE] + kept[:, : 2 * STATE])
-    r, z = gates[:, :STATE], gates[:, STATE:]
-    n = np.tanh(seen[:, 2 * STATE :] + r * kept[:, 2 * STATE :])
-    return h + z * (n - h), r, z, n, kept[:, 2 * STATE :]
+def _forward(model: dict, words: np.ndarray, opens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple:
+    """A window of steps x lanes: the words read, whether the state goes on, the states before and after each step, and the
+    gates, new states and reset parts that lead from one to the other. Where a text opens, the state starts anew."""
+    steps, lanes = words.shape
+    inputs = np.where(opens, END, np.concatenate([before[None], words[:-1]]))
+    goes_on = (~opens).astype(h.dtype)[:, :, None]
+    seen = np.take(model["input"], inputs, axis=0)
+    kind = seen.dtype
+    gates, news, kepts = np.empty((steps, lanes, 2 * STATE), kind), np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)
+    states, after = np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)
+    for t in range(steps):
+        np.multiply(after[t - 1] if t else h, goes_on[t], out=states[t])
+        kept = states[t] @ model["state"]
+        gate, new = gates[t], news[t]
+        np.add(seen[t, :, : 2 * STATE], kept[:, : 2 * STATE], out=gate)
+        gate *= 0.5
+        np.tanh(gate, out=gate)
+        gate *= 0.5
+        gate += 0.5
+        kepts[t] = kept[:, 2 * STATE :]
+        np.multiply(gate[:, :STATE], kepts[t], out=new)
+        new += seen[t, :, 2 * STATE :]
+        np.tanh(new, out=new)
+        step = new - states[t]
+        step *= gate[:, STATE:]
+        np.add(states[t], step, out=after[t])
+    return inputs, goes_on, states, after, gates, news, kepts
 
 
 def _masses(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -108,8 +122,8 @@ def _chosen_and_slope(x: np.ndarray, at: tuple) -> tuple[float, np.ndarray]:
 
 
 def _by_class(shape: Shape, target: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    of = shape.of[target]
-    order = np.argsort(of, kind="stable")
+    of = np.take(shape.of, target)
+    order = np.argsort(of, kind="stable")  # radix sort, as classes are bytes
     edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
     return [(c, order[edges[c] : edges[c + 1]]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
 
@@ -125,9 +139,10 @@ def log_odds(model: dict, shape: Shape, h: np.ndarray, target: np.ndarray) -> np
     return out
 
 
-def _lanes(texts: list[np.ndarray], order: list[int], count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Texts laid end to end, in ``order``, on ``count`` lanes of about equal length, the longest lane first: the word at
-    each step of each lane, its text, whether a text begins there, and how many lanes last until each step."""
+def _windows(texts: list[np.ndarray], order: list[int], count: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts laid end to end, in ``order``, on ``count`` lanes of about equal length, cut into windows of WINDOW steps: each
+    place's word, its text, whether a text opens there, and whether the lane lasts so long. The longest lane comes first and
+    lanes that have ended are left out, so memory goes by the number of words, however long a text is."""
     lanes: list[list[int]] = [[] for _ in range(count)]
     heap = [(0, k) for k in range(count)]
     for i in order:
@@ -137,16 +152,19 @@ def _lanes(texts: list[np.ndarray], order: list[int], count: int) -> tuple[np.nd
     lengths = np.array([sum(len(texts[i]) for i in lane) for lane in lanes])
     longest_first = np.argsort(-lengths, kind="stable")
     lengths = lengths[longest_first]
-    word = np.zeros((lengths.max(initial=0), count), np.int32)
-    owner = np.zeros(word.shape, np.int32)
-    opens = np.zeros(word.shape, bool)
-    for k, lane in enumerate(longest_first):
-        at = 0
-        for i in lanes[lane]:
-            word[at : at + len(texts[i]), k], owner[at : at + len(texts[i]), k], opens[at, k] = texts[i], i, True
-            at += len(texts[i])
-    active = count - np.searchsorted(lengths[::-1], np.arange(len(word)), "right")
-    return word, owner, opens, active
+    laid = [i for k in longest_first for i in lanes[k]]
+    sizes = np.array([len(texts[i]) for i in laid])
+    word = np.concatenate([texts[i] for i in laid])
+    owner = np.repeat(np.array(laid, np.int32), sizes)
+    opens = np.zeros(len(word), bool)
+    opens[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    base = np.cumsum(lengths) - lengths
+    for low in range(0, int(lengths.max(initial=0)), WINDOW):
+        n = int(np.searchsorted(-lengths, -low, "left"))
+        steps = np.arange(low, min(low + WINDOW, int(lengths[0])))[:, None]
+        live = steps < lengths[:n]
+        at = base[:n] + np.minimum(steps, lengths[:n] - 1)
+        yield word[at].astype(np.int32), owner[at], opens[at] & live, live
 
 
 def score(model: dict, shape: Shape, texts: list[np.ndarray]) -> np.ndarray:
@@ -156,30 +174,21 @@ def score(model: dict, shape: Shape, texts: list[np.ndarray]) -> np.ndarray:
     """
     total = np.zeros(len(texts))
     longest_first = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    word, owner, opens, active = _lanes(texts, longest_first, min(LANES, len(texts)))
-    h = np.zeros((word.shape[1], STATE), np.float32)
-    before = np.full(word.shape[1], END, np.int32)
-    for low in range(0, len(word), WINDOW):
-        states, targets, owners = [], [], []
-        for t in range(low, min(low + WINDOW, len(word))):
-            n = active[t]
-            h, before = h[:n], before[:n]
-            fresh = opens[t, :n]
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-                before = np.where(fresh, END, before)
-            h = step(model, before, h)[0]
-            before = word[t, :n]
-            states.append(h)
-            targets.append(before)
-            owners.append(owner[t, :n])
-        total += np.bincount(np.concatenate(owners), log_odds(model, shape, np.concatenate(states), np.concatenate(targets)), len(texts))
+    count = min(LANES, len(texts))
+    h, before = np.zeros((count, STATE), np.float32), np.full(count, END, np.int32)
+    for word, owner, opens, live in _windows(texts, longest_first, count) if texts else ():
+        n = word.shape[1]
+        after = _forward(model, word, opens, before[:n], h[:n])[3]
+        h, before = after[-1], word[-1]
+        at = np.flatnonzero(live)
+        logs = log_odds(model, shape, after.reshape(-1, STATE)[at], word.ravel()[at])
+        total += np.bincount(owner.ravel()[at], logs, len(texts))
     return total
 
 
 def _sum_rows(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
     out = np.zeros((count, *values.shape[1:]), np.float32)
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if count < 1 << 16 else rows, kind="stable")  # radix sort where short
     found, first = np.unique(rows[order], return_index=True)
     if len(found):
         out[found] = np.add.reduceat(values[order], first, axis=0)
@@ -189,33 +198,12 @@ def _sum_rows(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
 def gradients(model: dict, shape: Shape, words: np.ndarray, opens: np.ndarray, before: np.ndarray, h: np.ndarray, mask: np.ndarray) -> tuple[dict, np.ndarray, float]:
     """Gradients of a window's log probability (words: steps x lanes), the state after it, and that log probability.
 
-    Where a text opens, the state starts anew. What doesn't depend on the recurrence is done for all steps at once.
+    What doesn't depend on the recurrence is done for all steps at once.
     """
     steps, lanes = words.shape
-    inputs = np.where(opens, END, np.concatenate([before[None], words[:-1]]))
-    goes_on = (~opens).astype(h.dtype)[:, :, None]
-    seen = np.take(model["input"], inputs, axis=0)
-    kind = seen.dtype
-    gates, news, kepts = np.empty((steps, lanes, 2 * STATE), kind), np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)
-    states, after = np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)  # before and after each step
-    for t in range(steps):
-        np.multiply(after[t - 1] if t else h, goes_on[t], out=states[t])
-        kept = states[t] @ model["state"]
-        gate = gates[t]
-        np.add(seen[t, :, : 2 * STATE], kept[:, : 2 * STATE], out=gate)
-        gate *= 0.5
-        np.tanh(gate, out=gate)
-        gate *= 0.5
-        gate += 0.5
-        kepts[t] = kept[:, 2 * STATE :]
-        new = news[t]
-        np.multiply(gate[:, :STATE], kepts[t], out=new)
-        new += seen[t, :, 2 * STATE :]
-        np.tanh(new, out=new)
-        step = new - states[t]
-        step *= gate[:, STATE:]
-        np.add(states[t], step, out=after[t])
-    live = mask.ravel()
+    inputs, goes_on, states, after, gates, news, kepts = _forward(model, words, opens, before, h)
+    kind = after.dtype
+    live = np.flatnonzero(mask) if not mask.all() else slice(None)
     at = after.reshape(-1, STATE)[live]
     target = words.ravel()[live]
     total, slope = _chosen_and_slope(at @ model["classes"] + model["class_bias"], (np.arange(len(at)), shape.of[target]))
@@ -269,18 +257,20 @@ def train(model: dict, shape: Shape, texts: list[np.ndarray], epochs: int = 1) -
     count = int(np.clip(size // (STEPS * WINDOW), 1, min(TRAIN_LANES, len(texts))))
     seen = 0
     for _ in range(epochs):
-        words, _, opens, active = _lanes(texts, random.permutation(len(texts)).tolist(), count)
         h, before = np.zeros((count, STATE), np.float32), np.full(count, END, np.int32)
-        for at in range(0, len(words), WINDOW):
-            n = active[at]
-            part = slice(at, at + WINDOW), slice(0, n)
-            mask = np.arange(n) < active[at : at + WINDOW, None]
-            slopes, h, _ = gradients(model, shape, words[part], opens[part], before[:n], h[:n], mask)
-            before = words[part][-1]
+        for words, _, opens, mask in _windows(texts, random.permutation(len(texts)).tolist(), count):
+            n = words.shape[1]
+            slopes, h, _ = gradients(model, shape, words, opens, before[:n], h[:n], mask)
+            before = words[-1]
             rate = LEARNING * (1 - seen / (epochs * size))
             seen += int(mask.sum())
             for k, g in slopes.items():
-                g = np.clip(g / WINDOW, -5, 5)
-                past[k] += g * g
-                model[k] += rate * g / np.sqrt(past[k])
+                g *= 1 / WINDOW
+                np.clip(g, -5, 5, out=g)
+                size_of_step = g * g
+                past[k] += size_of_step
+                np.sqrt(past[k], out=size_of_step)
+                g *= rate
+                g /= size_of_step
+                model[k] += g
     return model

@@ -8,7 +8,7 @@
    trainers begin with the same model; their models are averaged by their tokens, ROUNDS times.
 4. Scoring: the state runs through the whole text. A word outside the model's vocabulary has the probability of the
    unknown word times its own share, by the counts, of what unknown words have.
-5. Words that are not hot are looked up by a join: per text only its distinct rare words are shuffled.
+5. The words' numbers are kept between these steps; words that are not hot are looked up by a join: per text only its distinct rare words are shuffled.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ TRAINER_TOKENS, ROUNDS = 2_000_000, 1
 BUCKETS = 64
 #: Distinct words that a task counts before it hands them on, and numbers of a model's block.
 FLUSH, BLOCK = 300_000, 4096
+#: Texts that are scored together.
+SCORED_ROWS = 4096
 END = b""  # no word is empty
 
 
@@ -83,6 +85,11 @@ class Lexicon:
     rare_total: int  # of words outside the model's vocabulary
     rare_distinct: int
 
+    @property
+    def stored(self) -> np.dtype:
+        """How the model's words are stored."""
+        return np.dtype("<u2" if self.vocabulary < 60_000 else "<u4")
+
     def numbers(self, words: list[bytes]) -> np.ndarray:
         """Places of hot words, -1 for others."""
         get = self.hot.get
@@ -114,25 +121,12 @@ def lexicon(counts: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) ->
     return Lexicon({w: i for i, w in enumerate(words)}, c, shape, vocabulary, total, distinct, rare_total, max(0, distinct - int((known > 0).sum())))
 
 
-def _numbered(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """key and words (the model's word numbers, little-endian) of the training rows of ``docs``."""
-    kind = np.dtype("<u2" if lex.vocabulary < 60_000 else "<u4")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = [lex.model_words(lex.numbers(tokens(t))).astype(kind).tobytes() for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["key", "words"])
-
-    rows = docs.where(~held_out(F.col("doc_id"))).select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    return rows.mapInArrow(run, "key long, words binary")
-
-
-def train(docs: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
-    """The recurrent model averaged over the trainers' models. A trainer holds 2 * TRAINER_TOKENS tokens at most at once."""
+def train(texts: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
+    """The recurrent model averaged over the trainers' models, from ``texts`` (key, words). A trainer holds
+    2 * TRAINER_TOKENS tokens at most at once."""
     model = gru.start(lex.shape)
-    kind = np.dtype("<u2" if lex.vocabulary < 60_000 else "<u4")
     trainers = max(1, -(-lex.total // TRAINER_TOKENS))
-    dealt = _numbered(docs, lex).repartition(trainers, "key").sortWithinPartitions("key", "words").select("words")
+    dealt = texts.repartition(trainers, "key").sortWithinPartitions("key", "words").select("words")
     for _ in range(ROUNDS):
         begin = model
 
@@ -140,7 +134,7 @@ def train(docs: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
             texts, held, read, own = [], 0, 0, begin
             for batch in slices(batches):
                 for words in batch.column(0).to_pylist():
-                    texts.append(np.frombuffer(words, kind))
+                    texts.append(np.frombuffer(words, lex.stored))
                     held += len(texts[-1])
                     if held >= 2 * TRAINER_TOKENS:
                         own, read, texts, held = gru.train(own, lex.shape, texts), read + held, [], 0
@@ -171,10 +165,12 @@ def train(docs: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
     return model
 
 
-_SCORED = pa.schema(
-    [("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("hot_sum", pa.float64()), ("unknown_sum", pa.float64()), ("n_unknown", pa.int64()), ("model_sum", pa.float64()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))]
+_READ = pa.schema(
+    [("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("teaches", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("hot_sum", pa.float64()), ("unknown_sum", pa.float64()), ("n_unknown", pa.int64())]
+    + [("words", pa.binary()), ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])))]
 )
-_SCORED_SQL = "row long, n_tokens long, known long, hot_sum double, unknown_sum double, n_unknown long, model_sum double, rare array<struct<word:binary,n:int>>"
+_NUMBERS = "row long, doc_id long, n_tokens long, known long, hot_sum double, unknown_sum double, n_unknown long"
+_READ_SQL = "row long, doc_id long, key long, teaches boolean, n_tokens long, known long, hot_sum double, unknown_sum double, n_unknown long, words binary, rare array<struct<word:binary,n:int>>"
 
 
 def _rare(held: list[Counter]) -> pa.Array:
@@ -195,37 +191,37 @@ def score(docs: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) -> Data
     docs = docs.select("doc_id", "text")
     counts = cut(count_words(docs))
     lex = lexicon(counts, hot, vocabulary)
-    model = train(docs, lex)
     logs = np.log10(lex.c + 1.0)
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            held, sums, stored = [], [], []
+            for text in as_bytes(batch.column(4)):
+                words = tokens(text)
+                places = lex.numbers(words)
+                found = places[places >= 0]
+                outside = found[found >= lex.vocabulary]
+                held.append(Counter([words[i] for i in np.flatnonzero(places < 0).tolist()]))
+                stored.append(lex.model_words(places).astype(lex.stored).tobytes())
+                sums.append((len(words), int((lex.c[found] > 0).sum()), float(logs[found].sum()), float(logs[outside].sum()), len(words) - len(found) + len(outside)))
+            columns = [pa.array(c, _READ.field(k).type) for k, c in enumerate(zip(*sums, strict=True), 4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns, pa.array(stored, pa.binary()), _rare(held)], _READ.names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, parts = [], []
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                held, sums = [], []
-                for text in as_bytes(part.column(1)):
-                    words = tokens(text)
-                    places = lex.numbers(words)
-                    found = places[places >= 0]
-                    outside = found[found >= lex.vocabulary]
-                    held.append(Counter([words[i] for i in np.flatnonzero(places < 0).tolist()]))
-                    texts.append(lex.model_words(places))
-                    sums.append((len(words), int((lex.c[found] > 0).sum()), float(logs[found].sum()), float(logs[outside].sum()), len(words) - len(found) + len(outside)))
-                parts.append((part.column(0), sums, _rare(held)))  # Arrow holds the words more tightly than counters do
-            scores = gru.score(model, lex.shape, texts) / np.log(10)
-            at = 0
-            for row, sums, rare in parts:
-                columns = [pa.array(c, _SCORED.field(k).type) for k, c in enumerate(zip(*sums, strict=True), 1)]
-                yield pa.RecordBatch.from_arrays([row, *columns, pa.array(scores[at : at + len(sums)]), rare], _SCORED.names)
-                at += len(sums)
-
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    # One pass gives the rows' numbers and their results; the checkpoint fixes both.
-    done = cut(numbered.mapInArrow(_with_id(run), f"{_SCORED_SQL}, doc_id long"))
+        for batch in slices(batches, SCORED_ROWS):
+            found = gru.score(model, lex.shape, [np.frombuffer(w, lex.stored) for w in batch.column(7).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(found / np.log(10))], [*batch.schema.names[:7], "model_sum"])
+
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), (~held_out(F.col("doc_id"))).alias("teaches"), "text"
+    )
+    # One pass gives the rows' numbers and words; the checkpoint fixes both.
+    done = cut(numbered.mapInArrow(read, _READ_SQL))
+    model = train(done.where("teaches").select("key", "words"), lex)
     rare = done.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("n"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("rare_sum"))
-    rows = done.drop("rare").join(found, "row", "left")
+    scored = done.select("row", "doc_id", "n_tokens", "known", "hot_sum", "unknown_sum", "n_unknown", "words").mapInArrow(run, f"{_NUMBERS}, model_sum double")
+    rows = scored.join(found, "row", "left")
     rare_known, rare_sum = F.coalesce("rare_known", F.lit(0)), F.coalesce("rare_sum", F.lit(0.0))
     size = float(np.log10(lex.total + lex.distinct + 1))
     rare_size = float(np.log10(lex.rare_total + lex.rare_distinct + 1))
@@ -238,17 +234,3 @@ def score(docs: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) -> Data
         (F.col("hot_sum") + rare_sum - F.col("n_tokens") * F.lit(size)).alias("base_score"),
         (F.col("model_sum") + F.col("unknown_sum") + rare_sum - F.col("n_unknown") * F.lit(rare_size)).alias("score"),
     )
-
-
-def _with_id(run):
-    """``run`` on (row, text), with the third column appended to its rows, which keep their order."""
-
-    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            for part in run(iter([batch.select([0, 1])])):
-                ids = batch.column(2).slice(at, part.num_rows)
-                at += part.num_rows
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "doc_id"])
-
-    return both

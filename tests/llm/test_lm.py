@@ -95,24 +95,26 @@ def test_lanes_give_the_score_of_each_text_alone(monkeypatch):
     assert np.allclose(together, alone, rtol=1e-4)
 
 
-def test_window_log_probability_is_that_of_the_score():
+def test_window_log_probability_is_that_of_the_score(monkeypatch):
     model, shape = small()
     random = np.random.default_rng(8)
     model = {k: (v + random.normal(0, 0.3, v.shape)).astype(np.float32) for k, v in model.items()}
     texts = [np.append(random.integers(2, 40, n), 1).astype(np.int32) for n in (4, 9, 2, 6)]
-    words, _, opens, active = gru._lanes(texts, [0, 1, 2, 3], 2)
-    mask = np.arange(2) < active[:, None]
+    monkeypatch.setattr(gru, "WINDOW", 50)
+    [(words, _, opens, mask)] = gru._windows(texts, [0, 1, 2, 3], 2)
     total = gru.gradients(model, shape, words, opens, np.full(2, gru.END), np.zeros((2, gru.STATE), np.float32), mask)[2]
     assert abs(total - gru.score(model, shape, texts).sum()) < 1e-2
 
 
-def test_lanes_hold_every_token_once_and_in_order():
+def test_windows_hold_every_token_once_and_in_order():
     random = np.random.default_rng(9)
-    texts = [random.integers(2, 40, n).astype(np.int32) for n in (1, 47, 48, 191, 1000, 3)]
-    words, owner, opens, active = gru._lanes(texts, [3, 5, 0, 4, 2, 1], 3)
-    for i, text in enumerate(texts):
-        live = (np.arange(3) < active[:, None]) & (owner == i)
-        assert (words.T[live.T] == text).all() and live.sum() == len(text) and (opens & live).sum() == 1
+    texts = [random.integers(2, 40, n).astype(np.uint16) for n in (1, 47, 48, 191, 1000, 3)]
+    found, begins = [[] for _ in texts], [0] * len(texts)
+    for words, owner, opens, live in gru._windows(texts, [3, 5, 0, 4, 2, 1], 3):
+        for t, k in zip(*np.nonzero(live), strict=True):
+            found[owner[t, k]].append(words[t, k])
+            begins[owner[t, k]] += opens[t, k]
+    assert all(list(t) == f for t, f in zip(texts, found, strict=True)) and begins == [1] * len(texts)
 
 
 def test_extreme_logits_stay_finite():
