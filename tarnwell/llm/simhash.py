@@ -34,8 +34,9 @@ MAX_DISTANCE = 2
 #: of the BANDS keys with a probability of (1 - 0.8 ** BAND_ROWS) ** BANDS = 7e-5.
 COPY_WORDS, ALIKE = 5, (4, 5)
 BANDS, BAND_ROWS = 24, 5
-#: Most holders of a key that are all compared at once.
+#: Most holders of a key that are all paired at once; texts, and their shingles, of a block of a larger family.
 BUCKET = 8
+BLOCK, BLOCK_SHINGLES = 256, 1 << 18
 _random = np.random.default_rng(SEED)
 _MASKS = _random.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
 _FACTORS = _random.integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
@@ -188,12 +189,60 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(alike).select("a", "b"))
 
 
+def _forest(table: pa.Table) -> pa.Table:
+    """Pairs a, b of different groups whose sets are alike, as few as connect all that are: whole sets of one or two blocks."""
+    prints, groups = table["print"].to_numpy(), table["group"].to_numpy()
+    lists = table["shingles"].combine_chunks()
+    values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    token = np.unique(values, return_inverse=True)[1]
+    often = np.bincount(token) > 1  # a shingle that one set holds is shared with none
+    place = np.cumsum(often) - 1
+    row, token = np.repeat(np.arange(len(sizes)), sizes)[often[token]], place[token[often[token]]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], token[order]
+    shared = np.zeros((len(sizes), len(sizes)), np.float32)
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        part = slice(*np.searchsorted(token, (low, low + 4096)))
+        held = np.zeros((len(sizes), 4096), np.float32)
+        held[row[part], token[part] - low] = 1
+        shared += held @ held.T
+    alike = (shared * sum(ALIKE) >= ALIKE[0] * (sizes[:, None] + sizes)) & (groups[:, None] != groups)
+    top = {g: g for g in groups.tolist()}
+    found = []
+    for i, j in np.argwhere(np.triu(alike, 1)).tolist():
+        x, y = (groups[k].item() for k in (i, j))
+        while top[x] != x:
+            x = top[x]
+        while top[y] != y:
+            y = top[y]
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            found.append((prints[i], prints[j]))
+    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+
+def _between_groups(many: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links a, b between the groups of keys that hold several: ``many`` has key, print, a (least print of the key), group.
+
+    Keys that share prints make a family. Its prints fall into blocks of bounded size, and every two blocks are compared on
+    their whole sets in a task of their own, so no pair becomes a row and no task holds a family.
+    """
+    family = components(many.select("a", F.col("print").alias("b")).where("a <> b")).select(F.col("node").alias("print"), F.col("label").alias("family"))
+    rows = many.select("print", "group").distinct().join(family, "print").join(sets, "print")
+    rows = cut(rows)
+    size = rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
+    rows = rows.join(size, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "print", "group", "shingles")
+    return cut(rows.groupBy("family", "low", "high").applyInArrow(_forest, "a long, b long"))
+
+
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, print (of the text's set of shingles), group and component_id for every row of ``docs``.
 
     Rows whose sets are alike, directly or through others, form a group. Candidates share a band key; every link is
-    verified on the whole sets. Of a key with more than BUCKET holders, all are first compared with the least, then all
-    pairs that are not in one group by then. Texts without words are copies of each other; null texts count as empty. A very
+    verified on the whole sets. Of a key with more than BUCKET holders, all are first compared with the least; keys whose
+    holders are not in one group by then are compared block by block (_between_groups). Texts without words are copies of each other; null texts count as empty. A very
     long text is one sketch and, if it has candidates, one array of hashes. Null ids are ignored by component_id. Other
     columns are not read; an empty table gives an empty result.
     """
@@ -213,15 +262,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
     edges = _verified(pairs, sets)
     labels = components(edges)
     group = F.coalesce("label", "print").alias("group")
-    many = cut(index.where(f"n > {BUCKET}").join(labels, F.col("print") == F.col("node"), "left").select("key", "print", group))
+    many = cut(index.where(f"n > {BUCKET}").join(labels, F.col("print") == F.col("node"), "left").select("key", "print", "a", group))
     split = many.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
     many = cut(many.join(split, "key", "left_semi"))
-    left = many.select("key", F.col("print").alias("a"), F.col("group").alias("x"))
-    right = many.select("key", F.col("print").alias("b"), F.col("group").alias("y"))
-    more = left.join(right, "key").where("a < b AND x <> y").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = _verified(more, sets)
-    if more.limit(1).count():
-        labels = components(edges.unionByName(more))
+    if many.limit(1).count():
+        labels = components(edges.unionByName(_between_groups(many, sets)))
     grouped = cut(prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least", group))
     ids = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     return rows.drop("keys").join(grouped.join(ids, "group").select("print", "group", "component_id"), "print")

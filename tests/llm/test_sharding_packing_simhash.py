@@ -112,7 +112,9 @@ def test_keep_one(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
-def test_keep_one_drops_copies_with_edits(spark):
+@pytest.mark.parametrize("block", [256, 7])
+def test_keep_one_drops_copies_with_edits(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     random = np.random.default_rng(8)
     rows = []
     for k in range(30):
