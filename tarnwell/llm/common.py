@@ -69,5 +69,5 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def store(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to a new folder in the shared checkpoint folder, and read again."""
     path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)

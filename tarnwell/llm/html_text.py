@@ -18,6 +18,7 @@ sample of the urls. The runs of equal pages at a block's edges are stitched afte
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
@@ -360,11 +361,11 @@ def _runs(rows: Iterator[dict]) -> Iterator[tuple[_Run | None, _Run, _Run | None
 
 
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("block", pa.int32()), ("texts", pa.string()), ("keys", _LONGS), ("marks", _INTS)])
-_PARSED_SQL = "page_id long, url string, host string, path string, block int, texts string, keys array<long>, marks array<int>"
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("block", pa.int32()), ("texts", pa.binary()), ("keys", _LONGS), ("marks", _INTS)])
+_PARSED_SQL = "page_id long, url string, host string, path string, block int, texts binary, keys array<long>, marks array<int>"
 #: kind 0: a page's result; 1: a page of a run at a block's edge, which waits for its neighbours; 2: a run at or next to an edge.
-_PARTS = pa.schema([("kind", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_shared", pa.int32()), ("n_ruled", pa.int32()), ("block", pa.int32()), ("run", pa.int32()), ("is_last", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("last_path", pa.string()), ("keys", _LONGS), ("marks", _INTS)])
-_PARTS_SQL = "kind int, page_id long, url string, text string, n_shared int, n_ruled int, block int, run int, is_last boolean, host string, path string, last_path string, keys array<long>, marks array<int>"
+_PARTS = pa.schema([("kind", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("texts", pa.binary()), ("n_shared", pa.int32()), ("n_ruled", pa.int32()), ("block", pa.int32()), ("run", pa.int32()), ("is_last", pa.bool_()), ("host", pa.string()), ("path", pa.string()), ("last_path", pa.string()), ("keys", _LONGS), ("marks", _INTS)])
+_PARTS_SQL = "kind int, page_id long, url string, text string, texts binary, n_shared int, n_ruled int, block int, run int, is_last boolean, host string, path string, last_path string, keys array<long>, marks array<int>"
 
 
 def _packed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -383,9 +384,13 @@ def _packed(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield batch()
 
 
-def _split(texts: str, marks: list[int]) -> list[str]:
-    """Lines, which hold no line break, of the one string that they travel as."""
-    return texts.split("\n") if any(m > 1 for m in marks) else []
+def _joined(texts: list[str]) -> bytes:
+    """Lines, which hold no line break, as they travel: packed, since they are most of what is shuffled and kept."""
+    return zlib.compress("\n".join(texts).encode(), 3)
+
+
+def _split(texts: bytes, marks: list[int]) -> list[str]:
+    return zlib.decompress(texts).decode().split("\n") if any(m > 1 for m in marks) else []
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +400,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for before, run, after in _runs(r for batch in batches for part in slices(iter([batch])) for r in part.to_pylist()):
             if before is None or after is None:
                 for row in run.rows:
-                    yield 1, row["page_id"], row["url"], row["texts"], None, None, run.block, run.index, None, None, row["path"], None, run.keys, row["marks"]
+                    yield 1, row["page_id"], row["url"], None, row["texts"], None, None, run.block, run.index, None, None, row["path"], None, run.keys, row["marks"]
             else:
                 known: dict[tuple, tuple] = {}
                 for row in run.rows:
@@ -403,7 +408,8 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     key = side, id(row["texts"]), id(row["marks"])
                     if key not in known:
                         known[key] = main_text(_split(row["texts"], row["marks"]), run.keys, row["marks"], (before if side < 0 else after).keys)
-                    yield 0, row["page_id"], row["url"], *known[key], run.block, None, None, None, None, None, None, None
+                    text, *counts = known[key]
+                    yield 0, row["page_id"], row["url"], text, None, *counts, run.block, None, None, None, None, None, None, None
             if after is None:
                 if before is not None and before.index >= 2:
                     yield edge(before, False)
@@ -412,7 +418,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield edge(run, False)
 
     def edge(run: _Run, is_last: bool) -> tuple:
-        return 2, None, None, None, None, None, run.block, run.index, is_last, run.host, run.first, run.last, run.keys, None
+        return 2, None, None, None, None, None, None, run.block, run.index, is_last, run.host, run.first, run.last, run.keys, None
 
     yield from _packed(parts(), _PARTS)
 
@@ -441,16 +447,16 @@ def _stitched(edges: list) -> list[tuple]:
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, text, path, keys, marks, before_path, before_keys, after_path, after_keys -> results."""
+    """page_id, url, texts, path, keys, marks, before_path, before_keys, after_path, after_keys -> results."""
 
     def results() -> Iterator[tuple]:
         for batch in slices(batches):
             for r in batch.to_pylist():
                 side = nearer(r["path"], r["before_path"], r["after_path"])
                 other = r["before_keys"] if side < 0 else r["after_keys"] if side > 0 else None
-                yield r["page_id"], r["url"], *main_text(_split(r["text"], r["marks"]), r["keys"], r["marks"], other)
+                yield r["page_id"], r["url"], *main_text(_split(r["texts"], r["marks"]), r["keys"], r["marks"], other)
 
-    yield from _packed(results(), pa.schema([_PARTS.field(k) for k in range(1, 6)]))
+    yield from _packed(results(), pa.schema([_PARTS.field(k) for k in ("page_id", "url", "text", "n_shared", "n_ruled")]))
 
 
 def extract(pages: DataFrame, rules: bool = True) -> DataFrame:
@@ -474,8 +480,9 @@ def extract(pages: DataFrame, rules: bool = True) -> DataFrame:
     )
     place = lambda r: (r["host"], r["path"], -(1 << 63) if r["page_id"] is None else r["page_id"])
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sample = rows.select("host", "path", "page_id").orderBy(F.xxhash64("host", "path", "page_id")).limit(SAMPLED * blocks)
-    sample = sorted(place(r) for r in sample.collect())  # SAMPLED urls a block at most
+    one_in = max(1, rows.count() // (SAMPLED * blocks))
+    sample = rows.select("host", "path", "page_id").where(F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(one_in)) == 0)
+    sample = sorted(place(r) for r in sample.limit(2 * SAMPLED * blocks).collect())  # bounded also if rows repeat
     bounds = [sample[len(sample) * k // blocks] for k in range(1, blocks)] if sample else []
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,7 +491,7 @@ def extract(pages: DataFrame, rules: bool = True) -> DataFrame:
                 htmls = part.column(4).cast(pa.binary()).to_pylist()
                 for row, html in zip(part.select([0, 1, 2, 3]).to_pylist(), htmls, strict=True):
                     texts, keys, marks = units_of(lines_of((html or b"").decode("utf-8", "replace")), rules)
-                    yield row["page_id"], row["url"], row["host"], row["path"], bisect_right(bounds, place(row)), "\n".join(texts), keys, marks
+                    yield row["page_id"], row["url"], row["host"], row["path"], bisect_right(bounds, place(row)), _joined(texts), keys, marks
 
         yield from _packed(parsed(), _PARSED)
 
@@ -496,7 +503,7 @@ def extract(pages: DataFrame, rules: bool = True) -> DataFrame:
     near = spark.createDataFrame(_stitched(seen), _NEAR_SQL)
     near = near.join(keys("before"), ["before_block", "before_run"], "left").join(keys("after"), ["after_block", "after_run"], "left")
     waiting = parts.where("kind = 1").join(near.select("block", "run", "before_path", "before_keys", "after_path", "after_keys"), ["block", "run"], "left")
-    waiting = waiting.select("page_id", "url", "text", "path", "keys", "marks", "before_path", "before_keys", "after_path", "after_keys")
+    waiting = waiting.select("page_id", "url", "texts", "path", "keys", "marks", "before_path", "before_keys", "after_path", "after_keys")
     columns = ["page_id", "url", "text", "n_shared", "n_ruled"]
     done = parts.where("kind = 0").select(*columns).unionByName(waiting.mapInArrow(_resolve, "page_id long, url string, text string, n_shared int, n_ruled int"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_ruled")
