@@ -37,10 +37,12 @@ def is_reserved(c: Column) -> Column:
 
 
 def path_segment(c: Column) -> Column:
-    """A safe path segment: forbidden characters and runs of space or dash become one dash, MAX_SEGMENT characters at most."""
+    """A safe path segment: forbidden characters and runs of space or dash become one dash, MAX_SEGMENT bytes at most
+    (a character that the limit would split is left out whole)."""
     s = F.regexp_replace(F.regexp_replace(strip(c), _FORBIDDEN, "-"), r"^[. ]+|[. ]+$", "")
     s = F.regexp_replace(F.regexp_replace(s, r"[\s-]+", "-"), r"^-+|-+$", "")
-    s = F.regexp_replace(F.substring(s, 1, MAX_SEGMENT), "-+$", "")
+    short = F.make_valid_utf8(F.substring(s.cast("binary"), 1, MAX_SEGMENT).cast("string"))
+    s = F.when(F.octet_length(s) > MAX_SEGMENT, F.regexp_replace(F.regexp_replace(short, "\ufffd+$", ""), "-+$", "")).otherwise(s)
     s = F.when(s == "", "untitled").otherwise(s)
     return F.when(is_reserved(s), F.concat(s, F.lit("-item"))).otherwise(s)
 

@@ -7,50 +7,72 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text
+from tarnwell.operators.lineage import cut
 
-#: Deepest tree that is followed; deeper nodes count as orphans, like nodes of a cycle.
-MAX_DEPTH = 32
 
+def _named(title: Column, kind: Column, node: Column) -> Column:
+    """A node's title; its kind and id if that is blank."""
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.concat(kind, F.lit("-"), node))
 
-def ancestors(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """id, title, kind, parents (titles from the root down) and complete (false: a parent is missing or a cycle).
 
-    Nodes climb together, one join a level, until none is left; the parent table is small beside deep trees' products.
+def _keys(nodes: DataFrame) -> tuple[Column, Column]:
+    """A node's key and its parent's ('' without one). With a column parent_kind, parents are looked up among nodes of that
+    kind (blank: the node's own); else by id alone."""
+    parent = F.coalesce(F.trim("parent_id"), F.lit(""))
+    if "parent_kind" not in nodes.columns:
+        return F.col("id"), parent
+    kind = F.coalesce(F.nullif(F.lower(F.trim("parent_kind")), F.lit("")), F.col("kind"))
+    return F.concat("kind", F.lit(":"), "id"), F.when(parent == "", "").otherwise(F.concat(kind, F.lit(":"), parent))
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """id, title, kind, parents (titles from the root down) and complete (false: a parent is missing or a cycle; then without
+    parents). Blank titles become kind-id. A tree may be of any depth.
+
+    Every node points to an ancestor and holds the titles between; each round it takes over what that ancestor holds, so
+    pointers double their reach and a checkpoint a round cuts the lineage. A node that meets itself is in a cycle; what leads
+    there follows.
     """
-    up = nodes.select(F.col("id").alias("up_id"), F.col("title").alias("up_title"), F.col("parent_id").alias("up_parent"))
-    state = nodes.select("id", "title", "kind", F.col("parent_id").alias("next"), F.array().cast("array<string>").alias("parents"), F.array("id").alias("seen"), F.lit(True).alias("complete"))
-    done = None
-    for _ in range(max_depth):
-        finished = state.where("next = ''")
-        done = finished if done is None else done.unionByName(finished)
-        climbing = state.where("next <> ''")
-        if not climbing.limit(1).count():
-            break
-        joined = climbing.join(up, climbing["next"] == up["up_id"], "left")
-        broken = F.col("up_id").isNull() | F.array_contains("seen", F.col("next"))
-        state = joined.select(
-            "id",
-            "title",
-            "kind",
-            F.when(broken, "").otherwise(F.col("up_parent")).alias("next"),
-            F.when(broken, F.array().cast("array<string>")).otherwise(F.concat(F.array("up_title"), F.col("parents"))).alias("parents"),
-            F.concat("seen", F.array("next")).alias("seen"),
-            (F.col("complete") & ~broken).alias("complete"),
+    key, parent = _keys(nodes)
+    none = F.array().cast("array<string>")
+    title = _named(F.col("title"), F.col("kind"), F.col("id"))
+    state = nodes.select(key.alias("key"), "id", title.alias("title"), "kind", parent.alias("next"), none.alias("parents"), none.alias("above"), F.lit(True).alias("complete"))
+    state = cut(state)
+    while state.where("next <> ''").limit(1).count():
+        reached = state.select(F.col("key").alias("t_key"), *[F.col(c).alias(f"t_{c}") for c in ("title", "next", "parents", "above", "complete")])
+        met = state.join(reached, state["next"] == reached["t_key"], "left")
+        climbs = F.col("next") != ""
+        above = F.concat("t_above", F.array("next"), "above")
+        broken = climbs & (F.col("t_key").isNull() | ~F.col("t_complete") | F.array_contains(above, F.col("key")))
+        state = cut(
+            met.select(
+                "key",
+                "id",
+                "title",
+                "kind",
+                F.when(~climbs | broken, "").otherwise(F.col("t_next")).alias("next"),
+                F.when(broken, none).when(climbs, F.concat("t_parents", F.array("t_title"), "parents")).otherwise(F.col("parents")).alias("parents"),
+                F.when(broken, none).when(climbs, above).otherwise(F.col("above")).alias("above"),
+                (F.col("complete") & ~broken).alias("complete"),
+            )
         )
-    else:
-        rest = state.where("next <> ''").withColumns({"parents": F.array().cast("array<string>"), "complete": F.lit(False)})
-        done = done.unionByName(rest)
-    return done.drop("next", "seen")
+    return state.select("id", "title", "kind", "parents", "complete")
+
+
+def _with_children(nodes: DataFrame) -> DataFrame:
+    """id, kind and has_children of every node."""
+    key, parent = _keys(nodes)
+    parents = nodes.select(parent.alias("_key"), F.lit(True).alias("has")).where("_key <> ''").distinct()
+    return nodes.select("id", "kind", key.alias("_key")).join(parents, "_key", "left").select("id", "kind", F.coalesce("has", F.lit(False)).alias("has_children"))
 
 
 def has_children(nodes: DataFrame) -> DataFrame:
-    parents = nodes.where("parent_id <> ''").select(F.col("parent_id").alias("id"), F.lit(True).alias("has")).distinct()
-    return nodes.join(parents, "id", "left").select("id", F.coalesce("has", F.lit(False)).alias("has_children"))
+    return _with_children(nodes).drop("kind")
 
 
 def planned_paths(nodes: DataFrame) -> DataFrame:
     """page_id and path of every page: below its ancestors' directories; a page with children is <dir>/<dir>.md."""
-    pages = ancestors(nodes).where("kind = 'page'").join(has_children(nodes), "id")
+    pages = ancestors(nodes).where("kind = 'page'").join(_with_children(nodes), ["id", "kind"])
     folder = F.array_join(F.transform("parents", text.path_segment), "/")
     name = text.path_segment(F.col("title"))
     own = F.when(F.col("has_children"), F.concat_ws("/", name, F.concat(name, F.lit(".md")))).otherwise(text.markdown_name(F.col("title")))

@@ -49,7 +49,8 @@ def _segment_sql(x: str) -> str:
     s = f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
     s = f"""regexp_replace(regexp_replace({s}, '[<>:"/\\\\|?*\\x00-\\x1f]', '-', 'g'), '^[. ]+|[. ]+$', '', 'g')"""
     s = f"regexp_replace(regexp_replace({s}, '[\\s-]+', '-', 'g'), '^-+|-+$', '', 'g')"
-    s = f"regexp_replace(substr({s}, 1, {text.MAX_SEGMENT}), '-+$', '')"
+    n = text.MAX_SEGMENT
+    s = f"regexp_replace(CASE WHEN strlen({s}) > {n} THEN list_max(list_filter(list_transform(range(0, {n + 1}), lambda k: substr({s}, 1, k)), lambda p: strlen(p) <= {n})) ELSE {s} END, '-+$', '')"
     s = f"coalesce(nullif({s}, ''), 'untitled')"
     names = ", ".join(f"'{n}'" for n in text.RESERVED_NAMES)
     return f"(CASE WHEN upper(split_part({s}, '.', 1)) IN ({names}) THEN {s} || '-item' ELSE {s} END)"
@@ -327,6 +328,21 @@ def page_paths(spark, sf_dir):
     return hierarchy.planned_paths(ws.nodes(spark, sf_dir))
 
 
+@register(f"""WITH RECURSIVE chain AS (SELECT 'k' || s_suppkey AS id, CASE WHEN s_suppkey % 7 = 0 THEN ' ' ELSE s_name END AS title,
+  CASE WHEN s_suppkey % 100 = 0 THEN '' ELSE 'k' || (s_suppkey - 1) END AS parent_id FROM supplier),
+named AS (SELECT id, parent_id, {_segment_sql("CASE WHEN trim(title) = '' THEN 'page-' || id ELSE title END")} AS segment FROM chain),
+up AS (SELECT id, segment, '' AS above FROM named WHERE parent_id = ''
+  UNION ALL SELECT n.id, n.segment, up.above || up.segment || '/' FROM named n JOIN up ON n.parent_id = up.id)
+SELECT id AS page_id, above || CASE WHEN id IN (SELECT parent_id FROM chain) THEN segment || '/' ELSE '' END || segment || '.md' AS path FROM up""")
+def deep_paths(spark, sf_dir):
+    i = F.col("s_suppkey")
+    key = lambda c: F.concat(F.lit("k"), c.cast("string"))
+    chain = ws.table(spark, sf_dir, "supplier").select(
+        key(i).alias("id"), F.when(i % 7 == 0, " ").otherwise(F.col("s_name")).alias("title"), F.when(i % 100 == 0, "").otherwise(key(i - 1)).alias("parent_id"), F.lit("page").alias("kind"), F.lit("page").alias("parent_kind")
+    )
+    return hierarchy.planned_paths(chain)
+
+
 @register(f"WITH {_NODES} SELECT id AS folder_id, {_segment_sql('title')} AS path FROM nodes WHERE kind = 'folder'")
 def folder_paths(spark, sf_dir):
     return hierarchy.folder_paths(ws.nodes(spark, sf_dir))

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tarnwell.functions import text
 from tarnwell.operators import changes, hierarchy, links, lint, search
 from tarnwell.operators.search import SearchOptions
 from tarnwell.sources import workspace
@@ -86,6 +87,29 @@ def test_paths_cycles_and_orphans(spark):
     assert [r["path"] for r in hierarchy.folder_paths(tree(spark, rows)).collect()] == ["Folder"]
 
 
+def test_trees_of_any_depth(spark):
+    rows = [(f"k{i}", f"T{i}", f"k{i - 1}" if i else "", "page") for i in range(150)]
+    got = {r["page_id"]: r["path"] for r in hierarchy.planned_paths(tree(spark, rows)).collect()}
+    assert got["k149"] == "/".join(f"T{i}" for i in range(149)) + "/T149.md" and got["k0"] == "T0/T0.md"
+    ring = [(f"r{i}", "R", f"r{(i + 1) % 37}", "page") for i in range(37)] + [("tail", "Tail", "r5", "page"), ("own", "Own", "own", "page")]
+    assert not any(r["complete"] for r in hierarchy.ancestors(tree(spark, ring)).collect())
+
+
+def test_parents_by_kind_and_blank_titles(spark):
+    rows = [("1", "Folder one", "", "folder", ""), ("1", " ", "", "page", ""), ("2", "In folder", "1", "page", "folder"), ("3", "In page", "1", "page", ""), ("4", "", "3", "page", "page"), ("5", "", "1", "folder", "")]
+    nodes = spark.createDataFrame(rows, "id string, title string, parent_id string, kind string, parent_kind string")
+    got = {r["page_id"]: r["path"] for r in hierarchy.planned_paths(nodes).collect()}
+    assert got == {"1": "page-1/page-1.md", "2": "Folder-one/In-folder.md", "3": "page-1/In-page/In-page.md", "4": "page-1/In-page/page-4.md"}
+    assert {r["path"] for r in hierarchy.folder_paths(nodes).collect()} == {"Folder-one", "Folder-one/folder-5"}
+
+
+def test_segments_are_cut_by_bytes(spark):
+    titles = ["é" * 60, "x" + "é" * 60, "a" * 99 + "-b", "a" * 120, "漢" * 40]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    got = [r[0] for r in df.select(text.path_segment(F.col("t"))).collect()]
+    assert got == ["é" * 50, "x" + "é" * 49, "a" * 99, "a" * 100, "漢" * 33]
+
+
 def test_allocated_paths_are_unique(spark):
     planned = spark.createDataFrame([("1", "a.md"), ("2", "a.md"), ("3", "a-2.md"), ("4", "d/a.md"), ("5", "a.md")], "page_id string, path string")
     got = {r["page_id"]: r["path"] for r in hierarchy.allocate_paths(planned).collect()}
