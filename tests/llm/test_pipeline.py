@@ -51,5 +51,34 @@ def test_run_gives_gapless_sequences(spark):
     assert len(places) >= math.ceil(sum(r["length"] for r in got) / packing.CAPACITY)
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _row int, kept string, tokens string, print long, group string"
+
+
+def odd(spark, rows):
+    return spark.createDataFrame([(*r, 1, "k", "t", 5, "g") for r in rows], ODD)
+
+
+def test_every_stage_takes_odd_rows(spark):
+    long = " ".join(f"word{i % 977}" for i in range(60_000))
+    prose = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, prose, "en", "s", 9), (1, prose, "en", "s", 9), (2, prose, None, None, None), (None, None, None, None, None), (3, "", "en", "s", 0), (4, " \n ", "en", "s", 3), (5, long, "de", "s", 9), (None, prose + " more", "en", "t", 9)]
+    docs = odd(spark, rows)
+    whole = Counter(map(tuple, docs.collect()))
+    kept = {}
+    for name, stage in p.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        left = Counter(map(tuple, got.collect()))
+        assert not left - whole, name
+        kept[name] = Counter(r[0] for r in left.elements())
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+    assert not {3, 4} & set(kept["quality_rules"]) and kept["quality_rules"][1] in (0, 2)
+    assert kept["simhash_near_dedup"] == Counter([1, 3, 5])
+    assert kept["mixing"][1] in (0, 2)
+    packed = p.STAGES[-1][1](spark, docs, DATA).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(r[0] for r in rows)
+    assert p.STAGES[-1][1](spark, docs.limit(0), DATA).count() == 0
+
+
 def test_stages_are_five_and_named():
     assert len(p.STAGES) == 5 and len({n for n, _ in p.STAGES}) == 5 and p.ORACLE_SQL is None
