@@ -154,6 +154,13 @@ def owner_of_asset(path: Column) -> Column:
     return F.when((F.size(parts) >= 3) & (F.get(parts, F.lit(0)) == "assets"), F.get(parts, F.lit(1)))
 
 
+def is_generated(path: Column, state_file: str = "state.json") -> Column:
+    """Whether a pull writes such a path: the state file, Markdown, or anything in a directory of assets."""
+    clean = F.lower(strip(clean_path(path)))
+    parts = F.split(clean, "/")
+    return (clean != "") & ((F.element_at(parts, -1) == state_file.lower()) | F.endswith(clean, F.lit(".md")) | F.array_contains(parts, "assets"))
+
+
 def pending_id(kind: str, path: Column) -> Column:
     return F.concat(F.lit(f"pending-{kind}-"), F.translate(F.lower(path), "/ ", "--"))
 

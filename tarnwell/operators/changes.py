@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OVERLAP_MINUTES = 5
@@ -98,3 +98,10 @@ def next_version(changes: DataFrame, force: bool) -> DataFrame:
 def rebuild_state(local_ids: DataFrame, remote: DataFrame) -> DataFrame:
     """page_id and least path of local files whose page exists remotely."""
     return local_ids.groupBy("page_id").agg(F.min("path").alias("path")).join(remote, "page_id", "left_semi")
+
+
+def meets_expected(version: Column, modified: Column, expected_version: Column, expected_modified: Column) -> Column:
+    """Whether a page is as new as expected; an expected version of 0 or less, and times that are unknown, ask nothing."""
+    old = (expected_version > 0) & (version < expected_version)
+    early = modified < expected_modified
+    return ~(F.coalesce(old, F.lit(False)) | F.coalesce(early, F.lit(False)))

@@ -21,6 +21,29 @@ def resolve_page_links(links: DataFrame, local: DataFrame, everywhere: DataFrame
     return rows.select(*links.columns, F.coalesce("_mp", "_op", F.lit("")).alias("path"), how.alias("how"))
 
 
+def page_ids_of_links(links: DataFrame, local: DataFrame, everywhere: DataFrame) -> DataFrame:
+    """``links`` (source_path, destination) with target (path), page_id, anchor and how: passed (external or an anchor alone),
+    local, cross (in another space's index) or unresolved. A relative destination starts at its file's directory."""
+    bare = text.strip(F.substring_index("destination", "#", 1))
+    anchor = F.when(F.contains("destination", F.lit("#")), F.regexp_extract("destination", r"#(.*)$", 1)).otherwise("")
+    passed = text.is_external(F.col("destination")) | (bare == "")
+    inside = F.concat(F.regexp_replace("source_path", "[^/]*$", ""), text.percent_decode(bare))
+    rows = links.withColumns({"target": F.when(passed, "").otherwise(text.clean_path(inside)), "anchor": anchor, "_passed": passed})
+    mine = local.select(F.col("path").alias("_mp"), F.col("page_id").alias("_m"))
+    others = everywhere.groupBy(F.col("path").alias("_op")).agg(F.min("page_id").alias("_o"))
+    rows = rows.join(mine, rows["target"] == mine["_mp"], "left").join(others, F.col("target") == others["_op"], "left")
+    how = F.when(F.col("_passed"), "passed").when(F.col("_m").isNotNull(), "local").when(F.col("_o").isNotNull(), "cross").otherwise("unresolved")
+    return rows.select(*links.columns, "target", F.when(F.col("_passed"), F.lit(None)).otherwise(F.coalesce("_m", "_o")).alias("page_id"), "anchor", how.alias("how"))
+
+
+def relink_targets(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``index`` (page_id, path) whose ids ``wanted`` (page_id) holds; all of them if it holds none."""
+    some = wanted.select("page_id").distinct()
+    if not some.limit(1).count():
+        return index
+    return index.join(some, "page_id", "left_semi")
+
+
 def merge_indexes(frontmatter: DataFrame, state: DataFrame) -> DataFrame:
     """page_id and path; a file's own id wins over the state's, the least path over others."""
     both = frontmatter.select("page_id", "path", F.lit(0).alias("rank")).unionByName(state.select("page_id", "path", F.lit(1).alias("rank")))

@@ -58,6 +58,14 @@ def immutable_issues(pages: DataFrame, baseline: DataFrame) -> DataFrame:
     return pages.join(old, "path").select("path", F.explode(found).alias("i")).select("path", "i.field", "i.code")
 
 
+def tracked_id_issues(pages: DataFrame, tracked: DataFrame) -> DataFrame:
+    """Pages (path, id) whose path ``tracked`` (path, page_id) knows under an id that they miss or changed."""
+    known = tracked.select("path", text.strip(F.col("page_id")).alias("tracked")).where("tracked <> ''")
+    own = text.strip(F.coalesce("id", F.lit("")))
+    rows = pages.join(known, "path").withColumn("code", F.when(own == "", "missing").when(own != F.col("tracked"), "changed"))
+    return rows.where("code IS NOT NULL").select("path", "tracked", "code")
+
+
 def duplicate_ids(pages: DataFrame) -> DataFrame:
     """page_id and its paths, where there is more than one."""
     return pages.where("page_id <> ''").groupBy("page_id").agg(F.array_sort(F.collect_set("path")).alias("paths")).where(F.size("paths") > 1)

@@ -449,6 +449,54 @@ def url_space_key(spark, sf_dir):
 # Links and assets
 
 
+@register("""WITH l AS (SELECT page_id AS i, length(html) % 7 AS k FROM pages),
+rows AS (SELECT 'home/' || i || '.md' AS source_path, CASE k WHEN 0 THEN 'https://x.org/' || i WHEN 1 THEN '#top' WHEN 2 THEN (i + 1) || '.md#part' WHEN 3 THEN '../away%20there/' || (i + 2) || '.md' WHEN 4 THEN './sub/../' || (i + 3) || '.md' WHEN 5 THEN ' gone/' || i || '.md ' ELSE '../away%20there/./' || (i + 6) || '.md#a' END AS destination,
+  CASE k WHEN 2 THEN 'home/' || (i + 1) || '.md' WHEN 3 THEN 'away there/' || (i + 2) || '.md' WHEN 4 THEN 'home/' || (i + 3) || '.md' WHEN 5 THEN 'home/gone/' || i || '.md' WHEN 6 THEN 'away there/' || (i + 6) || '.md' ELSE '' END AS target,
+  CASE k WHEN 1 THEN 'top' WHEN 2 THEN 'part' WHEN 6 THEN 'a' ELSE '' END AS anchor FROM l),
+ids AS (SELECT page_id::VARCHAR AS page_id, CASE WHEN page_id % 2 = 0 THEN 'home/' ELSE 'away there/' END || page_id || '.md' AS path, page_id % 2 = 0 AS own FROM pages)
+SELECT source_path, destination, target, ids.page_id, anchor, CASE WHEN target = '' THEN 'passed' WHEN own THEN 'local' WHEN NOT own THEN 'cross' ELSE 'unresolved' END AS how FROM rows LEFT JOIN ids ON target = path""")
+def path_to_page(spark, sf_dir):
+    pages = ws.table(spark, sf_dir, "pages")
+    i, k = F.col("page_id"), F.length("html") % 7
+    name = lambda before, n, after: F.concat(F.lit(before), (i + n).cast("string"), F.lit(after))
+    forms = [name("https://x.org/", 0, ""), F.lit("#top"), name("", 1, ".md#part"), name("../away%20there/", 2, ".md"), name("./sub/../", 3, ".md"), name(" gone/", 0, ".md "), name("../away%20there/./", 6, ".md#a")]
+    found = pages.select(name("home/", 0, ".md").alias("source_path"), F.coalesce(*[F.when(k == n, form) for n, form in enumerate(forms)]).alias("destination"))
+    index = lambda rest, folder: pages.where(i % 2 == rest).select(i.cast("string").alias("page_id"), name(folder, 0, ".md").alias("path"))
+    return links.page_ids_of_links(found, index(0, "home/"), index(1, "away there/"))
+
+
+@register("SELECT page_id::VARCHAR AS page_id, url AS path FROM pages WHERE page_id IN (SELECT doc_id FROM documents WHERE lang = 'de')")
+def relink_targets(spark, sf_dir):
+    index = ws.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("page_id"), F.col("url").alias("path"))
+    return links.relink_targets(index, ws.table(spark, sf_dir, "documents").where("lang = 'de'").select(F.col("doc_id").cast("string").alias("page_id")))
+
+
+@register(f"""WITH {_FEED} SELECT r.page_id, NOT ((l.version + r.page_id % 3 > 0 AND r.version < l.version + r.page_id % 3) OR r.last_modified < TIMESTAMP '{ws.LOCAL_UNTIL}') AS fresh
+FROM remote r JOIN local l ON r.page_id = l.page_id""")
+def expected_state(spark, sf_dir):
+    feed = ws.change_feed(spark, sf_dir)
+    local = ws.local_pages(feed).select("page_id", (F.col("version") + F.col("page_id") % 3).alias("expected"))
+    rows = ws.remote_pages(feed).join(local, "page_id")
+    return rows.select("page_id", changes.meets_expected(F.col("version"), F.col("last_modified"), F.col("expected"), F.lit(ws.LOCAL_UNTIL).cast("timestamp_ntz")).alias("fresh"))
+
+
+@register("""SELECT 'd/' || doc_id || '.md' AS path, doc_id::VARCHAR AS tracked, CASE WHEN doc_id % 7 = 0 THEN 'missing' ELSE 'changed' END AS code
+FROM documents WHERE doc_id % 4 <> 0 AND (doc_id % 7 = 0 OR doc_id % 5 = 0)""")
+def tracked_ids(spark, sf_dir):
+    docs, i = ws.table(spark, sf_dir, "documents"), F.col("doc_id")
+    path, own = F.concat(F.lit("d/"), i.cast("string"), F.lit(".md")).alias("path"), i.cast("string")
+    pages = docs.select(path, F.when(i % 7 == 0, F.when(i % 2 == 0, " ")).when(i % 5 == 0, F.concat(F.lit("x"), own)).otherwise(own).alias("id"))
+    return lint.tracked_id_issues(pages, docs.select(path, F.when(i % 4 == 0, "").otherwise(own).alias("page_id")))
+
+
+@register("""SELECT doc_id, doc_id % 6 IN (0, 1, 2, 3) AS generated FROM documents""")
+def generated_paths(spark, sf_dir):
+    i = F.col("doc_id")
+    tails = ["/State.JSON", "/./page.MD", "/Assets/x.png", "/a/../assets/1/b", "/assets.png", "/notes.mdx"]
+    path = F.concat("source", F.coalesce(*[F.when(i % 6 == n, t) for n, t in enumerate(tails)]))
+    return ws.table(spark, sf_dir, "documents").select("doc_id", text.is_generated(path).alias("generated"))
+
+
 @register(f"WITH {_LINKS} SELECT page_id, count(*) AS links FROM page_links GROUP BY page_id")
 def links_per_page(spark, sf_dir):
     return ws.page_links(spark, sf_dir).groupBy("page_id").agg(F.count(F.lit(1)).alias("links"))
