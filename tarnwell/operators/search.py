@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -75,10 +76,13 @@ def ranked(index: DataFrame, words: list[str], any_word: bool = False, stemmed:
     is exploded or shuffled by term.
     """
     words = list(dict.fromkeys(markup.stem(w.lower()) if stemmed else w.lower() for w in words))
-    tokens = markup.parse_stems(text.fold(indexed_text())) if stemmed else text.terms(indexed_text())
-    rows = index.withColumn("_tokens", tokens)
+    if stemmed:
+        folded = F.lower(text.fold(indexed_text()))
+        rows = index.withColumns({"_tokens": _stems_near(folded, words), "_len": F.regexp_count(folded, F.lit(r"[\p{L}\p{N}]+"))})
+    else:
+        rows = index.withColumn("_tokens", text.terms(indexed_text())).withColumn("_len", F.size("_tokens"))
     counts = [F.size(F.filter("_tokens", _is(w))).alias(f"_tf{i}") for i, w in enumerate(words)]
-    rows = rows.select("*", F.size("_tokens").alias("_len"), *counts).drop("_tokens")
+    rows = rows.select("*", *counts).drop("_tokens")
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("_len").alias("avg"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     score, found = F.lit(0.0), F.lit(not any_word)
     for i in range(len(words)):
@@ -89,6 +93,16 @@ def ranked(index: DataFrame, words: list[str], any_word: bool = False, stemmed:
     return rows.where(found).withColumn("score", -score).drop("_len", *[f"_tf{i}" for i in range(len(words))])
 
 
+def _stems_near(folded: Column, stems: list[str]) -> Column:
+    """Stems of those words of a lower-case text that may have one of ``stems``; other words never leave the JVM.
+
+    A word's stem differs from the word's own beginning in its last three letters at most.
+    """
+    begins = "|".join(sorted({re.escape(s[: max(1, len(s) - 3)]) for s in stems})) or "(?!)"
+    near = F.regexp_extract_all(folded, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{begins})[\p{{L}}\p{{N}}]*"), F.lit(0))
+    return markup.parse_stems(F.array_join(near, " "))
+
+
 def _is(word: str):
     return lambda t: t == word
 

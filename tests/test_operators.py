@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwell.functions import text
+from tarnwell.functions import markup, text
 from tarnwell.operators import changes, hierarchy, links, lint, search
 from tarnwell.operators.search import SearchOptions
 from tarnwell.sources import workspace
@@ -87,6 +87,15 @@ def test_paths_cycles_and_orphans(spark):
     assert [r["path"] for r in hierarchy.folder_paths(tree(spark, rows)).collect()] == ["Folder"]
 
 
+def test_stems_stay_near_the_word():
+    ends = "s es ies ed ing eed y e ational tional enci anci izer bli alli entli eli ousli ization ation ator alism iveness fulness ousness aliti iviti biliti logi icate ative alize iciti ical ful ness al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize ll".split()
+    for root in "a be cat hop fil conflat relat sens happ troubl licens vers oper commun gener univers x1".split():
+        for end in ends:
+            for word in (root + end, *(root + end + more for more in ("s", "ed", "ing", "ly", "ness"))):
+                stem = markup.stem(word)
+                assert word.startswith(stem[: max(1, len(stem) - 3)]), (word, stem)
+
+
 def test_trees_of_any_depth(spark):
     rows = [(f"k{i}", f"T{i}", f"k{i - 1}" if i else "", "page") for i in range(150)]
     got = {r["page_id"]: r["path"] for r in hierarchy.planned_paths(tree(spark, rows)).collect()}
