@@ -7,11 +7,14 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows that a Python step turns from Arrow into objects at once.
 SLICE_ROWS = 256
+#: Bytes of text after which such a slice ends.
+SLICE_BYTES = 1 << 24
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,8 +38,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def gapless(df: DataFrame, group: str, name: str) -> DataFrame:
-    """Adds the long column ``name``: 0, 1, 2... within each value of ``group``.
+def gapless(df: DataFrame, group: str, name: str, nulls: bool = False) -> DataFrame:
+    """Adds the long column ``name``: 0, 1, 2... within each value of ``group``; rows without one stay only with ``nulls``.
 
     No group is brought together: rows are numbered within (group, input partition) and each such block starts
     where the blocks before it end. The result rests on a checkpoint, so a recomputed task finds the same blocks.
@@ -46,10 +49,14 @@ def gapless(df: DataFrame, group: str, name: str) -> DataFrame:
     earlier = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select(group, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(group, "_block").orderBy("_at")) - 1
+    rows = rows.withColumn("_inside", inside)
+    if nulls:
+        starts = starts.select(F.col(group).alias("_group"), F.col("_block").alias("_other"), "_start")
+        met = rows.join(starts, rows[group].eqNullSafe(starts["_group"]) & (rows["_block"] == starts["_other"])).drop("_group", "_other")
+    else:
+        met = rows.join(starts, [group, "_block"])
     return (
-        rows.withColumn("_inside", inside)
-        .join(starts, [group, "_block"])
-        .withColumn(name, (F.col("_start") + F.col("_inside")).cast("long"))
+        met.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long"))
         .drop("_block", "_at", "_start", "_inside")
     )
 
@@ -61,6 +68,18 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(start, rows)
 
 
+def within(batches: Iterator[pa.RecordBatch], column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, whose texts in ``column`` take ``size`` bytes at most but for the last."""
+    for batch in slices(batches, rows):
+        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        start = total = 0
+        for at, length in enumerate(lengths.tolist(), 1):
+            total += length
+            if total >= size or at == batch.num_rows:
+                yield batch.slice(start, at - start)
+                start, total = at, 0
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
