@@ -16,6 +16,7 @@ from .quality_rules import judge, learn_rules, measure
 from .sharding import shard_slots
 from .simhash import near_duplicates
 from .tput import rank_documents
+from .tries import prefix_trie
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,10 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_audio": op2_audio,
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_html": op10_html,
     "op11_search": op11_search,
+    "op12_trie": op12_trie,
 }
 _OP11 = r"""
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
@@ -107,6 +113,32 @@ scores AS (
 ranked AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
 SELECT * FROM ranked WHERE rank <= 50"""
 
+_OP12 = r"""
+WITH RECURSIVE turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS at,
+    md5(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS label,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, count(*) AS n,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::BIGINT) ELSE c // 2 END)), 4294967295::BIGINT) % 4 AS h
+  FROM turns GROUP BY conv_id),
+plan AS (SELECT c.conv_id, c.h, c.conv_id - c.conv_id % 20 AS base, least(c.h, coalesce(b.n, 0)) AS k FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20),
+rebuilt AS (
+  SELECT p.conv_id, t.at AS depth, label, words FROM plan p JOIN turns t ON t.conv_id = p.base AND t.at <= p.k
+  UNION ALL SELECT p.conv_id, t.at - p.h + p.k, label, words FROM plan p JOIN turns t ON t.conv_id = p.conv_id AND t.at > p.h),
+paths AS (
+  SELECT conv_id, 0::BIGINT AS depth, '' AS node, NULL::VARCHAR AS above, 0::BIGINT AS words FROM convs
+  UNION ALL SELECT r.conv_id, r.depth, md5(p.node || r.label), p.node, r.words FROM paths p JOIN rebuilt r ON r.conv_id = p.conv_id AND r.depth = p.depth + 1),
+lengths AS (SELECT conv_id, max(depth) AS length FROM paths GROUP BY conv_id),
+nodes AS (SELECT node, any_value(above) AS above, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(CASE WHEN depth = length THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '') AS ids
+  FROM paths JOIN lengths USING (conv_id) GROUP BY node),
+children AS (SELECT above AS node, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+own AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN children USING (node)),
+subtrees AS (SELECT a.node, sum(CASE WHEN o.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((o.n_convs - 1) * o.words) AS saved
+  FROM own o JOIN paths a ON a.conv_id = o.conv_id AND a.depth <= o.depth GROUP BY a.node)
+SELECT o.conv_id, o.depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(o.ids) AS ends_sha256
+FROM own o JOIN subtrees s USING (node) LEFT JOIN own u ON u.node = o.above"""
+
 #: The others can't be said in DuckDB's SQL whole (hash functions, learned models, tokenizers): tests/llm holds them
 #: against brute-force versions instead.
-ORACLES: dict[str, str] = {"op11_search": _OP11}
+ORACLES: dict[str, str] = {"op11_search": _OP11, "op12_trie": _OP12}
