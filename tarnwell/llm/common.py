@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 SLICE_ROWS = 256
 #: Bytes of text after which such a slice ends.
 SLICE_BYTES = 1 << 24
+PIECE_BYTES = 1 << 22
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -85,6 +86,17 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def pieces(text: bytes) -> Iterator[bytes]:
+    """``text`` in pieces of about PIECE_BYTES, cut at spaces."""
+    start = 0
+    while start < len(text):
+        end = start + PIECE_BYTES
+        if end < len(text):
+            end = text.rfind(b" ", start, end) + 1 or text.find(b" ", end) + 1 or len(text)
+        yield text[start:end]
+        start = end
+
+
 def store(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to a new folder in the shared checkpoint folder, and read again."""
     path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"

@@ -9,6 +9,7 @@ from . import crf, lm
 from .audio import audio_features, samples_of
 from .common import cut, read
 from .html_text import extract
+from .jaccard import join_components
 from .licenses import scan_licenses
 from .mixing import mix
 from .packing import pack
@@ -86,6 +87,10 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(read(spark, sf_dir, "conversations"))
 
 
+def op13_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op2_audio": op2_audio,
@@ -99,6 +104,7 @@ QUERIES = {
     "op10_html": op10_html,
     "op11_search": op11_search,
     "op12_trie": op12_trie,
+    "op13_jaccard": op13_jaccard,
 }
 _OP11 = r"""
 WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
@@ -139,6 +145,20 @@ subtrees AS (SELECT a.node, sum(CASE WHEN o.n_children = 0 THEN 1 ELSE 0 END) AS
 SELECT o.conv_id, o.depth, u.conv_id AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(o.ids) AS ends_sha256
 FROM own o JOIN subtrees s USING (node) LEFT JOIN own u ON u.node = o.above"""
 
+_OP13 = r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+classes AS (SELECT min(doc_id) AS id, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY list_sort(s)),
+shingles AS (SELECT id, len(s) AS n, unnest(s) AS shingle FROM classes),
+pairs AS (SELECT a.id AS x, b.id AS y FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 185 * count(*) >= 85 * (a.n + b.n)),
+edges AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reached AS (SELECT id AS x, id AS y FROM classes UNION SELECT r.x, e.y FROM reached r JOIN edges e ON e.x = r.y),
+labels AS (SELECT x AS id, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, len(sets.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM sets LEFT JOIN classes ON classes.s = list_sort(sets.s) LEFT JOIN labels USING (id)"""
+
 #: The others can't be said in DuckDB's SQL whole (hash functions, learned models, tokenizers): tests/llm holds them
 #: against brute-force versions instead.
-ORACLES: dict[str, str] = {"op11_search": _OP11, "op12_trie": _OP12}
+ORACLES: dict[str, str] = {"op11_search": _OP11, "op12_trie": _OP12, "op13_jaccard": _OP13}

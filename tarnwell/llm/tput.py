@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, gapless, store, within
+from .common import as_bytes, cut, gapless, pieces, store, within
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TOP = 50
@@ -28,23 +28,10 @@ TOP = 50
 BLOCK_TERMS = 100_000
 #: Entries to look up that are sent to every executor; beyond that the postings are joined by a shuffle.
 LOOKUPS = 100_000
-PIECE_BYTES = 1 << 22
 #: Bytes of terms as they count, all others as blanks.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def _pieces(text: bytes) -> Iterator[bytes]:
-    """``text`` in pieces of about PIECE_BYTES, cut at blanks."""
-    start = 0
-    while start < len(text):
-        end = start + PIECE_BYTES
-        if end < len(text):
-            end = text.rfind(b" ", start, end) + 1 or text.find(b" ", end) + 1 or len(text)
-            end = end if end > start else len(text)
-        yield text[start:end]
-        start = end
-
-
 def count_terms(text: bytes) -> int:
     """Terms of a text, repeats included."""
     held = np.frombuffer(b" " + text.translate(_FOLD), np.uint8) != 32
@@ -75,7 +62,7 @@ def _entries(vocabulary: dict[bytes, int], documents: int, terms: int) -> Callab
             for row, text in enumerate(as_bytes(batch.column("text"))):
                 counts: Counter = Counter()
                 n = 0
-                for piece in _pieces(text.translate(_FOLD)):
+                for piece in pieces(text.translate(_FOLD)):
                     words = piece.split()
                     n += len(words)
                     counts.update(map(vocabulary.get, words))
