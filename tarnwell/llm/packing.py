@@ -7,8 +7,8 @@
    program gives the dearest configuration at these prices, and from the same table the dearest that holds a given length;
    those within SLACK of the dearest are used, as often as what their lengths lack allows. Prices over the dearest value
    bound the number of sequences from below.
-3. Rounding: usages are rounded down and never exceed what is left; the rest is packed best fit, longest first, on the
-   histogram again.
+3. Rounding: of each usage a share is taken, rounded down, and never more than what is left; the rest is packed best fit,
+   longest first, on the histogram again. Several shares are tried, and the plan of fewest sequences is used.
 4. A piece gets its place from its rank among the pieces of its length, so the plan is as large as the number of
    configurations, whatever the number of pieces.
 """
@@ -36,6 +36,8 @@ END = 0
 ROUNDS, RATE, SLACK = 40, 2.0, 0.02
 #: Share of what the scarcest length of a configuration lacks that one use covers.
 STEP = 0.5
+#: Shares of the program's usages that are tried: usages taken whole can strand lengths that the rest then doesn't fill.
+SHARES = (1.0, 0.95, 0.9, 0.75, 0.5, 0.0)
 #: Texts with a run of so many characters of one kind (space or not) go to the tokenizer itself: the fast one recurses there.
 LONG_RUN = 2000
 
@@ -184,15 +186,16 @@ def fill(left: np.ndarray, counts: np.ndarray, room: int) -> int:
         room -= k * longest
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
-    """Configurations and how often each is used; together exactly ``histogram``. Equal histograms give equal plans."""
+def rounded(histogram: np.ndarray, fraction: dict[Config, float], share: float) -> list[tuple[Config, int]]:
+    """Configurations and how often each is used; together exactly ``histogram``. ``share`` of each usage, rounded down and as
+    far as its lengths last; the rest best fit, longest first."""
+    capacity = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
     left[0] = 0
     used: list[tuple[Config, int]] = []
-    fraction, _ = program(left, capacity, rounds)
     for config, amount in sorted(fraction.items(), key=lambda x: (-x[1], x[0])):
         where, counts = np.unique(config, return_counts=True)
-        times = min(int(amount + 1e-9), int((left[where] // counts).min()))
+        times = min(int(share * amount + 1e-9), int((left[where] // counts).min()))
         if times <= 0:
             continue
         left[where] -= counts * times
@@ -213,6 +216,13 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS)
     return used
 
 
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Config, int]]:
+    """The plan of fewest sequences among those that take one of SHARES of the program's usages; none is best fit alone, so
+    no plan is worse than that. Of equally good ones the one of the largest share; equal histograms give equal plans."""
+    fraction, _ = program(histogram, capacity, rounds)
+    return min((rounded(histogram, fraction, share) for share in SHARES), key=lambda used: sum(n for _, n in used))
+
+
 def places(used: list[tuple[Config, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length: the first rank, first sequence and offset of each run of its places."""
     runs: dict[int, list[tuple[int, int, int]]] = {}

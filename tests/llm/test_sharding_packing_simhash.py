@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -226,6 +227,25 @@ def test_plan_holds_exactly_the_histogram():
     assert packing.plan(np.zeros(2049, np.int64)) == []
 
 
+def test_plan_is_never_worse_than_best_fit():
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    encode = packing._encoder(packing.tokenizer_file())
+    histogram = np.zeros(packing.CAPACITY + 1, np.int64)
+    for text in table["text"].to_pylist():
+        count = len(encode(text or "")) + 1
+        begins = packing.cuts(count)
+        for begin, end in zip(begins, [*begins[1:], count], strict=True):
+            histogram[end - begin] += 1
+    sequences = lambda used: sum(n for _, n in used)
+    assert sequences(packing.plan(histogram)) == 481 == -(-int(histogram @ np.arange(packing.CAPACITY + 1)) // packing.CAPACITY)
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        capacity = int(rng.integers(10, 200))
+        histogram = rng.poisson(0.5, capacity + 1) * rng.integers(1, 30, capacity + 1)
+        histogram[0] = 0
+        assert sequences(packing.plan(histogram, capacity)) <= sequences(packing.plan(histogram, capacity, 0))
+
+
 def test_program_beats_best_fit_and_meets_its_bound():
     for capacity in (1000, 2048):
         quarter, e = capacity // 4, capacity // 100
