@@ -4,12 +4,12 @@
    what is never shown as text (scripts, styles, templates, media) gives none.
 2. Pages are sorted by host and URL path, and each is paired with that one of the nearest differing pages before and
    after it in the host whose path begins most like its own. A copy of the page is no evidence; the nearest page beyond it is.
-3. Both pages' lines are aligned by longest common subsequence, and shared ones are deleted. Outside a page's main element
-   (article or main) a line is known by its path, and neighbours of one path are one: there a site repeats places and not
-   words, so menus and adverts are shared whatever they say today. Elsewhere a line is known by path and words, and lines
-   inside the main element stay: what an article repeats is text.
-4. What differencing can't tell, because a page is alone in its host or its neighbour lacks the place, falls to rules:
-   elements and class names of furniture go, and so does all outside the main element.
+3. All lines of both pages are aligned by longest common subsequence, and shared ones are deleted. Outside a page's main
+   element (article or main), and in elements named like furniture, a line is known by its path, and neighbours of one path
+   are one: there a site repeats places and not words, so menus and adverts are shared whatever they say today. Other lines
+   are known by path and words, and those inside the main element stay: what an article repeats is text.
+4. Rules come last and meet only what differencing left, because a page is alone in its host or its neighbour lacks the
+   place: then elements and class names of furniture go, and so does all outside the main element.
 
 Pages are parsed once, before the only shuffle, into blocks of the order (host, path, page) whose bounds come from a bounded
 sample of the urls. The runs of equal pages at a block's edges are stitched afterwards: the driver sees four rows a block.
@@ -21,6 +21,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import partial
 from html import unescape
 
 import pyarrow as pa
@@ -265,40 +266,41 @@ def _longest(a: list, b: list) -> list[int]:
     return _longest(a[:half], b[:split]) + [half + i for i in _longest(a[half:], b[split:])]
 
 
-def units_of(lines: list[Line], rules: bool = True) -> tuple[list[str], list[int], list[int]]:
-    """What a page's text is made of: the lines that may be text; the keys by which its units are aligned, a unit being a line
-    or neighbouring lines of one place; and for each unit twice the number of its lines among the first, plus one if
-    differencing may delete it. Without ``rules`` every line may be text."""
+def units_of(lines: list[Line]) -> tuple[list[str], list[int], list[int]]:
+    """What a page's text is made of: its lines; the keys by which its units are aligned, a unit being a line or neighbouring
+    lines of one place; and for each unit four times the number of its lines, plus one if differencing may delete it and two
+    if the rules would."""
     has_main = any(main for _, _, main, _ in lines)
     texts: list[str] = []
     keys: list[int] = []
     marks: list[int] = []
     last = None
     for words, path, main, ruled in lines:
-        place = path if has_main and not main else None
+        outside = has_main and not main
+        place = (path, ruled) if outside or ruled else None
         if place is None or place != last:
-            keys.append((place if place is not None else xxhash.xxh64_intdigest(f"{path} {words}")) - (1 << 63))
-            marks.append(0 if main else 1)
+            keys.append((path if place is not None else xxhash.xxh64_intdigest(f"{path} {words}")) - (1 << 63))
+            marks.append((place is not None or not main) + 2 * (outside or ruled))
         last = place
-        if not rules or not ruled and (main or not has_main):
-            texts.append(words)
-            marks[-1] += 2
+        texts.append(words)
+        marks[-1] += 4
     return texts, keys, marks
 
 
-def main_text(texts: list[str], keys: list[int], marks: list[int], neighbour: list[int] | None) -> tuple[str, int, int]:
-    """A page's text, given the keys of its nearest differing page; and how many units that may not be text differencing
-    deleted, and how many it left to the rules."""
+def main_text(texts: list[str], keys: list[int], marks: list[int], neighbour: list[int] | None, rules: bool = True) -> tuple[str, int, int]:
+    """A page's text, given the keys of its nearest differing page; and how many units differencing deleted, and how many the
+    rules, which come after it and meet only what the neighbour doesn't tell."""
     gone = shared_lines(keys, neighbour) if neighbour is not None and neighbour != keys else set()
     kept: list[str] = []
     at = shared = ruled = 0
     for i, mark in enumerate(marks):
-        count = mark >> 1
+        count = mark >> 2
         if mark & 1 and i in gone:
             shared += 1
+        elif rules and mark & 2:
+            ruled += 1
         else:
             kept += texts[at : at + count]
-            ruled += mark & 1 and not count
         at += count
     return "\n".join(kept), shared, ruled
 
@@ -390,10 +392,10 @@ def _joined(texts: list[str]) -> bytes:
 
 
 def _split(texts: bytes, marks: list[int]) -> list[str]:
-    return zlib.decompress(texts).decode().split("\n") if any(m > 1 for m in marks) else []
+    return zlib.decompress(texts).decode().split("\n") if marks else []
 
 
-def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _difference(batches: Iterator[pa.RecordBatch], rules: bool = True) -> Iterator[pa.RecordBatch]:
     """Rows in order of block, host and path; each block on its own."""
 
     def parts() -> Iterator[tuple]:
@@ -407,7 +409,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     side = nearer(row["path"], before.last, after.first)
                     key = side, id(row["texts"]), id(row["marks"])
                     if key not in known:
-                        known[key] = main_text(_split(row["texts"], row["marks"]), run.keys, row["marks"], (before if side < 0 else after).keys)
+                        known[key] = main_text(_split(row["texts"], row["marks"]), run.keys, row["marks"], (before if side < 0 else after).keys, rules)
                     text, *counts = known[key]
                     yield 0, row["page_id"], row["url"], text, None, *counts, run.block, None, None, None, None, None, None, None
             if after is None:
@@ -446,7 +448,7 @@ def _stitched(edges: list) -> list[tuple]:
     return found
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], rules: bool = True) -> Iterator[pa.RecordBatch]:
     """page_id, url, texts, path, keys, marks, before_path, before_keys, after_path, after_keys -> results."""
 
     def results() -> Iterator[tuple]:
@@ -454,7 +456,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in batch.to_pylist():
                 side = nearer(r["path"], r["before_path"], r["after_path"])
                 other = r["before_keys"] if side < 0 else r["after_keys"] if side > 0 else None
-                yield r["page_id"], r["url"], *main_text(_split(r["texts"], r["marks"]), r["keys"], r["marks"], other)
+                yield r["page_id"], r["url"], *main_text(_split(r["texts"], r["marks"]), r["keys"], r["marks"], other, rules)
 
     yield from _packed(results(), pa.schema([_PARTS.field(k) for k in ("page_id", "url", "text", "n_shared", "n_ruled")]))
 
@@ -462,7 +464,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, rules: bool = True) -> DataFrame:
     """page_id, url, text, n_chars, n_shared and n_ruled of every row of ``pages``.
 
-    n_shared counts the places and lines that differencing deleted, n_ruled those that only the rules tell from text; without
+    n_shared counts the places and lines that differencing deleted, n_ruled those that it left and the rules deleted; without
     ``rules`` these stay. Null and empty pages have empty text. Very long pages are parsed in linear time and aligned exactly.
     Null urls are one host of their own; pages of one url are in the order of their ids. Repeated rows and copies get equal
     texts where their urls are equal, as a copy of a page is no neighbour of it. Results don't depend on the partitions.
@@ -490,13 +492,13 @@ def extract(pages: DataFrame, rules: bool = True) -> DataFrame:
             for part in slices(batches, 64):
                 htmls = part.column(4).cast(pa.binary()).to_pylist()
                 for row, html in zip(part.select([0, 1, 2, 3]).to_pylist(), htmls, strict=True):
-                    texts, keys, marks = units_of(lines_of((html or b"").decode("utf-8", "replace")), rules)
+                    texts, keys, marks = units_of(lines_of((html or b"").decode("utf-8", "replace")))
                     yield row["page_id"], row["url"], row["host"], row["path"], bisect_right(bounds, place(row)), _joined(texts), keys, marks
 
         yield from _packed(parsed(), _PARSED)
 
     dealt = rows.mapInArrow(parse, _PARSED_SQL).repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "host", "path", "page_id")
-    parts = store(dealt.mapInArrow(_difference, _PARTS_SQL))
+    parts = store(dealt.mapInArrow(partial(_difference, rules=rules), _PARTS_SQL))
     edges = parts.where("kind = 2")
     seen = edges.select("block", "run", "is_last", "host", "path", "last_path", F.xxhash64("keys").alias("digest")).collect()  # four rows a block
     keys = lambda side: edges.select(F.col("block").alias(f"{side}_block"), F.col("run").alias(f"{side}_run"), F.col("keys").alias(f"{side}_keys"))
@@ -505,5 +507,5 @@ def extract(pages: DataFrame, rules: bool = True) -> DataFrame:
     waiting = parts.where("kind = 1").join(near.select("block", "run", "before_path", "before_keys", "after_path", "after_keys"), ["block", "run"], "left")
     waiting = waiting.select("page_id", "url", "texts", "path", "keys", "marks", "before_path", "before_keys", "after_path", "after_keys")
     columns = ["page_id", "url", "text", "n_shared", "n_ruled"]
-    done = parts.where("kind = 0").select(*columns).unionByName(waiting.mapInArrow(_resolve, "page_id long, url string, text string, n_shared int, n_ruled int"))
+    done = parts.where("kind = 0").select(*columns).unionByName(waiting.mapInArrow(partial(_resolve, rules=rules), "page_id long, url string, text string, n_shared int, n_ruled int"))
     return done.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_shared", "n_ruled")

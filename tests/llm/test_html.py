@@ -1,5 +1,6 @@
 import time
 from collections import Counter
+from html.parser import HTMLParser
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +21,7 @@ three.<br>four<p>Second&nbsp;para &#233;<aside>Side</aside><ul><li>a<li>b</ul><f
 
 
 def alone(html, rules=True):
-    return h.main_text(*h.units_of(h.lines_of(html), rules), None)[0]
+    return h.main_text(*h.units_of(h.lines_of(html)), None, rules)[0]
 
 
 def test_article_alone_is_text():
@@ -148,5 +149,60 @@ def test_differencing_alone_finds_the_article(spark):
     assert ruled[100]["text"] == want[0] and ruled[100]["n_ruled"] == 3
 
 
+class Article(HTMLParser):
+    """An extraction of its own, by the standard library: blocks of text inside article elements."""
+
+    BLOCKS = frozenset("article h1 h2 h3 p ul ol li div section table tr td blockquote pre".split())
+
+    def __init__(self, html):
+        super().__init__()
+        self.depth, self.blocks, self.now = 0, [], ""
+        self.feed(html)
+        self.end_block()
+
+    def end_block(self):
+        if text := " ".join(self.now.split()):
+            self.blocks.append(text)
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.end_block()
+        self.depth += tag == "article"
+        self.now += " " if tag == "br" else ""
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.end_block()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.now += data
+
+
+def test_whole_table_against_an_extraction_by_the_standard_library(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: "\n".join(Article(r["html"] or "").blocks) for r in pages.collect()}
+    for rules in (True, False):
+        got = h.extract(pages, rules=rules).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want
+        assert all(r["n_shared"] >= 3 and not r["n_ruled"] for r in got if r["text"])
+
+
+def test_differencing_decides_before_the_rules(spark):
+    def site(i, more=""):
+        return f"<ul><li>Home {i}<li>About</ul><div class=k>Nothing named {i}</div><div><p>Story {i}<p>end of {i}</div><p>All rights</p>{more}"
+
+    rows = [(i, f"http://x.org/{i}", site(i, "<nav>only here</nav>" if i == 2 else "")) for i in range(5)] + [(9, "http://y.org/", site(9))]
+    got = {r["page_id"]: r for r in h.extract(table(spark, rows)).collect()}
+    assert got[9]["text"] == "Home 9\nAbout\nNothing named 9\nStory 9\nend of 9\nAll rights" and got[9]["n_shared"] == 0
+    assert got[0]["text"] == "Home 0\nNothing named 0\nStory 0\nend of 0" and got[0]["n_shared"] == 2
+    assert got[2]["text"] == "Home 2\nNothing named 2\nStory 2\nend of 2" and got[2]["n_ruled"] == 1  # its neighbours lack the place
+    named = [(i, f"http://x.org/{i}", f"<nav>m{i}</nav><article>t{i}<aside>s{i}</aside></article>") for i in range(3)]
+    got = h.extract(table(spark, named)).collect()
+    assert all(r["text"] == f"t{r['page_id']}" and r["n_shared"] == 2 and r["n_ruled"] == 0 for r in got)
+
+
 def test_empty_table(spark):
     assert h.extract(table(spark, []).limit(0)).count() == 0
