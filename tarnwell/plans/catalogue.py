@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import markup, text
-from tarnwell.operators import changes, hierarchy, links, lint, planning, search
+from tarnwell.operators import changes, hierarchy, links, lint, planning, postings, search
 from tarnwell.operators.search import SearchOptions
 from tarnwell.sources import workspace as ws
 
@@ -183,10 +183,85 @@ def search_snippet(spark, sf_dir):
     return search.with_snippets(found, "the license").select("id", "snippet")
 
 
-@register(f"WITH {_DOCS} SELECT term, count(*) AS documents, sum(tf)::BIGINT AS occurrences FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', title, content, heading_text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM doc_index) GROUP BY id, term) GROUP BY term HAVING count(*) >= 5")
+@register(f"WITH {_DOCS} SELECT term, count(*) AS documents, sum(tf)::BIGINT AS occurrences FROM (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', title, content, heading_text)), '[\\p{{L}}\\p{{N}}]+')) AS term FROM doc_index) GROUP BY id, term) GROUP BY term")
 def postings_statistics(spark, sf_dir):
     found = search.postings(ws.doc_index(spark, sf_dir))
-    return found.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences")).where("documents >= 5")
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"))
+
+
+# Search from stored postings
+
+_INDEXES: dict[tuple[str, str, str], postings.StoredIndex] = {}
+
+
+def stored_index(spark, sf_dir, analyser: str) -> postings.StoredIndex:
+    """The stored index of a folder's documents; built once by a session, as an index is there to be asked again."""
+    key = (spark.sparkContext.applicationId, sf_dir, analyser)
+    if key not in _INDEXES:
+        _INDEXES[key] = postings.StoredIndex.build(ws.doc_index(spark, sf_dir), analyser)
+    return _INDEXES[key]
+
+
+@register(_bm25_sql(["the", "license"], False, 20))
+def stored_bm25_and(spark, sf_dir):
+    hits = stored_index(spark, sf_dir, "plain").bm25(["the", "license"])
+    return _scored(postings.top(hits, ws.doc_index(spark, sf_dir).select("id"), 20))
+
+
+@register(_bm25_sql(["the", "and"], True, 10, "space_key = 'src3'"))
+def stored_bm25_filtered(spark, sf_dir):
+    hits = stored_index(spark, sf_dir, "plain").bm25(["the", "and"], any_word=True)
+    options = SearchOptions(query="the and", space="src3")
+    return _scored(postings.top(hits, ws.doc_index(spark, sf_dir).select("id", "space_key"), 10, conditions=search.filters(options)))
+
+
+RELAXED = "The licenses of version and passages"
+
+
+def _relaxed_sql(words: list[str], limit: int) -> str:
+    """The relaxed formula over tokens without stop words, not stemmed; ties by id."""
+    quoted = lambda w: "'" + w.replace("'", "''") + "'"
+    stops = ", ".join(map(quoted, sorted(postings.STOP_WORDS)))
+    fields = []
+    for field, boost in postings.BOOSTS.items():
+        tokens = f"regexp_extract_all(replace(lower(coalesce({field}, '')), '’', ''''), '[\\p{{L}}\\p{{N}}]+(?:''[\\p{{L}}\\p{{N}}]+)*')"
+        fields.append(f"SELECT id, '{field}' AS field, {boost}::DOUBLE AS boost, list_filter(list_transform({tokens}, lambda w: regexp_replace(w, '''s$', '')), lambda w: w NOT IN ({stops})) AS t FROM doc_index")
+    asked = ", ".join(f"({quoted(w)})" for w in words)
+    return f"""WITH {_DOCS}, fields AS ({" UNION ALL ".join(fields)}), asked(word) AS (VALUES {asked}),
+tfs AS (SELECT id, field, boost, word, len(list_filter(t, lambda w: w = word)) AS tf, len(t) AS l FROM fields, asked),
+idfs AS (SELECT field, boost, word, 1 + ln(count(*) / (count(*) FILTER (tf > 0) + 1)) AS idf FROM tfs GROUP BY ALL),
+norm AS (SELECT sqrt(sum((boost * idf) ** 2)) AS norm FROM idfs),
+sums AS (SELECT id, field, sum(sqrt(tf::DOUBLE / l) * tfs.boost * idf * idf) * count(*) / {float(len(words))} AS s FROM tfs JOIN idfs USING (field, word) WHERE tf > 0 GROUP BY id, field),
+scores AS (SELECT id, sum(s) * count(*) / 3.0::DOUBLE / any_value(norm) AS raw FROM sums, norm GROUP BY id),
+hits AS (SELECT id, raw FROM scores ORDER BY raw DESC, id LIMIT {limit})"""
+
+
+def _relaxed(spark, sf_dir, columns):
+    hits = stored_index(spark, sf_dir, "english").relaxed(postings.english(RELAXED))
+    return postings.top(hits, ws.doc_index(spark, sf_dir).select("id", *columns), search.RELAXED_LIMIT, best_first=True)
+
+
+@register(_relaxed_sql(postings.english(RELAXED), search.RELAXED_LIMIT) + " SELECT id, round(raw, 6) AS score FROM hits")
+def relaxed_search(spark, sf_dir):
+    return _scored(_relaxed(spark, sf_dir, []))
+
+
+def _fragment_sql(words: list[str]) -> str:
+    wanted = "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    fragment = "''"
+    for field in reversed(postings.FRAGMENT_FIELDS):
+        pieces = f"regexp_extract_all({field}, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')"
+        at = f"list_position(list_transform({pieces}, lambda x: list_contains({wanted}, lower(x))), true)"
+        window = f"list_slice({pieces}, greatest({at} - {postings.BEFORE}, 1), {at} + {postings.AFTER} - 1)"
+        marked = f"array_to_string(list_transform({window}, lambda x: CASE WHEN list_contains({wanted}, lower(x)) THEN '<mark>' || x || '</mark>' ELSE x END), '')"
+        fragment = f"CASE WHEN {at} > 0 THEN {marked} ELSE {fragment} END"
+    return fragment
+
+
+@register(_relaxed_sql(postings.english(RELAXED), search.RELAXED_LIMIT) + f" SELECT id, {_fragment_sql(postings.english(RELAXED))} AS fragment FROM hits JOIN doc_index USING (id)")
+def relaxed_fragments(spark, sf_dir):
+    found = _relaxed(spark, sf_dir, postings.FRAGMENT_FIELDS)
+    return postings.with_fragments(found, postings.english(RELAXED)).select("id", "fragment")
 
 
 # Changes
@@ -313,10 +388,10 @@ def preflight_plan(spark, sf_dir):
     return both.select("page_id", action.alias("action"), F.when(action == "update", F.col("version") + 1).alias("version"))
 
 
-@register(f"WITH {_FEED} SELECT page_id, min(path) AS path FROM (SELECT page_id, 'p/' || version || '.md' AS path FROM change_feed WHERE version <= 3) WHERE page_id IN (SELECT page_id FROM remote WHERE page_id % 2 = 0) GROUP BY page_id")
+@register(f"WITH {_FEED} SELECT page_id, min(path) AS path FROM (SELECT page_id, 'p/' || version || '.md' AS path FROM change_feed) WHERE page_id IN (SELECT page_id FROM remote WHERE page_id % 2 = 0) GROUP BY page_id")
 def state_rebuild(spark, sf_dir):
     feed, remote, _ = _feed(spark, sf_dir)
-    files = feed.where("version <= 3").select("page_id", F.concat(F.lit("p/"), F.col("version").cast("string"), F.lit(".md")).alias("path"))
+    files = feed.select("page_id", F.concat(F.lit("p/"), F.col("version").cast("string"), F.lit(".md")).alias("path"))
     return changes.rebuild_state(files, remote.where("page_id % 2 = 0"))
 
 
@@ -537,10 +612,12 @@ def attachment_drift(spark, sf_dir):
     return links.attachment_drift(rows.where("i % 2 = 0"), rows.where("i % 3 = 0"), rows.where("i % 5 <> 0"), rows.where("i % 7 <> 0"))
 
 
-@register("""WITH a AS (SELECT lower('File ' || (s_suppkey % 40)) AS k, 's' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 60), u AS (SELECT k, min(id) AS id FROM a GROUP BY k HAVING count(DISTINCT id) = 1)
+@register("""WITH a AS (SELECT lower('File ' || CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 40 ELSE s_suppkey END) AS k, 's' || s_suppkey AS id FROM supplier), u AS (SELECT k, min(id) AS id FROM a GROUP BY k HAVING count(DISTINCT id) = 1)
 SELECT ' file ' || n_nationkey AS filename, coalesce(id, '') AS attachment_id FROM nation LEFT JOIN u ON k = 'file ' || n_nationkey""")
 def media_by_filename(spark, sf_dir):
-    attachments = ws.table(spark, sf_dir, "supplier").where("s_suppkey <= 60").select(F.concat(F.lit("File "), (F.col("s_suppkey") % 40).cast("string")).alias("filename"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("attachment_id"))
+    i = F.col("s_suppkey")
+    name = F.concat(F.lit("File "), F.when(i % 3 == 0, i % 40).otherwise(i).cast("string"))
+    attachments = ws.table(spark, sf_dir, "supplier").select(name.alias("filename"), F.concat(F.lit("s"), i.cast("string")).alias("attachment_id"))
     return links.media_by_filename(ws.table(spark, sf_dir, "nation").select(F.concat(F.lit(" file "), F.col("n_nationkey").cast("string")).alias("filename")), attachments)
 
 
@@ -726,11 +803,11 @@ def display_names(spark, sf_dir):
     return planning.display_names(pages, users, "author")
 
 
-@register("SELECT 'f' || c_custkey AS file_id, coalesce((SELECT max('a' || s_suppkey) FROM supplier WHERE s_suppkey % 50 = c_custkey), 'f' || c_custkey) AS attachment_id FROM customer WHERE c_custkey <= 100")
+@register("SELECT 'f' || c_custkey AS file_id, coalesce((SELECT max('a' || s_suppkey) FROM supplier WHERE s_suppkey % 50 = c_custkey), 'f' || c_custkey) AS attachment_id FROM customer")
 def media_by_file(spark, sf_dir):
     key = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
     attachments = ws.table(spark, sf_dir, "supplier").select(key("f", F.col("s_suppkey") % 50).alias("file_id"), key("a", F.col("s_suppkey")).alias("attachment_id"))
-    return planning.media_by_file(ws.table(spark, sf_dir, "customer").where("c_custkey <= 100").select(key("f", F.col("c_custkey")).alias("file_id")), attachments)
+    return planning.media_by_file(ws.table(spark, sf_dir, "customer").select(key("f", F.col("c_custkey")).alias("file_id")), attachments)
 
 
 @register(f"WITH {_FEED} SELECT 'p/' || l.page_id || '.md' AS path, CASE WHEN r.page_id IS NULL THEN 'missing' WHEN r.page_id % 8 = 0 THEN 'archived' ELSE 'remote_ahead' END AS error FROM local l LEFT JOIN (SELECT * FROM remote WHERE page_id % 10 <> 0) r ON l.page_id = r.page_id WHERE l.page_id % 6 <> 0 AND (r.page_id IS NULL OR r.page_id % 8 = 0 OR r.version > l.version)")
