@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,24 +93,43 @@ def unique_paths(planned: DataFrame) -> DataFrame:
     return planned.withColumn("rank", rank).select("page_id", F.when(F.col("rank") > 1, numbered).otherwise(F.col("path")).alias("path"))
 
 
-def _allocate(rows: pd.DataFrame) -> pd.DataFrame:
-    taken: set[str] = set()
-    out = []
-    for page, path in sorted(zip(rows["page_id"], rows["path"], strict=True), key=lambda x: (x[1], x[0])):
-        stem, name, k = path.removesuffix(".md"), path, 1
-        while name in taken:
-            k += 1
-            name = f"{stem}-{k}.md"
-        taken.add(name)
-        out.append((page, name))
-    return pd.DataFrame(out, columns=["page_id", "path"])
+def ranked(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with the long column ``name``: 1, 2, 3... by ``order`` within each value of ``group``.
+
+    No group is brought together, as one may hold most rows: rows are sorted by ranges, numbered within range and group, and
+    each such block starts where the group's earlier ones end. A group has at most as many blocks as there are ranges.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [F.col(c) for c in (*group, *order)]
+    placed = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    placed = cut(placed.withColumns({"_block": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    sizes = placed.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_block").orderBy("_at"))
+    rows = placed.withColumn("_inside", inside).join(starts, [*group, "_block"])
+    return rows.withColumn(name, (F.col("_start") + F.col("_inside")).cast("long")).drop("_block", "_at", "_start", "_inside")
 
 
 def allocate_paths(planned: DataFrame) -> DataFrame:
-    """As unique_paths(), skipping names that are taken. Names can only collide inside a directory, so directories are
-    independent groups."""
-    rows = planned.withColumn("directory", F.regexp_replace("path", "[^/]*$", ""))
-    return rows.groupBy("directory").applyInPandas(lambda key, pdf: _allocate(pdf), "page_id string, path string")
+    """As unique_paths(), skipping names that are taken: pages go by (path, page_id), the first of a path keeps it, and the others
+    take the least numbers from 2 that no earlier page's name has.
+
+    ``a-2.md`` stands before ``a.md``, so the numbers that ``a.md`` can't give are those of pages whose own path is ``a-<number>.md``:
+    given ones are never among them. A page's number is therefore its place among the repeats and the taken numbers of its
+    path, a taken number standing behind as many repeats as there are free numbers below it. Paths end in ``.md``.
+    """
+    pages = ranked(planned.select("page_id", "path"), ["path"], ["page_id"], "rank")
+    repeated = pages.where("rank = 2").select("path")
+    named = F.regexp_extract("path", r"^(.*)-[1-9][0-9]{0,17}\.md$", 1)
+    number = F.regexp_extract("path", r"-([1-9][0-9]{0,17})\.md$", 1).try_cast("long")
+    taken = planned.select(F.concat(named, F.lit(".md")).alias("of"), number.alias("number")).where("number >= 2").distinct()
+    taken = taken.withColumnRenamed("of", "path").join(repeated, "path", "left_semi")
+    taken = ranked(taken, ["path"], ["number"], "rank").select("path", (F.col("number") - F.col("rank") - 1).alias("behind"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("page_id"))
+    again = pages.where("rank > 1").select("path", (F.col("rank") - 1).alias("behind"), F.lit(0).alias("kind"), "page_id")
+    given = ranked(again.unionByName(taken), ["path"], ["behind", "kind", "page_id"], "place").where("kind = 0")
+    name = F.concat(F.regexp_replace("path", r"\.md$", ""), F.lit("-"), (F.col("place") + 1).cast("string"), F.lit(".md"))
+    return pages.where("rank = 1").select("page_id", "path").unionByName(given.select("page_id", name.alias("path")))
 
 
 def path_moves(before: DataFrame, after: DataFrame) -> DataFrame:

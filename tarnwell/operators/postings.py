@@ -140,12 +140,12 @@ class StoredIndex:
 
     def sizes(self) -> dict[str, tuple[int, int]]:
         """Documents and tokens by field."""
-        return {r["field"]: (r["documents"], r["tokens"]) for r in self.spark.read.parquet(f"{self.root}/sizes").collect()}
+        return {r["field"]: (r["documents"], r["tokens"]) for r in self.spark.read.schema(_SIZE).parquet(f"{self.root}/sizes").collect()}
 
     def postings(self, words: Sequence[str]) -> DataFrame:
         """term, field, doc, tf, length of the lists of ``words``; only their buckets are read."""
         buckets = [r[0] for r in self.spark.createDataFrame([(w,) for w in words], "w string").select(_bucket(F.col("w"))).collect()]
-        lists = self.spark.read.parquet(f"{self.root}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(*words))
+        lists = self.spark.read.schema(_LIST).parquet(f"{self.root}/postings").where(F.col("bucket").isin(*buckets) & F.col("term").isin(*words))
         return lists.select("term", "field", F.explode(F.arrays_zip("docs", "tfs", "lengths")).alias("p")).select("term", "field", F.col("p.docs").alias("doc"), F.col("p.tfs").alias("tf"), F.col("p.lengths").alias("length"))
 
     def _lengths(self, words: Sequence[str]) -> dict[tuple[str, str], int]:

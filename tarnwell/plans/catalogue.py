@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import markup, text
-from tarnwell.operators import changes, hierarchy, links, lint, planning, postings, search
+from tarnwell.operators import changes, hierarchy, lineage, links, lint, planning, postings, search
 from tarnwell.operators.search import SearchOptions
 from tarnwell.sources import workspace as ws
+from tarnwell.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -437,7 +438,9 @@ def unique_paths(spark, sf_dir):
     return hierarchy.unique_paths(hierarchy.planned_paths(ws.nodes(spark, sf_dir)))
 
 
-@register(None)
+@register(f"""WITH {_PATHS}, numbered AS (SELECT page_id, path, row_number() OVER (PARTITION BY path ORDER BY page_id) AS r FROM page_paths),
+taken AS (SELECT regexp_extract(path, '^(.*)-[1-9][0-9]*\\.md$', 1) || '.md' AS path, list(DISTINCT regexp_extract(path, '-([1-9][0-9]*)\\.md$', 1)::BIGINT) AS numbers FROM page_paths WHERE regexp_matches(path, '-[1-9][0-9]*\\.md$') GROUP BY 1)
+SELECT page_id, CASE WHEN r = 1 THEN path ELSE regexp_replace(path, '\\.md$', '') || '-' || list_filter(range(2, r + 2 + coalesce(len(numbers), 0)), lambda k: NOT list_contains(coalesce(numbers, []), k))[r - 1] || '.md' END AS path FROM numbered LEFT JOIN taken USING (path)""")
 def allocated_paths(spark, sf_dir):
     return hierarchy.allocate_paths(hierarchy.planned_paths(ws.nodes(spark, sf_dir)))
 
@@ -859,6 +862,30 @@ def incremental_index(spark, sf_dir):
     return search.delete_paths(search.upsert(before, changed), index.where("i % 10 = 5"))
 
 
+@register(f"""WITH {_DOCS} SELECT path, title, CASE WHEN page_id::BIGINT % 10 IN (3, 4) THEN 'second' WHEN page_id::BIGINT % 10 = 6 THEN 'third' ELSE 'first' END AS origin
+FROM doc_index WHERE page_id::BIGINT % 10 <> 5""")
+def incremental_rebuild(spark, sf_dir):
+    """What a stored index holds after a first build and two increments: the same as a full build of the last state."""
+    index = ws.doc_index(spark, sf_dir).select("path", "title", F.col("page_id").cast("long").alias("i"))
+    rows = lambda where, origin: index.where(where).select("path", "title", F.lit(origin).alias("origin"))
+    table = incremental.KeyedTable(spark, lineage.folder(spark, "index"), "path")
+    table.change(rows("i % 10 <> 3", "first"))
+    table.change(rows("i % 10 IN (3, 4)", "second"))
+    table.change(rows("i % 10 = 6", "third"), index.where("i % 10 = 5"))
+    return table.read()
+
+
+@register(f"""WITH {_FEED} SELECT page_id, coalesce(arg_min(space_key, seq) FILTER (space_key <> ''), '') AS space_key, coalesce(arg_min(title, seq) FILTER (title <> ''), '') AS title, max(version) AS version, max(last_modified) AS last_modified FROM change_feed GROUP BY page_id""")
+def streamed_pages(spark, sf_dir):
+    """Page state that a stream of the change feed leaves, the feed arriving in files: all five columns as in one batch."""
+    feed, folder = ws.change_feed(spark, sf_dir), lineage.folder(spark, "stream")
+    feed.repartition(4, "seq").write.parquet(f"{folder}/feed")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/feed").schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/feed")
+    table = incremental.KeyedTable(spark, f"{folder}/pages", "page_id")
+    incremental.follow_changes(stream, table, f"{folder}/checkpoint").awaitTermination()
+    return table.read()
+
+
 @register(None)
 def markdown_links(spark, sf_dir):
     """Links of pages written as Markdown, found by the scanner and rewritten to relative paths."""

@@ -1,3 +1,4 @@
+import random
 import sqlite3
 from collections import Counter
 
@@ -125,6 +126,32 @@ def test_allocated_paths_are_unique(spark):
     assert len(set(got.values())) == 5 and got["1"] == "a.md" and got["4"] == "d/a.md"
 
 
+def allocated_in_order(rows):
+    """One page after the other, by path and id: the first name that is free."""
+    taken, out = set(), []
+    for page, path in sorted(rows, key=lambda x: (x[1], x[0])):
+        name, k = path, 1
+        while name in taken:
+            k += 1
+            name = f"{path.removesuffix('.md')}-{k}.md"
+        taken.add(name)
+        out.append((page, name))
+    return sorted(out)
+
+
+def test_allocated_paths_match_one_after_the_other(spark):
+    rng = random.Random(5)
+    for size in (1, 40, 400):
+        stems = ["a", "a-2", "a-3", "a-2-2", "a-10", "a-02", "b", "b-1", "d/a", "d/a-4", "é", "a-99999999999999999999"]
+        rows = [(f"{rng.randrange(10**6)}-{i}", f"{rng.choice(stems[: 4 + size % 9])}.md") for i in range(size)]
+        planned = spark.createDataFrame(rows, "page_id string, path string")
+        assert sorted(map(tuple, hierarchy.allocate_paths(planned).collect())) == allocated_in_order(rows)
+    hot = [(f"{i:05}", "untitled.md") for i in range(3000)] + [(f"x{i}", f"untitled-{i}.md") for i in range(2, 4000, 3)]
+    got = hierarchy.allocate_paths(spark.createDataFrame(hot, "page_id string, path string")).collect()
+    assert sorted(map(tuple, got)) == allocated_in_order(hot)
+    assert hierarchy.allocate_paths(spark.createDataFrame([], "page_id string, path string")).count() == 0
+
+
 def test_nearest_parents(spark):
     pages = spark.createDataFrame([("a/b/c.md",), ("a/x.md",), ("z.md",), ("a/b/b.md",)], "path string")
     index = spark.createDataFrame([("a", "1"), ("a/b", "2")], "directory string, id string")

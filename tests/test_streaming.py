@@ -41,9 +41,13 @@ def test_states(spark):
     assert [tuple(r) for r in workspace.tall(found.where("error = ''"), "page_path_index", "page_id").collect()] == [("K", "a/b.md", "1")]
 
 
+def files_by_part(root):
+    return {d: sorted(os.listdir(f"{root}/{d}")) for d in os.listdir(root) if d.startswith("_part=")}
+
+
 def test_files_stream_into_the_index(spark, tmp_path):
-    root, table = f"{tmp_path}/space", incremental.VersionedTable(spark, f"{tmp_path}/index")
-    run = lambda: incremental.follow_files(spark, root, "DEV", table, f"{tmp_path}/checkpoint").awaitTermination(60)
+    root, table = f"{tmp_path}/space", incremental.KeyedTable(spark, f"{tmp_path}/index", "path")
+    run = lambda: incremental.follow_files(spark, root, "DEV", table, f"{tmp_path}/checkpoint").awaitTermination(120)
     write(f"{root}/a.md", PAGE.format(id=1, title="One"))
     write(f"{root}/b.md", PAGE.format(id=2, title="Two"))
     run()
@@ -53,22 +57,58 @@ def test_files_stream_into_the_index(spark, tmp_path):
     run()
     assert {r["title"] for r in table.read().where("type = 'page'").collect()} == {"One", "Two", "Three"}
     changed = table.read().where("path = 'DEV/a.md'").withColumn("title", F.lit("Again"))
-    incremental.update_index(table, changed, spark.createDataFrame([("DEV/a.md",), ("DEV/c.md",)], "path string"))
+    table.change(changed, spark.createDataFrame([("DEV/b.md",)], "path string"))
     assert {r["title"] for r in table.read().where("type = 'page'").collect()} == {"Again", "Three"}
 
 
-def test_change_feed_stream_matches_batch(spark, tmp_path):
-    rows = [(i % 3, "K" if i % 2 else "", "t" if i % 5 else "", i, i) for i in range(1, 20)]
-    feed = spark.createDataFrame(rows, "page_id long, space_key string, title string, version int, seq long").withColumn("last_modified", F.timestamp_seconds("seq"))
-    feed.where("seq <= 10").write.parquet(f"{tmp_path}/feed")
-    table = incremental.VersionedTable(spark, f"{tmp_path}/pages")
+def test_changes_touch_only_their_partitions(spark, tmp_path):
+    table = incremental.KeyedTable(spark, f"{tmp_path}/t", "id", 8)
+    assert table.read() is None
+    rows = spark.range(100).select(F.col("id"), F.lit("a").alias("v")).union(spark.range(100).select("id", F.lit("b").alias("v")))
+    table.change(rows)
+    before = files_by_part(f"{tmp_path}/t")
+    assert table.read().count() == 200 and len(before) == 8
+    new = spark.createDataFrame([(5, "c"), (None, "lost")], "id long, v string")
+    for _ in range(2):  # repeating changes nothing
+        table.change(new)
+        assert sorted(r["v"] for r in table.read().where("id = 5").collect()) == ["c"] and table.read().count() == 199
+    after = files_by_part(f"{tmp_path}/t")
+    assert sum(before[d] != after[d] for d in before) == 1
+    table.change(new.limit(0), spark.range(100))
+    assert table.read().count() == 0 and len(files_by_part(f"{tmp_path}/t")) == 8
+    table.change(new)
+    assert [tuple(r) for r in table.read().collect()] == [(5, "c")]
 
-    def run():
-        stream = spark.readStream.schema(feed.schema).parquet(f"{tmp_path}/feed")
-        incremental.follow_changes(stream, table, f"{tmp_path}/checkpoint").awaitTermination(60)
 
-    run()
-    feed.where("seq > 10").write.mode("append").parquet(f"{tmp_path}/feed")
-    run()
-    want = {r["page_id"]: (r["version"], r["last_modified"]) for r in changes.merge_changes(feed).collect()}
-    assert {r["page_id"]: (r["version"], r["last_modified"]) for r in table.read().collect()} == want
+def test_increments_equal_a_full_build(spark, tmp_path):
+    root, stamp = f"{tmp_path}/space", f"{tmp_path}/stamp"
+    table = incremental.KeyedTable(spark, f"{tmp_path}/index", "path", 8)
+    step = lambda t=table, s=stamp: incremental.index_increment(spark, root, "DEV", t, s)
+    for k in range(6):
+        write(f"{root}/{k}.md", PAGE.format(id=k, title=f"T{k}"))
+        os.utime(f"{root}/{k}.md", (1_700_000_000, 1_700_000_000))
+    assert step() == 6 and incremental.last_indexed(spark, stamp) is not None
+    first = incremental.last_indexed(spark, stamp)
+    assert step() == 0 and incremental.last_indexed(spark, stamp) == first  # nothing changed: no new stamp
+    write(f"{root}/1.md", PAGE.format(id=1, title="Changed"))
+    write(f"{root}/7.md", PAGE.format(id=7, title="New"))
+    os.remove(f"{root}/2.md")
+    assert step() == 3
+    full = incremental.KeyedTable(spark, f"{tmp_path}/full", "path", 8)
+    step(full, f"{tmp_path}/other")
+    want = sorted(map(str, full.read().collect()))
+    assert sorted(map(str, table.read().select(full.read().columns).collect())) == want and len({r["path"] for r in full.read().collect()}) == 6
+
+
+def test_change_feed_stream_matches_batch(spark, tmp_path):
+    rows = [(i % 3, f"K{i}" if i % 2 else "", f"t{i}" if i % 5 else "", (i * 7) % 20, i) for i in range(1, 20)] + [(9, "K", "a", 1, 1), (9, "L", "b", 2, 2)]
+    feed = spark.createDataFrame(rows, "page_id long, space_key string, title string, version int, seq long").withColumn("last_modified", F.timestamp_seconds("seq"))
+    want = sorted(map(str, changes.merge_changes(feed).collect()))
+    splits = {"forward": ["seq <= 1", "seq BETWEEN 2 AND 10", "seq > 10"], "late": ["seq > 10", "seq <= 10"], "again": ["seq % 2 = 0", "TRUE"]}
+    for name, parts in splits.items():
+        table = incremental.KeyedTable(spark, f"{tmp_path}/{name}", "page_id", 4)
+        for part in parts:
+            feed.where(part).write.mode("append").parquet(f"{tmp_path}/feed-{name}")
+            stream = spark.readStream.schema(feed.schema).parquet(f"{tmp_path}/feed-{name}")
+            incremental.follow_changes(stream, table, f"{tmp_path}/checkpoint-{name}").awaitTermination(120)
+        assert sorted(map(str, table.read().select("page_id", "space_key", "title", "version", "last_modified").collect())) == want
