@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import markup, text
-from tarnwell.operators import changes, hierarchy, lineage, links, lint, planning, postings, search
+from tarnwell.operators import assets, changes, hierarchy, lineage, links, lint, planning, postings, search
 from tarnwell.operators.search import SearchOptions
 from tarnwell.sources import workspace as ws
 from tarnwell.streaming import incremental
@@ -851,6 +851,49 @@ def create_preview(spark, sf_dir):
     return planning.create_preview(pages, index, pages.select("path").unionAll(pages.select("path")))
 
 
+# Assets of Markdown
+
+_BODIES = """bodies AS (SELECT doc_id AS i, source AS s, source || '/doc-' || doc_id || '.md' AS path, doc_id::VARCHAR AS page_id, 'f' || (doc_id % 7) || '.png' AS f, 'x' || (doc_id % 5) || '.pdf' AS x FROM documents),
+files AS (SELECT DISTINCT source || '/f' || (doc_id % 6) || '.png' AS path FROM documents UNION SELECT DISTINCT 'x' || (doc_id % 4) || '.pdf' FROM documents),
+known AS (SELECT b.*, f.path IS NOT NULL AS has_f, g.path IS NOT NULL AS has_x FROM bodies b LEFT JOIN files f ON f.path = s || '/' || f LEFT JOIN files g ON g.path = x)"""
+
+
+def _bodies(spark, sf_dir):
+    """Pages with references made of the documents' ids, and the files that exist."""
+    docs, i = ws.table(spark, sf_dir, "documents"), F.col("doc_id")
+    n = lambda k: (i % k).cast("string")
+    body = F.concat(F.lit("![p](f"), n(7), F.lit('.png "T") and [q](../x'), n(5), F.lit(".pdf#a) `[n](f0.png)` [m](o.md) [w](https://h/"), i.cast("string"), F.lit(")"))
+    pages = docs.select(F.concat("source", F.lit("/doc-"), i.cast("string"), F.lit(".md")).alias("path"), i.cast("string").alias("page_id"), body.alias("body"))
+    files = docs.select(F.concat("source", F.lit("/f"), n(6), F.lit(".png")).alias("path")).union(docs.select(F.concat(F.lit("x"), n(4), F.lit(".pdf"))))
+    return pages, files.distinct()
+
+
+@register(f"WITH {_BODIES} SELECT path, 0 AS at, s || '/' || f AS target, CASE WHEN has_f THEN '' ELSE 'missing' END AS issue FROM known UNION ALL SELECT path, 1, x, CASE WHEN has_x THEN '' ELSE 'missing' END FROM known")
+def asset_references(spark, sf_dir):
+    pages, files = _bodies(spark, sf_dir)
+    return assets.references(pages, files).select("path", "at", "target", "issue")
+
+
+_TAIL = "' `[n](f0.png)` [m](o.md) [w](https://h/' || i || ')'"
+
+
+@register(f"""WITH {_BODIES} SELECT path, CASE WHEN has_f AND has_x THEN '![p](../assets/' || i || '/' || f || ' "T") and [q](../assets/' || i || '/' || x || ')' ELSE '![p](' || f || ' "T") and [q](../' || x || '#a)' END || {_TAIL} AS body,
+CASE WHEN has_f AND has_x THEN s || '/' || f || '>assets/' || i || '/' || f || ',' || x || '>assets/' || i || '/' || x ELSE '' END AS moves FROM known""")
+def asset_moves(spark, sf_dir):
+    pages, files = _bodies(spark, sf_dir)
+    moves = F.transform("moves", lambda m: F.concat(m.source, F.lit(">"), m.target))
+    return assets.move_plan(pages, files).select("path", "body", F.array_join(moves, ",").alias("moves"))
+
+
+@register(f"""WITH {_BODIES} SELECT path, CASE WHEN has_f AND has_x THEN '[' || f || ']{{.media-inline media-id="' || CASE WHEN f IN ('f1.png', 'f4.png') THEN 'at-' || f ELSE 'pending-attachment-' || s || '-' || f END || '" media-type="image"}} and [' || x || ']{{.media-inline media-id="pending-attachment-' || x || '" media-type="file"}}'
+ELSE '![p](' || f || ' "T") and [q](../' || x || '#a)' END || {_TAIL} AS body FROM known""")
+def asset_spans(spark, sf_dir):
+    pages, files = _bodies(spark, sf_dir)
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    ids = files.where(name.isin("f1.png", "f4.png")).select("path", F.concat(F.lit("at-"), name).alias("attachment_id"))
+    return assets.inline_media(pages.select("path", "body"), files, ids)
+
+
 # Incremental maintenance
 
 
