@@ -71,10 +71,11 @@ def _targets(cells: DataFrame, dimension: str, target: Target) -> DataFrame:
 
 def rake(cells: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET) -> DataFrame:
     """``cells`` (source, lang, topic, tokens) with weight: sums to 1, its margins meet the targets, and no weight is more than
-    the cell's tokens over the budget's (a share of all tokens).
+    the cell's tokens over the budget's (a share of all tokens); and gap: how far the margins of a cell are from their targets at most.
 
     A value that no target names gets no weight. Targets that the cells cannot meet together, or not under the caps, are met
-    as nearly as the rounds bring them, until no weight moves by TOLERANCE or MAX_ROUNDS are over; weights may then sum to less than 1. Ties need no order.
+    as nearly as the rounds bring them, until no weight moves by TOLERANCE or MAX_ROUNDS are over; weights may then sum to less than 1,
+    and gap tells what is missing. Ties need no order.
     """
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     rows = cells.withColumns({"weight": F.col("tokens") / F.lit(float(max(total, 1))), "_cap": F.col("tokens") / F.lit(max(budget * total, 1e-9))})
@@ -97,7 +98,8 @@ def rake(cells: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: floa
         rows = cut(rows)
         if (rows.agg(F.max(F.abs(F.col("weight") - F.col("_was")))).first()[0] or 0.0) < TOLERANCE:
             break
-    return rows.drop("_cap", "_was", *[f"want_{d}" for d in targets])
+    short = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"want_{d}")) for d in targets]
+    return rows.withColumn("gap", F.greatest(*short, F.lit(0.0))).drop("_cap", "_was", *[f"want_{d}" for d in targets])
 
 
 def calibrate(cells: DataFrame, budget: float) -> DataFrame:
@@ -107,7 +109,7 @@ def calibrate(cells: DataFrame, budget: float) -> DataFrame:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET, carry: Sequence[str] | None = None) -> DataFrame:
-    """_row, source, lang, topic, tokens, weight (of the cell), probability and kept.
+    """_row, source, lang, topic, tokens, weight and gap (of the cell), probability and kept.
 
     _row holds all columns of ``docs``, or those named by ``carry``, whose rows are then kept between the two passes, so that
     texts are read once. Null sources and languages are the value "(none)". Null and empty texts have no tokens; a cell
@@ -120,7 +122,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float
     keys = [F.col(f"_d.{d}").alias(d) for d in DIMENSIONS]
     cells = cut(rows.select("_d").groupBy(*keys).agg(F.sum("_d.tokens").alias("tokens")))
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    chances = cut(calibrate(rake(cells, targets, budget), budget * total).select(*DIMENSIONS, "weight", "probability"))
+    chances = cut(calibrate(rake(cells, targets, budget), budget * total).select(*DIMENSIONS, "weight", "probability", "gap"))
     found = rows.select("_row", *keys, F.col("_d.tokens").alias("tokens"), F.col("_d.draw").alias("_draw"))
     if chances.count() <= BROADCAST_CELLS:
         found = found.join(F.broadcast(chances), list(DIMENSIONS))
@@ -128,7 +130,7 @@ def mix(docs: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float
         found = found.withColumn("_salt", F.floor(F.col("_draw") * 1e9).cast("long") % SALTS)
         salted = chances.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         found = found.join(salted.hint("merge"), [*DIMENSIONS, "_salt"])
-    return found.select("_row", *DIMENSIONS, "tokens", "weight", "probability", (F.col("_draw") < F.col("probability")).alias("kept"))
+    return found.select("_row", *DIMENSIONS, "tokens", "weight", "gap", "probability", (F.col("_draw") < F.col("probability")).alias("kept"))
 
 
 def sample(docs: DataFrame, targets: Mapping[str, Target] = TARGETS, budget: float = BUDGET) -> DataFrame:

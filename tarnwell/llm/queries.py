@@ -48,7 +48,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(read(spark, sf_dir, "documents"), carry=["doc_id"])
-    return found.select(F.col("_row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "probability", "kept")
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "source", "lang", "topic", "tokens", "weight", "gap", "probability", "kept")
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

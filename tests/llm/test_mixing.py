@@ -52,6 +52,7 @@ def test_weights_match_brute_force_and_budget_holds(spark):
         assert abs(r["weight"] - want[r["source"], r["lang"], r["topic"]]) < 1e-4
         assert 0 <= r["probability"] <= 1
         assert not (r["kept"] and r["probability"] == 0)
+        assert r["gap"] < 1e-3
     total = sum(cells.values())
     assert abs(sum(r["tokens"] * r["probability"] for r in got) - m.BUDGET * total) < 1e-3 * total
     for i, d in enumerate(m.DIMENSIONS):  # also where probabilities reach 1
@@ -86,6 +87,13 @@ def test_named_targets(spark):
     assert not any(r["kept"] for r in got if r["source"] not in targets["source"])
 
 
+def test_gap_tells_targets_that_cannot_be_met(spark):
+    docs = table(spark, corpus())
+    got = m.mix(docs, {"source": {"s1": 1.0}}, 0.9, carry=["doc_id"]).collect()
+    held = {(r["source"], r["lang"], r["topic"]): r["weight"] for r in got}
+    assert abs(max(r["gap"] for r in got if r["source"] == "s1") - (1 - sum(held.values()))) < 1e-9 and sum(held.values()) < 0.5
+
+
 def test_sample_keeps_columns_and_empty_tables(spark):
     docs = table(spark, corpus())
     assert m.sample(docs).columns == docs.columns
