@@ -6,6 +6,7 @@ import base64
 import json
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -18,6 +19,12 @@ _MANAGED = ("id", "title", "version", "state", "status", "labels", "created_by",
 _HEADING = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
 _SETEXT = re.compile(r"^ {0,3}(=+|-+)[ \t]*$")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})[ \t]*([^\s`]*)")
+_QUOTE = re.compile(r" {0,3}> ?")
+_ITEM = re.compile(r"( {0,3})([-+*]|\d{1,9}[.)])( {1,4}(?=\S)| (?=\s)|[ \t]*$)")
+_RULE = re.compile(r"^ {0,3}(?:(?:\*[ \t]*){3,}|(?:-[ \t]*){3,}|(?:_[ \t]*){3,})$")
+_DEFINITION = re.compile(r" {0,3}\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(<[^<>]*>|\S+)")
+_REFERENCE = re.compile(r"(!?)\[((?:[^\[\]\\]|\\.)+)\](?:\[((?:[^\[\]\\]|\\.)*)\])?(?![(:])")
+_BLANK = re.compile(r"[ \t>]*(?:\n|$)")
 
 
 def arrow(kind: str):
@@ -83,42 +90,111 @@ def frontmatter(content: str) -> dict:
     return out
 
 
+def _walk(lines: list[str]) -> Iterator[tuple[str, str, int]]:
+    """For each line of Markdown its kind, its text without the quotes and list items around it, and a level.
+
+    Kinds: open (text: language), fence and close of fenced code; indented (code); heading and under (the line below a setext
+    heading), both with their level; blank; definition (of a link reference); text, with level 1 where it begins a paragraph.
+    """
+    stack: list[int | None] = []  # None for a quote, else the width of a list item's marker
+    fence: tuple[str, int, int, int] | None = None  # character, length, containers around it, indent
+    paragraph = False
+    for line in lines:
+        rest, matched = line.removesuffix("\r"), 0
+        for width in stack:
+            if width is None:
+                inside = _QUOTE.match(rest)
+                if not inside:
+                    break
+                rest = rest[inside.end() :]
+            elif rest.strip():
+                if _indent(rest) < width:
+                    break
+                rest = rest[width:]
+            matched += 1
+        if fence and matched >= fence[2]:
+            if re.match(rf"^ {{0,3}}{re.escape(fence[0])}{{{fence[1]},}}[ \t]*$", rest):
+                fence = None
+                yield "close", "", 0
+            else:
+                yield "fence", rest[min(fence[3], _indent(rest)) :], 0
+            continue
+        if matched < len(stack):
+            fence = None
+            starts = any(p.match(rest) for p in (_QUOTE, _ITEM, _FENCE, _HEADING)) or _RULE.match(rest)
+            if not (paragraph and rest.strip() and not starts):  # else the paragraph goes on without its marks
+                del stack[matched:]
+                paragraph = False
+        while _indent(rest) < 4 or not (paragraph or rest.strip()):
+            quote, item = _QUOTE.match(rest), None if _RULE.match(rest) else _ITEM.match(rest)
+            if quote:
+                stack.append(None)
+                rest = rest[quote.end() :]
+            elif item and not (paragraph and (not item[3] or item[2][0].isdigit() and item[2][:-1] != "1")):
+                stack.append(len(item[1]) + len(item[2]) + max(1, len(item[3])))
+                rest = rest[item.end() :]
+            else:
+                break
+            paragraph = False
+        opened, atx, under = _FENCE.match(rest), _HEADING.match(rest), _SETEXT.match(rest)
+        if not rest.strip():
+            paragraph = False
+            yield "blank", "", 0
+        elif not paragraph and _indent(rest) >= 4:
+            yield "indented", rest[4:], 0
+        elif opened and not (opened[1][0] == "`" and "`" in rest[opened.end(1) :]):
+            fence, paragraph = (opened[1][0], len(opened[1]), len(stack), _indent(rest)), False
+            yield "open", opened[2], 0
+        elif atx:
+            paragraph = False
+            yield "heading", (atx[2] or "").strip(), len(atx[1])
+        elif paragraph and under and (under[1][0] == "=" or matched == len(stack)):
+            paragraph = False
+            yield "under", "", 1 if under[1][0] == "=" else 2
+        elif _RULE.match(rest):
+            paragraph = False
+            yield "text", "", 0
+        elif not paragraph and _DEFINITION.match(rest):
+            yield "definition", rest, 0
+        else:
+            yield "text", rest, int(not paragraph)
+            paragraph = True
+
+
+def _indent(line: str) -> int:
+    return len(line) - len(line.lstrip(" "))
+
+
 def structure(body: str) -> dict:
-    """Sections (each heading with the text up to the next heading) and fenced code blocks, in order of the lines."""
+    """Sections (each heading with the text up to the next heading) and fenced code blocks, in order of the lines; also those
+    inside quotes and list items."""
     sections, code, open_headings = [], [], []
-    fence = None
     lines = body.split("\n")
+    above: list[str] = []
 
     def heading(level: int, text: str, line: int) -> None:
         del open_headings[next((i for i, (lv, _) in enumerate(open_headings) if lv >= level), len(open_headings)) :]
         open_headings.append((level, text))
         sections.append({"heading": text, "level": level, "path": [t for _, t in open_headings], "content": [], "line": line})
 
-    for number, line in enumerate(lines, 1):
-        if fence is not None:
-            if re.match(rf"^ {{0,3}}{re.escape(fence[0])}{{{fence[1]},}}[ \t]*$", line):
-                fence = None
-            else:
-                code[-1]["code"].append(line)
+    for number, (line, (kind, text, level)) in enumerate(zip(lines, _walk(lines), strict=True), 1):
+        if kind == "under":
             if sections:
-                sections[-1]["content"].append(line)
-            continue
-        opened = _FENCE.match(line)
-        atx = _HEADING.match(line)
-        under = _SETEXT.match(line)
-        before = lines[number - 2] if number > 1 else ""
-        if opened:
-            fence = (opened[1][0], len(opened[1]))
-            level, text = open_headings[-1] if open_headings else (0, "")
-            code.append({"language": opened[2], "code": [], "heading": text, "level": level, "line": number + 1})
-        elif atx:
-            heading(len(atx[1]), (atx[2] or "").strip(), number)
+                del sections[-1]["content"][len(sections[-1]["content"]) - len(above) :]
+            heading(level, " ".join(x.strip() for x in above), number - len(above))
+            above = []
             continue
-        elif under and before.strip() and not _HEADING.match(before) and not before.startswith(("    ", ">", "-", "*", "|")):
-            if sections and sections[-1]["content"]:
-                sections[-1]["content"].pop()
-            heading(1 if under[1][0] == "=" else 2, before.strip(), number - 1)
+        above = [] if kind != "text" or level else above
+        if kind == "heading":
+            heading(level, text, number)
             continue
+        if kind == "text":
+            above.append(text)
+        elif kind == "open":
+            at, held = open_headings[-1] if open_headings else (0, "")
+            code.append({"language": text, "code": [], "heading": held, "level": at, "line": number + 1})
+        elif kind == "fence":
+            code[-1]["code"].append(text)
         if sections:
             sections[-1]["content"].append(line)
     for s in sections:
@@ -128,38 +204,93 @@ def structure(body: str) -> dict:
     return {"sections": sections, "code": code}
 
 
+def _without_code(body: str) -> tuple[str, list[str]]:
+    """``body`` with code, headings' marks apart, blanked in place, and its lines' kinds. A code span ends with its paragraph."""
+    lines = body.split("\n")
+    kinds = [kind for kind, _, _ in _walk(lines)]
+    plain = "\n".join(line if kind in ("text", "heading", "blank", "definition", "under") else " " * len(line) for line, kind in zip(lines, kinds, strict=True))
+    parts, start = [], 0
+    for end in [*(m.start() for m in re.finditer(r"\n(?=[ \t>]*\n)", plain)), len(plain)]:
+        parts.append(_without_spans(plain[start:end]))
+        start = end
+    return "".join(parts), kinds
+
+
+def _without_spans(paragraph: str) -> str:
+    """``paragraph`` with its code spans blanked: from a run of backticks to the next one of the same length."""
+    runs = [m.span() for m in re.finditer("`+", paragraph)]
+    after: dict[int, list[int]] = {}
+    for k in reversed(range(len(runs))):
+        after.setdefault(runs[k][1] - runs[k][0], []).append(k)
+    parts, last, k = [], 0, 0
+    while k < len(runs):
+        begin, end = runs[k]
+        later = after[end - begin]
+        while later and later[-1] <= k:
+            later.pop()
+        if begin and paragraph[begin - 1] == "\\" or not later:
+            k += 1
+            continue
+        k = later[-1]
+        parts += [paragraph[last:begin], re.sub(r"[^\n]", " ", paragraph[begin : runs[k][1]])]
+        last = runs[k][1]
+        k += 1
+    return "".join([*parts, paragraph[last:]])
+
+
 def links(body: str) -> list[dict]:
-    """Inline links and images outside fences and code spans, with the span of the destination in the body."""
-    found, at, fence = [], 0, None
-    for line in body.split("\n"):
-        opened = _FENCE.match(line)
-        if opened and (fence is None or opened[1][0] == fence):
-            fence = None if fence else opened[1][0]
-        elif fence is None:
-            plain = re.sub(r"(`+)(?:(?!\1).)+?\1", lambda m: " " * len(m[0]), line)
-            stack: list[tuple[int, bool]] = []
-            i = 0
-            while i < len(plain):
-                c = plain[i]
-                if c == "\\":
-                    i += 2
+    """Inline links and images outside code, with the span of the destination in the body; also over several lines."""
+    plain, _ = _without_code(body)
+    found: list[dict] = []
+    stack: list[tuple[int, bool]] = []
+    i = 0
+    while i < len(plain):
+        c = plain[i]
+        if c == "\\":
+            i += 2
+            continue
+        if c == "\n":
+            if _BLANK.match(plain, i + 1):
+                stack.clear()  # a paragraph ends
+        elif c == "[":
+            stack.append((i, i > 0 and plain[i - 1] == "!"))
+        elif c == "]" and stack:
+            start, image = stack.pop()
+            if plain[i + 1 : i + 2] == "(":
+                depth, j = 1, i + 2
+                angle = plain[j : j + 1] == "<"
+                while j < len(plain) and depth and plain[j : j + 2] != "\n\n":
+                    angle = angle and plain[j] != ">"
+                    depth += 0 if angle else {"(": 1, ")": -1}.get(plain[j], 0)
+                    j += 2 if plain[j] == "\\" else 1
+                if not depth:
+                    found.append({"start": i + 2, "end": j - 1, "text": body[start + 1 : i], "destination": body[i + 2 : j - 1], "image": image})
+                    i = j
                     continue
-                if c == "[":
-                    stack.append((i, i > 0 and plain[i - 1] == "!"))
-                elif c == "]" and stack:
-                    start, image = stack.pop()
-                    if plain[i + 1 : i + 2] == "(":
-                        depth, j = 1, i + 2
-                        while j < len(plain) and depth:
-                            depth += {"(": 1, ")": -1}.get(plain[j], 0)
-                            j += 2 if plain[j] == "\\" else 1
-                        if not depth:
-                            raw = line[i + 2 : j - 1]
-                            found.append({"start": at + i + 2, "end": at + j - 1, "text": line[start + 1 : i], "destination": raw, "image": image})
-                            i = j
-                            continue
-                i += 1
+        i += 1
+    return found
+
+
+def reference_links(body: str) -> list[dict]:
+    """Links by reference that are used, with the span of the destination in its definition: [text][label], [label][] and
+    [label]. Labels go by words without case; of equal definitions the first counts."""
+    plain, kinds = _without_code(body)
+    key = lambda label: " ".join(label.split()).casefold()
+    known: dict[str, tuple[int, int]] = {}
+    at, text = 0, plain
+    for line, kind in zip(body.split("\n"), kinds, strict=True):
+        defined = _DEFINITION.search(line) if kind == "definition" else None
+        if defined:
+            known.setdefault(key(defined[1]), (at + defined.start(2), at + defined.end(2)))
+            text = text[:at] + " " * len(line) + text[at + len(line) :]
         at += len(line) + 1
+    inside = [(x["start"] - len(x["text"]) - 3, x["end"]) for x in links(body)]
+    found = []
+    for m in _REFERENCE.finditer(text):
+        label = key(m[3] or m[2])
+        if label in known and not any(a <= m.start(2) - 1 <= b for a, b in inside):
+            start, end = known[label]
+            found.append({"start": start, "end": end, "text": m[2], "destination": body[start:end], "image": bool(m[1])})
     return found
 
 
@@ -280,6 +411,7 @@ def snippet(text: str, words: frozenset[str], size: int = 10) -> str:
 parse_frontmatter = arrow(FRONTMATTER)(frontmatter)
 parse_structure = arrow(STRUCTURE)(structure)
 parse_links = arrow(LINKS)(links)
+parse_references = arrow(LINKS)(reference_links)
 parse_media = arrow("array<struct<id:string,file:string>>")(media_references)
 parse_diagram = arrow("string")(diagram)
 parse_stems = arrow("array<string>")(stems)

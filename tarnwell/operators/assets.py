@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -11,10 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwell.functions import markup, text
-from tarnwell.operators.links import relative
+from tarnwell.operators.links import relative, with_destination
 
 OUTSIDE, MISSING, DIRECTORY = "outside", "missing", "directory"
-_RAW = re.compile(r"(\s*)(<[^>]*>|\S*)(.*)$", re.S)
 _REFERENCE = "array<struct<start:int,end:int,text:string,destination:string,image:boolean>>"
 
 
@@ -55,12 +53,6 @@ def references(documents: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select("path", "at", "start", "end", "text", "image", "destination", "target", issue.alias("issue"))
 
 
-def _with_destination(raw: str, new: str) -> str:
-    """A link's raw destination with ``new`` in its place, angle brackets and title kept."""
-    lead, old, rest = _RAW.match(raw).groups()
-    return f"{lead}<{new}>{rest}" if old.startswith("<") else f"{lead}{new}{rest}"
-
-
 def targets(page_id: str, sources: Sequence[str], existing: set[str]) -> list[str]:
     """Where a page's referenced files go, one after the other: assets/<page>/<name>, or the least -2, -3... before the extension
     that no other source of the page has got, ignoring case, and no file has; a file that is there already stays."""
@@ -100,7 +92,7 @@ def _moved(path: pa.Array, page_id: pa.Array, body: pa.Array, refs: pa.Array, ex
                 if target == r["target"]:
                     continue
                 moves[r["target"]] = target
-                b = b[: r["start"]] + _with_destination(r["destination"], relative(p, target)) + b[r["end"] :]
+                b = b[: r["start"]] + with_destination(r["destination"], relative(p, target)) + b[r["end"] :]
         out.append({"body": b, "moves": [{"source": s, "target": t} for s, t in sorted(moves.items())]})
     return pa.array(out, pa.struct([("body", pa.string()), ("moves", pa.list_(pa.struct([("source", pa.string()), ("target", pa.string())])))]))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import re
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -79,6 +80,26 @@ def extract_links(documents: DataFrame) -> DataFrame:
     return rows.select("path", "link.*").withColumn("destination", text.destination(F.col("destination")))
 
 
+def planned_links(documents: DataFrame) -> DataFrame:
+    """path, text, destination, image and by_reference of all links of ``documents`` (path, body): also those by reference, which
+    a plan knows but rewrite() leaves as they are."""
+    both = F.concat(
+        F.transform(markup.parse_links(F.col("body")), lambda x: F.struct(x.text, x.destination, x.image, F.lit(False).alias("by_reference"))),
+        F.transform(markup.parse_references(F.col("body")), lambda x: F.struct(x.text, x.destination, x.image, F.lit(True).alias("by_reference"))),
+    )
+    rows = documents.select("path", F.explode(both).alias("link")).select("path", "link.*")
+    return rows.withColumn("destination", text.destination(F.col("destination")))
+
+
+_DESTINATION = re.compile(r"(\s*)(<[^>]*>|\S*)(.*)$", re.S)
+
+
+def with_destination(raw: str, new: str) -> str:
+    """A link's raw destination with ``new`` in its place, angle brackets and title kept."""
+    lead, old, rest = _DESTINATION.match(raw).groups()
+    return f"{lead}<{new}>{rest}" if old.startswith("<") else f"{lead}{new}{rest}"
+
+
 def relative(source: str, target: str) -> str:
     return quote(posixpath.relpath(target, posixpath.dirname(source) or "."))
 
@@ -92,12 +113,10 @@ def rewrite(documents: DataFrame) -> DataFrame:
         for p, b, t in zip(path.to_pylist(), body.to_pylist(), targets.to_pylist(), strict=True):
             known, count = dict(t or []), 0
             for link in reversed(markup.links(b or "")):
-                raw = link["destination"].strip()
-                bare, mark, anchor = raw.strip("<>").partition("#")
+                raw = link["destination"]
+                bare, mark, anchor = _DESTINATION.match(raw)[2].strip("<>").partition("#")
                 if bare in known:
-                    new = relative(p, known[bare]) + mark + anchor
-                    new = f"<{new}>" if raw.startswith("<") else new
-                    b = b[: link["start"]] + new + b[link["end"] :]
+                    b = b[: link["start"]] + with_destination(raw, relative(p, known[bare]) + mark + anchor) + b[link["end"] :]
                     count += 1
             out.append({"body": b, "converted": count})
         return pa.array(out, pa.struct([("body", pa.string()), ("converted", pa.int32())]))

@@ -105,6 +105,73 @@ def test_links():
     assert all(body[x["start"] : x["end"]] == x["destination"] for x in got)
 
 
+def test_structure_inside_containers():
+    body = """> # Quoted
+> ```sql
+> SELECT 1
+>   FROM t
+> ```
+> lazy
+goes on
+
+- item
+  ## In item
+  ```py
+  x = 1
+    y
+  ```
+  after
+1. one
+
+   ~~~
+   deep
+   ~~~
+
+      not code, three more than the item
+
+text
+
+    indented # no heading
+    ``` no fence
+
+para
+    ``` not code either
+=====
+> ```
+> closed by the end of the quote
+out
+***
+[ref]: x.md
+Two
+lines
+---
+"""
+    got = markup.structure(body)
+    assert [(s["heading"], s["level"], s["line"]) for s in got["sections"]] == [("Quoted", 1, 1), ("In item", 2, 10), ("para ``` not code either", 1, 29), ("Two lines", 2, 37)]
+    assert [(c["language"], c["code"], c["heading"], c["line"]) for c in got["code"]] == [
+        ("sql", "SELECT 1\n  FROM t", "Quoted", 3),
+        ("py", "x = 1\n  y", "In item", 12),
+        ("", "deep", "In item", 19),
+        ("", "closed by the end of the quote", "para ``` not code either", 33),
+    ]
+    assert markup.structure("- a\n\n```\nx\n```")["code"][0]["code"] == "x"
+    assert [s["heading"] for s in markup.structure("a\n-\nb\n- - -\n#\n####### seven\n\\# no")["sections"]] == ["a", ""]
+
+
+def test_links_over_lines_and_in_containers():
+    body = "code `span\n[no](x)` end [two\nlines](a.md)\n\n`open [yes](b.md)\n\n> [q](c.md)\n> ```\n> [no](d)\n> ```\n\n    [no](e)\n\n- [i](f.md)\n\n  ~~~\n  [no](g)\n  ~~~\n[x](<a (b>) ``[no](h) ` `` [never\n\nclosed](i)"
+    got = markup.links(body)
+    assert [x["destination"] for x in got] == ["a.md", "b.md", "c.md", "f.md", "<a (b>"]
+    assert all(body[x["start"] : x["end"]] == x["destination"] for x in got)
+
+
+def test_reference_links():
+    body = "[One][a], [a] and ![img][] but [missing], [inline](x.md) `[a]` [a]: no\n\n[A]: <one two.md> 'T'\n[img]: i.png\n[a]: second.md\n\n```\n[missing]: y\n```"
+    got = markup.reference_links(body)
+    assert [(x["text"], x["destination"], x["image"]) for x in got] == [("One", "<one two.md>", False), ("a", "<one two.md>", False), ("img", "i.png", True)]
+    assert all(body[x["start"] : x["end"]] == x["destination"] for x in got)
+
+
 def test_media_and_diagrams():
     assert markup.media_references('{"content":[{"type":"media","attrs":{"id":"7"}},{"type":"p"}]}') == [{"id": "7", "file": ""}]
     assert markup.media_references("not json") == []
