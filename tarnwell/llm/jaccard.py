@@ -4,9 +4,12 @@ The shingles of a set are ordered by their hashes. Sets of s shingles that reach
 ceil(0.85 s) of them at least, so two linked sets share l of their first s - T + l shingles each, for every l: a longer
 prefix demands more shared shingles. An index of the longest prefixes counts how many sets hold each shingle; from these
 lengths every set estimates what its candidates will cost and takes the l that is cheapest. Shingles of more than HOT
-sets are never paired: a set that meets them lengthens its prefix until enough shingles must be shared besides them. Sets
-that consist of such shingles (large families of near copies) are compared with one set of each of their shingles
-first, and then block by block where that hasn't connected them.
+sets are never paired: a set that meets them lengthens its prefix until enough shingles must be shared besides them.
+
+Sets in whose longest prefix so much is hot that all they must share may be (they hold passages that many share, or
+belong to a large family of near copies) are compared with the set of each hot shingle that holds most hot ones. Where that
+doesn't connect a shingle's sets, its sets lengthen their prefixes to the whole and are indexed again among themselves.
+What is hot for most of a whole set is compared block by block at last.
 
 Equal sets are one throughout, and every link is verified on the whole sets.
 """
@@ -14,6 +17,7 @@ Equal sets are one throughout, and every link is verified on the whole sets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -103,8 +107,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(sets, pa.list_(pa.int64()))], ["print", "shingles"])
 
 
-def _dealt(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Longest prefixes as entries (shingle, set, rank), packed by part. Entries of a shingle go to its part, but for those of
+def _dealt(parts: int, most: Callable[[int], int] = longest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Longest prefixes of texts or sets as entries (shingle, set, rank), packed by part. Entries of a shingle go to its part, but for those of
     a shingle that is hot among the task's own sets: they go to parts of their sets, and only the shingle to its part."""
 
     def part_of(values: np.ndarray) -> np.ndarray:
@@ -134,16 +138,25 @@ def _dealt(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for batch in batches:
+            if "shingles" in batch.schema.names:
+                lists = batch.column("shingles")
+                for k, name in enumerate(batch.column("print").to_pylist()):
+                    yield name, lists[k].values.to_numpy().view(np.uint64)
+            else:
+                for part in within(iter([batch]), "text"):
+                    for text in as_bytes(part.column("text")):
+                        shingles = shingle_set(text)
+                        yield _name(shingles), shingles
+
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         total = 0
-        for batch in within(batches, "text"):
-            for text in as_bytes(batch.column("text")):
-                shingles = shingle_set(text)
-                name = _name(shingles)
-                if len(shingles) and name not in held:
-                    held[name] = shingles[: prefix(len(shingles), longest(len(shingles)))]
-                    total += len(held[name])
+        for name, shingles in named(batches):
+            if len(shingles) and name not in held:
+                held[name] = shingles[: prefix(len(shingles), most(len(shingles)))].copy()
+                total += len(held[name])
             if total >= GATHER:
                 yield from packed(held)
                 held, total = {}, 0
@@ -176,7 +189,7 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(arrays[1]), pa.array(arrays[0]), pa.array(arrays[2].astype(np.int32)), pa.array(holders.astype(np.int32))], names=["print", "token", "rank", "holders"])
 
 
-def choose(size: int, ranks: np.ndarray, holders: np.ndarray) -> tuple[int, int, int]:
+def choose(size: int, ranks: np.ndarray, holders: np.ndarray, longest: Callable[[int], int] = longest) -> tuple[int, int, int]:
     """(level, hot shingles in that prefix, hot shingles to index) of a set whose shared shingles of the longest prefix have
     these ranks (rising) and holders.
 
@@ -200,7 +213,7 @@ def choose(size: int, ranks: np.ndarray, holders: np.ndarray) -> tuple[int, int,
         level = min(2 * level, free, most)
 
 
-def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chosen(batches: Iterator[pa.RecordBatch], most: Callable[[int], int] = longest) -> Iterator[pa.RecordBatch]:
     names = ["print", "token", "hot", "level", "n_hot", "size"]
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32()]
     for batch in batches:
@@ -212,7 +225,7 @@ def _chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fresh = np.ones(len(ranks), bool)
             fresh[1:] = ranks[1:] != ranks[:-1]
             ranks, tokens, holders = ranks[fresh], tokens[fresh], holders[fresh]
-            level, n_hot, indexed = choose(size, ranks, holders)
+            level, n_hot, indexed = choose(size, ranks, holders, most)
             hot = holders > HOT
             cold = ~hot & (ranks < prefix(size, level))
             taken = np.concatenate((tokens[cold], tokens[hot][:indexed]))
@@ -233,12 +246,29 @@ def _cold_pairs(chosen: DataFrame) -> DataFrame:
 
 
 def _hub_pairs(hot: DataFrame) -> DataFrame:
-    """For each set with hot shingles indexed, the set that is least among the holders of most of them."""
-    hubs = hot.groupBy("token").agg(F.min("print").alias("a"))
+    """For each set with hot shingles indexed, the hub of most of them: of a shingle, the holder with the largest share of hot ones."""
+    share = F.col("n_hot") / F.col("size")
+    hubs = hot.groupBy("token").agg(F.max_by("print", F.struct(share, -F.col("print"))).alias("a"))
     shared = hot.select("token", F.col("print").alias("b")).join(hubs, "token").where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
     return shared.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b")
 
 
+def _signatures(source: DataFrame, prints: DataFrame, most: Callable[[int], int]) -> DataFrame:
+    """print, token, hot, level, n_hot, size: what the sets of ``source`` (text, or print and shingles) are indexed by."""
+    parts = PARTS * int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = source.mapInArrow(_dealt(parts, most), "part int, cold long, tokens binary, prints binary, ranks binary, marks binary")
+    shared = entries.groupBy("part").applyInArrow(_counted, "print long, token long, rank int, holders int")
+    held = shared.groupBy("print").agg(F.sort_array(F.collect_list(F.struct("rank", "token", "holders"))).alias("held"))
+    return store(held.join(prints.select("print", "size"), "print").mapInArrow(partial(_chosen, most=most), _CHOSEN))
+
+
+def _split(hot: DataFrame, labels: DataFrame) -> DataFrame:
+    """token, print, group of the hot shingles whose sets are in several groups."""
+    grouped = store(hot.select("token", "print").join(labels, F.col("print") == F.col("node"), "left").select("token", "print", F.coalesce("label", "print").alias("group")))
+    several = grouped.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
+    return store(grouped.join(several, "token", "left_semi"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that are linked; row by row, as sets can be long."""
     right = sets.select(F.col("print").alias("b"), F.col("shingles").alias("sb"))
@@ -249,47 +279,66 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _linked(table: pa.Table) -> pa.Table:
-    """Links a, b between sets of different groups, as few as connect all that are linked: whole sets of one or two blocks."""
-    prints, groups = table["print"].to_numpy(), table["group"].to_numpy()
+    """Links a, b between a block's sets marked ``mine`` and its others, as few as connect all that are linked across groups."""
+    prints, groups, mine = table["print"].to_numpy(), table["group"].to_numpy(), table["mine"].to_numpy()
     lists = table["shingles"].combine_chunks()
     values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    left, right = np.flatnonzero(mine), np.flatnonzero(~mine)
     row = np.repeat(np.arange(len(sizes)), sizes)
-    token, counts = np.unique(values, return_inverse=True, return_counts=True)[1:]
-    often = counts[token] > 1  # what one set holds is shared with none
-    order = np.argsort(token[often], kind="stable")
-    row, token = row[often][order], np.unique(token[often][order], return_inverse=True)[1]
-    shared = np.zeros((len(sizes), len(sizes)), np.float32)
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
-        some = slice(*np.searchsorted(token, (low, low + 4096)))
+    token = np.unique(values, return_inverse=True)[1]
+    count = int(token.max(initial=-1)) + 1
+    some = (np.bincount(token[mine[row]], minlength=count) > 0) & (np.bincount(token[~mine[row]], minlength=count) > 0)
+    row, token = row[some[token]], token[some[token]]
+    order = np.argsort(token, kind="stable")
+    row, token = row[order], np.unique(token[order], return_inverse=True)[1]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(token.max(initial=-1)) + 1, 4096):
+        part = slice(*np.searchsorted(token, (low, low + 4096)))
         held = np.zeros((len(sizes), 4096), np.float32)
-        held[row[some], token[some] - low] = 1
-        shared += held @ held.T
-    linked = (shared.astype(np.int64) * (100 + PERCENT) >= PERCENT * (sizes[:, None] + sizes)) & (groups[:, None] != groups)
+        held[row[part], token[part] - low] = 1
+        shared += held[left] @ held[right].T
+    linked = shared.astype(np.int64) * (100 + PERCENT) >= PERCENT * (sizes[left][:, None] + sizes[right])
+    linked &= groups[left][:, None] != groups[right]
     top = {g: g for g in groups.tolist()}
     found = []
-    for i, j in np.argwhere(np.triu(linked, 1)).tolist():
-        x, y = groups[i].item(), groups[j].item()
+    for i, j in np.argwhere(linked).tolist():
+        x, y = groups[left[i]].item(), groups[right[j]].item()
         while top[x] != x:
             x = top[x]
         while top[y] != y:
             y = top[y]
         if x != y:
             top[max(x, y)] = min(x, y)
-            found.append((prints[i], prints[j]))
+            found.append((prints[left[i]], prints[right[j]]))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
 def _block_links(split: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the groups of hot shingles that hold several: ``split`` has token, print, group. Shingles that share sets
-    make a family; its sets fall into blocks of bounded size, and every two blocks meet in a task of their own."""
+    make a family. Its sets outside its largest group, in blocks of bounded size, meet blocks of all its sets, each two
+    blocks in a task of their own."""
     least = split.groupBy("token").agg(F.min("print").alias("a"))
     family = components(split.join(least, "token").select("a", F.col("print").alias("b")).where("a <> b")).select(F.col("node").alias("print"), F.col("label").alias("family"))
     rows = store(split.select("print", "group").distinct().join(family, "print").join(sets, "print"))
-    size = rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    rows = rows.join(size, "family").withColumn("block", F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "print", "group", "shingles")
-    return store(rows.groupBy("family", "low", "high").applyInArrow(_linked, "a long, b long"))
+    groups = rows.groupBy("family", "group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("s"))
+    blocks = lambda n, s: F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(F.sum(s) / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    largest = groups.groupBy("family").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
+    groups = groups.join(largest, "family").withColumn("out", (F.col("group") != F.col("largest")).cast("int"))
+    size = groups.groupBy("family").agg(blocks(F.col("n"), F.col("s")).alias("wide"), blocks(F.col("n") * F.col("out"), F.col("s") * F.col("out")).alias("high"), F.first("largest").alias("largest"))
+    rows = rows.join(size, "family")
+    block = lambda n: F.pmod(F.xxhash64("print"), F.col(n)).cast("int")
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = rows.where(F.col("group") != F.col("largest")).withColumns({"low": block("high"), "other": up_to("wide"), "mine": F.lit(True)})
+    all_sets = rows.withColumns({"other": block("wide"), "low": up_to("high"), "mine": F.lit(False)})
+    dealt = mine.unionByName(all_sets).select("family", "low", "other", "mine", "print", "group", "shingles")
+    dealt = dealt.repartition(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "low", "other")  # few bytes, much work
+    return store(dealt.groupBy("family", "low", "other").applyInArrow(_linked, "a long, b long"))
+
+
+def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets are in different groups (print, group)."""
+    left, right = (groups.select(F.col("print").alias(c), F.col("group").alias(f"_{c}")) for c in ("a", "b"))
+    return pairs.join(left, "a").join(right, "b").where("_a <> _b").select("a", "b")
 
 
 def join_components(docs: DataFrame) -> DataFrame:
@@ -299,18 +348,12 @@ def join_components(docs: DataFrame) -> DataFrame:
     with each other: they are components of their own. Null ids are never a component's id, which is null only where it
     has no other. A very long text is one set in memory; its words are read in pieces. Other columns are not read. An empty table gives an empty result.
     """
-    session = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     rows = store(texts.mapInArrow(_described, "doc_id long, text_hash long, print long, size long"))
     prints = store(rows.where("size > 0").groupBy("print").agg(F.min("doc_id").alias("least"), F.first("size").cast("int").alias("size"), F.min(F.struct("text_hash", "doc_id")).alias("row")))
 
-    parts = PARTS * int(session.conf.get("spark.sql.shuffle.partitions"))
-    entries = docs.select("text").mapInArrow(_dealt(parts), "part int, cold long, tokens binary, prints binary, ranks binary, marks binary")
-    shared = entries.groupBy("part").applyInArrow(_counted, "print long, token long, rank int, holders int")
-    held = shared.groupBy("print").agg(F.sort_array(F.collect_list(F.struct("rank", "token", "holders"))).alias("held"))
-    chosen = store(held.join(prints.select("print", "size"), "print").mapInArrow(_chosen, _CHOSEN))
-
-    hot = chosen.where("hot").select("token", "print")
+    chosen = _signatures(docs.select("text"), prints, longest)
+    hot = chosen.where("hot").select("token", "print", "n_hot", "size")
     pairs = store(_cold_pairs(chosen).unionByName(_hub_pairs(hot)).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
     wanted = prints.join(wanted, "print", "left_semi").select("print", F.col("row.text_hash").alias("_hash"), F.col("row.doc_id").alias("_id"))
@@ -318,12 +361,19 @@ def join_components(docs: DataFrame) -> DataFrame:
     sets = store(found.select("print", "text").mapInArrow(_sets, "print long, shingles array<long>").dropDuplicates(["print"]))
     edges = _verified(pairs, sets)
     labels = components(edges)
-    group = F.coalesce("label", "print").alias("group")
-    grouped = store(hot.join(labels, F.col("print") == F.col("node"), "left").select("token", "print", group))
-    split = grouped.groupBy("token").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("token")
-    split = store(grouped.join(split, "token", "left_semi"))
+    split = _split(hot, labels)
     if split.limit(1).count():
-        labels = components(edges.unionByName(_block_links(split, sets)))
+        groups = split.select("print", "group").distinct()
+        open_sets = store(sets.join(groups, "print").select("print", "shingles"))
+        chosen = _signatures(open_sets, prints, needed)
+        hot = chosen.where("hot").select("token", "print", "n_hot", "size")
+        pairs = store(_across(_cold_pairs(chosen).unionByName(_hub_pairs(hot)).distinct(), groups))
+        edges = edges.unionByName(_verified(pairs, open_sets))
+        labels = components(edges)
+        split = _split(hot, labels)
+        if split.limit(1).count():
+            labels = components(edges.unionByName(_block_links(split, open_sets)))
+    group = F.coalesce("label", "print").alias("group")
     joined = store(prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least", group))
     ids = joined.groupBy("group").agg(F.min("least").alias("component_id"))
     named = rows.where("size > 0").join(joined.join(ids, "group").select("print", "component_id"), "print")
