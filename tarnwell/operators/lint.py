@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwell.functions import text
+from tarnwell.operators import assets, links
 
 #: How severe each kind of issue is, and whether it can be repaired without asking.
 SEVERITY = {
@@ -100,11 +101,30 @@ def hierarchy_issues(paths: DataFrame) -> DataFrame:
     return paths.withColumn("directory", F.regexp_replace("path", r"\.md$", "")).join(above, "directory", "left_semi").select("path")
 
 
+def file_issues(documents: DataFrame, files: DataFrame, local: DataFrame, everywhere: DataFrame) -> DataFrame:
+    """path, code and message of what keeps ``documents`` (path, fm, error: read_documents()) from being pushed.
+
+    A file that can't be read has a read_error and nothing else. Others have a conversion_error if a reference to a file is
+    at fault (``files`` has the paths that exist) or a link to a page resolves nowhere (``local`` and ``everywhere`` have path and page_id): the
+    first one in the body is told.
+    """
+    unread = documents.where("error <> ''").select("path", F.lit("read_error").alias("code"), F.col("error").alias("message"))
+    bodies = documents.where("error = ''").select("path", F.col("fm.body").alias("body"))
+    faults = assets.references(bodies, files).where("issue <> ''").select("path", "start", F.concat("issue", F.lit(": "), "target").alias("message"))
+    pages = links.extract_links(bodies).where(~F.col("image") & F.lower(F.regexp_replace("destination", r"[#?].*$", "")).endswith(".md"))
+    pages = pages.select(F.col("path").alias("source_path"), "start", "destination")
+    broken = links.page_ids_of_links(pages, local, everywhere).where("how = 'unresolved'").select(F.col("source_path").alias("path"), "start", F.concat(F.lit("unresolved: "), "target").alias("message"))
+    first = faults.unionByName(broken).groupBy("path").agg(F.min_by("message", "start").alias("message"))
+    return unread.unionByName(first.select("path", F.lit("conversion_error").alias("code"), "message"))
+
+
 def doctor(state: DataFrame, files: DataFrame) -> DataFrame:
-    """path, kind, severity and repairable: tracked pages (path, page_id) against files (path, page_id, body)."""
-    f = files.select("path", F.col("page_id").alias("file_id"), "body")
+    """path, kind, severity and repairable: tracked pages (path, page_id) against files (path, page_id, body and, where it is
+    known, error: a file with one can't be read)."""
+    broken = F.coalesce("error", F.lit("")) != "" if "error" in files.columns else F.lit(False)
+    f = files.select("path", F.col("page_id").alias("file_id"), F.when(broken, "").otherwise(F.col("body")).alias("body"), broken.alias("_broken"))
     both = state.join(f, "path", "left")
-    kind = F.when((F.col("path") == "") | (F.col("page_id") == ""), "empty-index-entry").when(F.col("body").isNull(), "missing-file").when(F.coalesce("file_id", F.lit("")) != F.col("page_id"), "id-mismatch")
+    kind = F.when((F.col("path") == "") | (F.col("page_id") == ""), "empty-index-entry").when(F.col("_broken"), "unreadable-file").when(F.col("body").isNull(), "missing-file").when(F.coalesce("file_id", F.lit("")) != F.col("page_id"), "id-mismatch")
     tracked = both.select("path", kind.alias("kind")).where("kind IS NOT NULL")
     marks = [
         (text.has_conflict_marker(F.col("body")), "conflict-markers"),

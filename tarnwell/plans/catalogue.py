@@ -894,6 +894,21 @@ def asset_spans(spark, sf_dir):
     return assets.inline_media(pages.select("path", "body"), files, ids)
 
 
+@register(f"""WITH {_BODIES} SELECT path, CASE WHEN i % 11 = 0 THEN 'read_error' ELSE 'conversion_error' END AS code,
+CASE WHEN i % 22 = 0 THEN 'not readable as UTF-8' WHEN i % 11 = 0 THEN 'missing frontmatter' WHEN NOT has_f THEN 'missing: ' || s || '/' || f WHEN NOT has_x THEN 'missing: ' || x ELSE 'unresolved: ' || s || '/o.md' END AS message
+FROM known WHERE i % 11 = 0 OR NOT has_f OR NOT has_x OR s = 'src1'""")
+def validate_files(spark, sf_dir):
+    """Files whose bytes are no text, whose frontmatter is missing, or whose references and links are at fault."""
+    pages, files = _bodies(spark, sf_dir)
+    i = F.col("page_id").cast("long")
+    head = F.when(i % 11 == 0, "").otherwise(F.concat(F.lit("---\ntitle: T\nid: "), "page_id", F.lit("\n---\n")))
+    content = F.concat(F.when(i % 22 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))), F.concat(head, "body").cast("binary"))
+    documents = ws.read_documents(pages.select("path", content.alias("content")), ws.SCANS["validate"])
+    targets = ws.table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/o.md")).alias("path"), F.lit("1").alias("page_id")).distinct()
+    here = F.col("path") != "src1/o.md"
+    return lint.file_issues(documents, files, targets.where(here & (F.col("path") < "src3")), targets.where(here))
+
+
 # Incremental maintenance
 
 

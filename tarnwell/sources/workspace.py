@@ -17,6 +17,7 @@ class ScanRule:
     any_case: bool = True  # '.MD' counts
     skip_assets: bool = True
     skip_hidden: bool = True
+    on_error: str = "skip"  # of a file that isn't text or has no valid frontmatter: skip it, keep its row, or abort the scan
 
 
 #: Scans by what they are for.
@@ -26,11 +27,11 @@ SCANS = {
     "global_index": ScanRule(),
     "titles": ScanRule(),
     "local_ids": ScanRule(),
-    "validate": ScanRule(any_case=False),
-    "relink": ScanRule(any_case=False, skip_assets=False),
-    "hierarchy": ScanRule(skip_assets=False),
+    "validate": ScanRule(any_case=False, on_error="row"),
+    "relink": ScanRule(any_case=False, skip_assets=False, on_error="abort"),
+    "hierarchy": ScanRule(skip_assets=False, on_error="row"),
     "orphans": ScanRule(),
-    "diff": ScanRule(any_case=False),
+    "diff": ScanRule(any_case=False, on_error="row"),
 }
 
 
@@ -62,6 +63,21 @@ def documents(files: DataFrame) -> DataFrame:
     return files.withColumn("fm", markup.parse_frontmatter(F.col("content")))
 
 
+def read_documents(files: DataFrame, rule: ScanRule) -> DataFrame:
+    """path, fm and error of ``files`` (path, content: bytes) as ``rule`` wants it: error is '', or why the file can't be read (it
+    isn't UTF-8, or its frontmatter is at fault); such files are left out, kept as rows, or end the job where they are met."""
+    raw = F.col("content").cast("binary").cast("string")
+    rows = files.withColumn("_text", F.when(F.is_valid_utf8(raw), raw)).withColumn("fm", markup.parse_frontmatter(F.col("_text")))
+    error = F.when(F.col("content").isNull() | F.col("_text").isNull(), "not readable as UTF-8").otherwise(F.coalesce("fm.error", F.lit("")))
+    rows = rows.select("path", "fm", error.alias("error"))
+    if rule.on_error == "skip":
+        return rows.where("error = ''")
+    if rule.on_error == "abort":
+        stop = F.raise_error(F.concat("path", F.lit(": "), "error"))
+        return rows.withColumn("error", F.when(F.col("error") == "", F.col("error")).otherwise(stop.cast("string")))
+    return rows
+
+
 def index_rows(files: DataFrame, space: str) -> DataFrame:
     """Search rows of parsed ``files``: one page each, one row per section, one per code block; broken files give none."""
     rows = documents(files).where("fm.error IS NULL").withColumn("parsed", markup.parse_structure(F.col("fm.body")))

@@ -175,6 +175,29 @@ def test_lint_rules(spark):
     assert {tuple(r) for r in lint.sibling_titles(titles).collect()} == {("d/a.md", "d/b.md"), ("d/b.md", "d/a.md"), ("d/c.md", "d/a.md")}
 
 
+def test_errors_are_rows_where_the_scan_says_so(spark):
+    good = "---\nid: 1\ntitle: T\n---\n[x](gone.md) ![i](none.png)"
+    rows = [("a.md", good.encode()), ("b.md", b"\xff---\n---\n"), ("c.md", b"no frontmatter"), ("d.md", None), ("e.md", b"---\nid: 5\n---\n[a](a.md#s) [b](x.txt)")]
+    files = spark.createDataFrame(rows, "path string, content binary")
+    found = {r["path"]: r["error"] for r in workspace.read_documents(files, workspace.SCANS["validate"]).collect()}
+    assert found["a.md"] == found["e.md"] == "" and found["b.md"] == found["d.md"] == "not readable as UTF-8" and found["c.md"]
+    assert [r["path"] for r in workspace.read_documents(files, workspace.SCANS["search"]).collect()] == ["a.md", "e.md"]
+    with pytest.raises(Exception, match=r"\.md: "):
+        workspace.read_documents(files, workspace.SCANS["relink"]).collect()
+    pages = spark.createDataFrame([("a.md", "1")], "path string, page_id string")
+    there = spark.createDataFrame([("x.txt",)], "path string")
+    got = {(r["path"], r["code"], r["message"]) for r in lint.file_issues(workspace.read_documents(files, workspace.SCANS["validate"]), there, pages, pages).collect()}
+    assert {g[:2] for g in got} == {("a.md", "conversion_error"), ("b.md", "read_error"), ("c.md", "read_error"), ("d.md", "read_error")}
+    assert ("a.md", "conversion_error", "unresolved: gone.md") in got
+
+
+def test_doctor_tells_unreadable_files(spark):
+    state = spark.createDataFrame([("a.md", "1"), ("b.md", "2"), ("c.md", "3")], "path string, page_id string")
+    files = spark.createDataFrame([("a.md", "1", "text", ""), ("b.md", None, None, "not readable as UTF-8")], "path string, page_id string, body string, error string")
+    got = {(r["path"], r["kind"], r["severity"]) for r in lint.doctor(state, files).collect()}
+    assert got == {("b.md", "unreadable-file", "error"), ("c.md", "missing-file", "error")}
+
+
 def test_scan_rules(spark):
     paths = ["a.md", "b.MD", "assets/c.md", ".git/d.md", "x/assets/e.md", "f.txt", ".hidden.md"]
     rows = spark.createDataFrame([(p,) for p in paths], "path string")
