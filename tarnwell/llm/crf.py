@@ -18,10 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, within
 
 #: Labelled documents to learn from at most, and the most lines that each of them may have.
 SAMPLE_DOCS, SAMPLE_LINES = 6000, 256
+#: Bytes of text after which a slice that is scored at once ends.
+SCORED_BYTES = 1 << 22
 #: Rows of crc32(doc_id) mod HELD_OUT_OF == HELD_OUT teach nothing.
 HELD_OUT_OF, HELD_OUT = 3, 1
 EPOCHS, BATCH_DOCS, RATE, DECAY = 12, 256, 0.05, 1e-3
@@ -199,18 +201,21 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFrame:
     """``docs`` with the double ``name``. Null texts count as empty; repeated rows get equal scores; other columns pass
-    through, one of this name is replaced."""
+    through, one of this name is replaced. Texts are scored in slices that end with the text that brings them to SCORED_BYTES;
+    an empty table stays empty."""
 
     @F.arrow_udf("double")
     def quality(text: pa.Array) -> pa.Array:
-        found = [scores(as_bytes(text.slice(at, 1024)), model) for at in range(0, len(text), 1024)]
+        batch = pa.RecordBatch.from_arrays([text], ["text"])
+        found = [scores(as_bytes(part.column(0)), model) for part in within(iter([batch]), "text", 1024, SCORED_BYTES)]
         return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
     return docs.withColumn(name, quality(F.col("text")))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score by a model learned from ``labels`` reaches ``threshold``."""
+    """The rows of ``docs``, all columns, whose score by a model learned from ``labels`` reaches ``threshold``; all of them if there
+    is no model. Rows are treated as by score()."""
     model = learn(docs, labels)
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     return score(rows, model, "_score").where(F.col("_score") >= threshold).select("_row.*")

@@ -29,6 +29,8 @@ from .common import as_bytes, cut, slices
 SHINGLE_WORDS = 3
 SEED = 42
 MAX_DISTANCE = 2
+#: Shingles whose bits are unpacked at once.
+UNPACKED = 255 * 256
 
 #: Near copies: texts whose sets of five-word shingles share 4 of 5 at least. A pair at just that similarity shares none
 #: of the BANDS keys with a probability of (1 - 0.8 ** BAND_ROWS) ** BANDS = 7e-5.
@@ -57,12 +59,14 @@ def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> bytes:
         starts = (ends - lengths)[: 1 - shingle_words].tolist()
         digest = xxhash.xxh64_digest
         digests = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle_words - 1 :].tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)
-    whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
-    ones = bits[whole:].sum(axis=0, dtype=np.int64)
-    if whole:
-        ones += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(bits)).tobytes()
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(digests), 8 * UNPACKED):
+        bits = np.unpackbits(np.frombuffer(digests[at : at + 8 * UNPACKED], np.uint8)).reshape(-1, 64)
+        whole = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+        ones += bits[whole:].sum(axis=0, dtype=np.int64)
+        if whole:
+            ones += bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 16 > len(digests)).tobytes()
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
