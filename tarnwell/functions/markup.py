@@ -10,8 +10,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarnwell.functions import yaml_block
+
 STRUCTURE = "struct<sections:array<struct<heading:string,level:int,path:array<string>,content:string,line:int>>,code:array<struct<language:string,code:string,heading:string,level:int,line:int>>>"
 LINKS = "array<struct<start:int,end:int,text:string,destination:string,image:boolean>>"
 FRONTMATTER = "struct<id:string,title:string,version:int,state:string,status:string,labels:array<string>,created_by:string,created_at:string,updated_by:string,updated_at:string,extra:map<string,string>,body:string,error:string>"
@@ -48,19 +51,10 @@ def arrow(kind: str):
     return wrap
 
 
-def _scalar(text: str):
-    text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return text[1:-1]
-    if text.startswith("[") and text.endswith("]"):
-        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
-    return text
-
-
 def frontmatter(content: str) -> dict:
-    """Fields of the block between the first line '---' and the next one, the body after it, and an error or null.
+    """Fields of the block of YAML between the first line '---' and the next one, the body after it, and an error or null.
 
-    The block may hold 'key: value' lines, '[a, b]' lists and '- item' lists.
+    Fields beside the managed ones are in extra, as JSON.
     """
     lines = content.removeprefix("\ufeff").split("\n")
     empty = dict.fromkeys([*_MANAGED, "error"]) | {"labels": [], "extra": {}, "body": content}
@@ -69,25 +63,18 @@ def frontmatter(content: str) -> dict:
     end = next((i for i, x in enumerate(lines[1:], 1) if x.strip() == "---"), None)
     if end is None:
         return empty | {"error": "unclosed frontmatter"}
-    found: dict = {}
-    key = None
-    for line in lines[1:end]:
-        item = re.match(r"\s*- (.*)", line)
-        pair = re.match(r"([A-Za-z_][\w-]*):(?: (.*))?$", line.rstrip())
-        if item and key is not None:
-            held = found[key] if isinstance(found[key], list) else []
-            found[key] = [*held, _scalar(item[1])]
-        elif pair:
-            key = pair[1]
-            found[key] = _scalar(pair[2] or "")
-        elif line.strip() and not line.lstrip().startswith("#"):
-            return empty | {"error": "invalid frontmatter", "body": "\n".join(lines[end + 1 :])}
-    labels = found.get("labels") or []
+    body = "\n".join(lines[end + 1 :])
+    try:
+        found = yaml_block.read("\n".join(x.removesuffix("\r") for x in lines[1:end]))
+    except yaml_block.YamlError:
+        return empty | {"error": "invalid frontmatter", "body": body}
+    labels = found.get("labels")
+    labels = labels if isinstance(labels, list) else [] if labels is None else [labels]
     version = str(found.get("version", ""))
-    out = empty | {k: str(found[k]) for k in _MANAGED if k in found and k not in ("labels", "version")}
-    out |= {"labels": [str(x) for x in (labels if isinstance(labels, list) else [labels])], "version": int(version) if version.isdigit() else None}
-    out |= {"extra": {k: json.dumps(v, ensure_ascii=False) for k, v in found.items() if k not in _MANAGED}, "body": "\n".join(lines[end + 1 :])}
-    return out
+    text = lambda v: None if v is None else v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    out = empty | {k: text(found[k]) for k in _MANAGED if k in found and k not in ("labels", "version")}
+    out |= {"labels": [text(x) or "" for x in labels], "version": int(version) if version.isdigit() else None}
+    return out | {"extra": {k: json.dumps(v, ensure_ascii=False) for k, v in found.items() if k not in _MANAGED}, "body": body}
 
 
 def _walk(lines: list[str]) -> Iterator[tuple[str, str, int]]:
@@ -409,6 +396,18 @@ def snippet(text: str, words: frozenset[str], size: int = 10) -> str:
 
 
 parse_frontmatter = arrow(FRONTMATTER)(frontmatter)
+
+
+def write_frontmatter(c: Column) -> Column:
+    """The text of documents from structs as parse_frontmatter() gives them; null stays null."""
+
+    @F.arrow_udf("string")
+    def run(fm: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else format_document(x, x["body"] or "") for x in fm.to_pylist()], pa.string())
+
+    return run(c)
+
+
 parse_structure = arrow(STRUCTURE)(structure)
 parse_links = arrow(LINKS)(links)
 parse_references = arrow(LINKS)(reference_links)
@@ -418,17 +417,22 @@ parse_stems = arrow("array<string>")(stems)
 
 
 def format_document(fm: dict, body: str) -> str:
-    """A document's text from its fields: empty fields, the state 'current' and managed keys of extra are left out."""
-    lines = ["---"]
-    for key in ("id", "title", "version", "state", "status", "labels", "created_by", "created_at", "updated_by", "updated_at"):
+    """A document's text from its fields: empty fields, the state 'current' and managed keys of extra (JSON values) are left out."""
+    found: dict = {}
+    for key in _MANAGED:
         value = fm.get(key)
         if key == "labels":
-            value = sorted({x.strip().lower() for x in value or [] if x.strip()})
+            value = sorted({x.strip().lower() for x in value or [] if x and x.strip()})
         if value in (None, "", []) or key == "state" and str(value).strip().lower() == "current" or key == "version" and not value:
             continue
-        lines.append(f"{key}: {json.dumps(value, ensure_ascii=False) if isinstance(value, str) else '[' + ', '.join(value) + ']' if isinstance(value, list) else value}")
-    lines += [f"{k}: {v}" for k, v in sorted(dict(fm.get("extra") or {}).items()) if k not in _MANAGED]
-    return "\n".join([*lines, "---", body])
+        found[key] = value
+    for key, value in sorted(dict(fm.get("extra") or {}).items()):
+        if key not in _MANAGED:
+            try:
+                found[key] = json.loads(value)
+            except (TypeError, ValueError):
+                found[key] = value
+    return f"---\n{yaml_block.write(found)}---\n{body}"
 
 
 _ESCAPED_LINK = re.compile(r"\\\[([^\]\n]+?)\\\]\\\(([^)\n]+?)\\\)")
