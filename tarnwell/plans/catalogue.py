@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwell.functions import markup, text
-from tarnwell.operators import assets, changes, hierarchy, lineage, links, lint, planning, postings, search
+from tarnwell.operators import assets, changes, hierarchy, lineage, links, lint, planning, postings, recovery, search
 from tarnwell.operators.search import SearchOptions
 from tarnwell.sources import workspace as ws
 from tarnwell.streaming import incremental
@@ -909,6 +909,46 @@ def validate_files(spark, sf_dir):
     return lint.file_issues(documents, files, targets.where(here & (F.col("path") < "src3")), targets.where(here))
 
 
+# Recovery
+
+
+_RUNS = """runs AS (SELECT DISTINCT user_id AS i, 'S' || (user_id % 5) AS s, 't' || user_id AS t FROM events),
+branches AS (SELECT 'sync/' || s || '/' || t AS name, i FROM runs WHERE i % 2 = 0 UNION ALL SELECT 'sync/odd' || i, i FROM runs WHERE i % 30 = 1),
+snapshots AS (SELECT 'refs/sync/snapshots/' || s || '/' || t AS ref, i FROM runs WHERE i % 3 = 0)"""
+
+
+def _runs(spark, sf_dir):
+    """Branches, snapshots, worktrees, removable worktrees and metadata of runs, made of the events' users."""
+    i = F.col("i")
+    runs = ws.table(spark, sf_dir, "events").select(F.col("user_id").alias("i")).distinct()
+    runs = runs.withColumns({"space_key": F.concat(F.lit("S"), (i % 5).cast("string")), "time": F.concat(F.lit("t"), i.cast("string"))})
+    name, path = F.concat_ws("/", F.lit("sync"), "space_key", "time"), F.concat(F.lit("w"), i.cast("string"))
+    odd = runs.where("i % 30 = 1").select(F.concat(F.lit("sync/odd"), i.cast("string")).alias("name"))
+    branches = runs.where("i % 2 = 0").select(name.alias("name")).unionByName(odd)
+    snapshots = runs.where("i % 3 = 0").select(F.concat_ws("/", F.lit(recovery.SNAPSHOTS), "space_key", "time").alias("ref"))
+    worktrees = runs.where("i % 4 = 0").select(path.alias("path"), name.alias("branch"), (i % 8 == 0).alias("there"))
+    removable = runs.where("i % 16 = 0").select(path.alias("path"))
+    text_ = F.when(i % 10 == 0, " ").otherwise(F.concat(F.lit("f"), i.cast("string")))
+    metadata = runs.where("i % 5 = 0").select("space_key", "time", F.concat(F.lit("b"), i.cast("string")).alias("sync_branch"), F.concat(F.lit("r"), i.cast("string")).alias("snapshot_ref"), text_.alias("failure_reason"), F.lit("main").alias("original_branch"))
+    return branches, snapshots, worktrees, removable, metadata
+
+
+@register(f"""WITH {_RUNS}, b AS (SELECT name, i, CASE WHEN name = 'sync/S1/t6' THEN '{recovery.ON_HEAD}' WHEN name LIKE 'sync/odd%' THEN '{recovery.UNMANAGED}' WHEN i % 8 = 0 AND i % 16 <> 0 THEN 'linked worktree remains at w' || i ELSE '' END AS reason FROM branches)
+SELECT 'branch' AS kind, name, CASE WHEN reason = '' THEN 'delete' ELSE 'keep' END AS action, reason, CASE WHEN reason = '' THEN coalesce(ref, '') ELSE '' END AS snapshot FROM b LEFT JOIN snapshots z ON z.i = b.i AND name NOT LIKE 'sync/odd%'
+UNION ALL SELECT 'snapshot', ref, CASE WHEN k THEN 'keep' ELSE 'delete' END, CASE WHEN k THEN 'its branch is kept' ELSE '' END, '' FROM (SELECT ref, EXISTS (SELECT 1 FROM b WHERE b.i = z.i AND name NOT LIKE 'sync/odd%' AND reason <> '') AS k FROM snapshots z)""")
+def clean_plan(spark, sf_dir):
+    branches, snapshots, worktrees, removable, _ = _runs(spark, sf_dir)
+    return recovery.clean_plan(branches, snapshots, worktrees, removable, "sync/S1/t6")
+
+
+@register(f"""WITH {_RUNS} SELECT s AS space_key, t AS time, CASE WHEN i % 2 = 0 OR i % 3 = 0 THEN 'sync/' || s || '/' || t ELSE 'b' || i END AS branch, CASE WHEN i % 3 = 0 THEN 'refs/sync/snapshots/' || s || '/' || t WHEN i % 5 = 0 THEN 'r' || i ELSE '' END AS snapshot,
+CASE WHEN i % 5 = 0 AND i % 10 <> 0 THEN 'f' || i ELSE '' END AS failure, CASE WHEN i % 5 = 0 THEN 'main' ELSE '' END AS original,
+CASE WHEN i = 6 THEN '{recovery.ON_HEAD}' WHEN i % 8 = 0 THEN 'linked worktree remains at w' || i ELSE 'safe to discard' END AS status FROM runs WHERE i % 2 = 0 OR i % 3 = 0 OR i % 5 = 0""")
+def recovery_runs(spark, sf_dir):
+    branches, snapshots, worktrees, _, metadata = _runs(spark, sf_dir)
+    return recovery.recovery_runs(branches, snapshots, worktrees, metadata, "sync/S1/t6")
+
+
 # Incremental maintenance
 
 
