@@ -111,11 +111,41 @@ def index_rows(files: DataFrame, space: str) -> DataFrame:
 STATE = "struct<watermark:string,space_key:string,page_path_index:map<string,string>,attachment_index:map<string,string>,folder_path_index:map<string,string>,_corrupt_record:string>"
 
 
+#: An RFC 3339 time.
+_TIME = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
+
+
+def is_watermark(c: Column) -> Column:
+    """Whether a state's watermark is a time, or blank."""
+    return F.coalesce((F.trim(c) == "") | (c.rlike(_TIME) & F.try_to_timestamp(c).isNotNull()), c.isNull())
+
+
+def state_files(spark: SparkSession, root: str, name: str = "state.json") -> DataFrame:
+    """path (of the space's directory below ``root``) and content of all state files, but for those in hidden directories."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    relative = F.substring_index("path", root.rstrip("/") + "/", -1)
+    directory = F.regexp_replace(relative, "/?[^/]*$", "")
+    return files.select(directory.alias("path"), F.decode("content", "UTF-8").alias("content")).where(~F.col("path").rlike(r"(^|/)\."))
+
+
+def state_texts(spaces: DataFrame, pages: DataFrame, attachments: DataFrame, folders: DataFrame) -> DataFrame:
+    """space_key and content (JSON, as states() reads it) of every row of ``spaces`` (space_key, watermark) whose watermark is a
+    time or blank; the indexes hold space_key, path and page_id, attachment_id or folder_id. Keys are cleaned and sorted, and
+    of a path's several ids the least counts. A state is one document, so a space's index is one row here."""
+    rows = spaces.where(is_watermark(F.col("watermark"))).select(F.trim("space_key").alias("space_key"), "watermark")
+    for frame, name, value in ((pages, "page_path_index", "page_id"), (attachments, "attachment_index", "attachment_id"), (folders, "folder_path_index", "folder_id")):
+        clean = frame.select("space_key", text.clean_path(F.col("path")).alias("path"), value).where("path <> ''")
+        held = clean.groupBy("space_key", "path").agg(F.min(value).alias("id")).groupBy("space_key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("path", "id")))).alias(name))
+        rows = rows.join(held, "space_key", "left").withColumn(name, F.coalesce(name, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+    return rows.select("space_key", F.to_json(F.struct("watermark", "space_key", "page_path_index", "attachment_index", "folder_path_index")).alias("content"))
+
+
 def states(files: DataFrame) -> DataFrame:
-    """State files (path, content) as path, state, error: '' / empty / conflict / corrupt; keys are normalised by tall()."""
+    """State files (path, content) as path, state, error: '' / empty / conflict / corrupt / watermark (no RFC 3339 time); keys are
+    normalised by tall()."""
     parsed = F.from_json("content", STATE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     blank = F.coalesce(text.strip(F.col("content")), F.lit("")) == ""
-    error = F.when(blank, "empty").when(F.col("content").rlike("<<<<<<<|>>>>>>>"), "conflict").when(F.col("state._corrupt_record").isNotNull(), "corrupt").otherwise("")
+    error = F.when(blank, "empty").when(F.col("content").rlike("<<<<<<<|>>>>>>>"), "conflict").when(F.col("state._corrupt_record").isNotNull(), "corrupt").when(~is_watermark(F.col("state.watermark")), "watermark").otherwise("")
     return files.withColumn("state", parsed).withColumn("error", error)
 
 

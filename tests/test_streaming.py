@@ -35,12 +35,26 @@ def test_scan_and_index_rows(spark, tmp_path):
 
 def test_states(spark):
     good = '{"watermark": "2026-02-01T09:00:00Z", "space_key": "K", "page_path_index": {"a//b.md": "1"}, "attachment_index": {}}'
-    files = spark.createDataFrame([("s1", good), ("s2", ""), ("s3", "<<<<<<< x"), ("s4", "{bad")], "path string, content string")
+    files = spark.createDataFrame([("s1", good), ("s2", ""), ("s3", "<<<<<<< x"), ("s4", "{bad"), ("s5", '{"watermark": "yesterday"}')], "path string, content string")
     found = workspace.states(files)
-    assert {r["path"]: r["error"] for r in found.collect()} == {"s1": "", "s2": "empty", "s3": "conflict", "s4": "corrupt"}
+    assert {r["path"]: r["error"] for r in found.collect()} == {"s1": "", "s2": "empty", "s3": "conflict", "s4": "corrupt", "s5": "watermark"}
     assert [tuple(r) for r in workspace.tall(found.where("error = ''"), "page_path_index", "page_id").collect()] == [("K", "a/b.md", "1")]
 
 
+def test_states_are_written_found_and_read_again(spark, tmp_path):
+    frame = lambda rows, names: spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names.split()))
+    spaces = frame([("K", "2026-02-01T09:00:00+01:00"), ("L", ""), ("BAD", "2026-13-01T09:00:00Z")], "space_key watermark")
+    pages = frame([("K", "a//b.md", "2"), ("K", "a/b.md", "1"), ("K", "c.md", "3"), ("X", "d.md", "4")], "space_key path page_id")
+    attachments, folders = frame([("L", "assets/1/f", "att")], "space_key path attachment_id"), frame([], "space_key path folder_id")
+    for row in workspace.state_texts(spaces, pages, attachments, folders).collect():
+        write(f"{tmp_path}/ws/{row['space_key']}/state.json", row["content"])
+        write(f"{tmp_path}/ws/.hidden/{row['space_key']}/state.json", row["content"])
+    found = workspace.states(workspace.state_files(spark, f"{tmp_path}/ws"))
+    assert {(r["path"], r["error"], r["state"]["watermark"]) for r in found.collect()} == {("K", "", "2026-02-01T09:00:00+01:00"), ("L", "", "")}
+    assert sorted(map(tuple, workspace.tall(found, "page_path_index", "page_id").collect())) == [("K", "a/b.md", "1"), ("K", "c.md", "3")]
+    assert [tuple(r) for r in workspace.tall(found, "attachment_index", "attachment_id").collect()] == [("L", "assets/1/f", "att")]
+
+
 def files_by_part(root):
     return {d: sorted(os.listdir(f"{root}/{d}")) for d in os.listdir(root) if d.startswith("_part=")}
 
