@@ -23,7 +23,7 @@ from tarnwell.operators.search import K1, LEAST_IDF, B, indexed_text
 
 BUCKETS = 64
 #: Documents whose lists a task packs together.
-PACK = 4096
+PACK = 1 << 14
 #: Boosts of the relaxed query, by field; fragments come from the first field that matches, in FRAGMENT_FIELDS' order.
 BOOSTS = {"content": 2.0, "heading_text": 1.5, "title": 1.0}
 FRAGMENT_FIELDS = ("content", "title", "heading_text")
@@ -69,35 +69,35 @@ def _bucket(term: Column) -> Column:
 
 
 def _packed(fields: Sequence[str], analyse: Callable[[str], list[str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def lists(held: dict[str, list[tuple]]) -> Iterator[pa.RecordBatch]:
+    def lists(held: dict[str, list[tuple]], names: dict[str, dict[str, int]]) -> Iterator[pa.RecordBatch]:
         for field, rows in held.items():
-            names: dict[str, int] = {}
-            ids, counts = [], []
-            for _, words in rows:
-                found = Counter(words)
-                ids.append(np.fromiter((names.setdefault(w, len(names)) for w in found), np.int64, len(found)))
-                counts.append(np.fromiter(found.values(), np.int32, len(found)))
-            sizes = [len(x) for x in ids]
-            docs = np.repeat(np.array([d for d, _ in rows], np.int64), sizes)
-            lengths = np.repeat(np.array([len(w) for _, w in rows], np.int32), sizes)
-            term = np.concatenate(ids)
+            sizes = [len(ids) for _, _, ids, _ in rows]
+            docs = np.repeat(np.array([d for d, *_ in rows], np.int64), sizes)
+            lengths = np.repeat(np.array([n for _, n, *_ in rows], np.int32), sizes)
+            term, counts = (np.concatenate([r[k] for r in rows]) for k in (2, 3))
             order = np.argsort(term, kind="stable")
-            offsets = pa.array(np.searchsorted(term[order], np.arange(len(names) + 1)).astype(np.int32))
-            columns = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (docs, np.concatenate(counts), lengths)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string()), pa.array([field] * len(names), pa.string()), *columns], ["term", "field", "docs", "tfs", "lengths"])
+            offsets = pa.array(np.searchsorted(term[order], np.arange(len(names[field]) + 1)).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in (docs, counts, lengths)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(names[field]), pa.string()), pa.array([field] * len(names[field]), pa.string()), *columns], ["term", "field", "docs", "tfs", "lengths"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[tuple]] = {f: [] for f in fields}
+        names: dict[str, dict[str, int]] = {f: {} for f in fields}
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
                 for field in fields:
-                    held[field] += zip(part.column("doc").to_pylist(), (analyse(t or "") for t in part.column(field).to_pylist()), strict=True)
+                    known = names[field]
+                    for doc, text in zip(part.column("doc").to_pylist(), part.column(field).to_pylist(), strict=True):
+                        words = analyse(text or "")
+                        found = Counter(words)
+                        ids = np.fromiter((known.setdefault(w, len(known)) for w in found), np.int32, len(found))
+                        held[field].append((doc, len(words), ids, np.fromiter(found.values(), np.int32, len(found))))
                 if len(held[fields[0]]) >= PACK:
-                    yield from lists(held)
-                    held = {f: [] for f in fields}
+                    yield from lists(held, names)
+                    held, names = {f: [] for f in fields}, {f: {} for f in fields}
         if held[fields[0]]:
-            yield from lists(held)
+            yield from lists(held, names)
 
     return packed
 

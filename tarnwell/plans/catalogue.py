@@ -199,7 +199,7 @@ def stored_index(spark, sf_dir, analyser: str) -> postings.StoredIndex:
     """The stored index of a folder's documents; built once by a session, as an index is there to be asked again."""
     key = (spark.sparkContext.applicationId, sf_dir, analyser)
     if key not in _INDEXES:
-        _INDEXES[key] = postings.StoredIndex.build(ws.doc_index(spark, sf_dir), analyser)
+        _INDEXES[key] = postings.StoredIndex.build(ws.doc_texts(spark, sf_dir), analyser)
     return _INDEXES[key]
 
 

@@ -191,6 +191,13 @@ def doc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, title, content and heading_text of doc_index(), without the join that its labels need."""
+    first = F.substring_index("text", "\n", 1)
+    path = F.concat(F.lit("page:"), "source", F.lit("/doc-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, sf_dir, "documents").select(path.alias("id"), F.substring(first, 1, 60).alias("title"), F.col("text").alias("content"), F.substring(first, 1, 40).alias("heading_text"))
+
+
 def change_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes: page_id, space_key, title, version, last_modified, seq."""
     events = table(spark, sf_dir, "events")
