@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +17,10 @@ SLICE_ROWS = 256
 #: Bytes of text after which such a slice ends.
 SLICE_BYTES = 1 << 24
 PIECE_BYTES = 1 << 22
+#: Bits of a filter of keys: so many for each key, and all of them at most.
+KEY_BITS, FILTER_BITS = 16, 1 << 26
+#: Lets a write remove the shuffle files that led to it.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -93,8 +98,36 @@ def pieces(text: bytes) -> Iterator[bytes]:
         start = end
 
 
+def key_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """Bits (uint64 words, a power of two of them) that passes() asks for the values of the column ``key`` (long, evenly spread).
+
+    One bit a key, KEY_BITS as many in all, so that one of 16 other keys passes too; beyond FILTER_BITS, more of them do.
+    """
+    bits = 64
+    while bits < min(FILTER_BITS, KEY_BITS * keys.count()):
+        bits *= 2
+    at = F.col(key).bitwiseAND(F.lit(bits - 1))
+    words = keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast({key} & 63 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
+
+
+def passes(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of ``keys`` (int64) a filter lets through: all that it was made of, and few others."""
+    at = keys.view(np.uint64) & np.uint64(64 * len(held) - 1)
+    return (held[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def store(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to a new folder in the shared checkpoint folder, and read again."""
-    path = f"{_shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """``df`` written as Parquet to a new folder in the shared checkpoint folder, and read again. Shuffle files that the write
+    leaves go at once, not when the driver happens to collect its garbage."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    return spark.read.parquet(path)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, pieces, store, within
+from .common import as_bytes, key_filter, passes, pieces, store, within
 from .simhash import components
 
 WORDS = 4
@@ -37,7 +37,7 @@ VERIFY = 0.25
 #: Index entries that a task gathers before it deals them out; parts that they are dealt to for each shuffle partition.
 GATHER, PARTS = 1 << 20, 4
 #: Sets, and their shingles, of a block of a family.
-BLOCK, BLOCK_SHINGLES = 256, 1 << 18
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 SEED = 42
 _FACTORS = (np.random.default_rng(SEED).integers(0, 1 << 64, WORDS + 2, np.uint64) | np.uint64(1)).tolist()
 _BLANK = bytes(32 if c in b" \t\n\v\f\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -101,10 +101,19 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "print", "size"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in within(batches, "text"):
-        sets = [shingle_set(t).view(np.int64) for t in as_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("print"), pa.array(sets, pa.list_(pa.int64()))], ["print", "shingles"])
+def _sets(batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets of the rows whose key passes the filter ``held``."""
+    for batch in batches:
+        batch = batch.filter(pa.array(passes(held, batch.column("key").to_numpy())))
+        for part in within(iter([batch]), "text"):
+            sets = [shingle_set(t) for t in as_bytes(part.column("text"))]
+            columns = [pa.array(map(_name, sets), pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["print", "shingles"])
+
+
+def _open(batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(passes(held, batch.column("print").to_numpy())))
 
 
 def _dealt(parts: int, most: Callable[[int], int] = longest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -301,38 +310,45 @@ def _linked(table: pa.Table) -> pa.Table:
     linked &= groups[left][:, None] != groups[right]
     top = {g: g for g in groups.tolist()}
     found = []
-    for i, j in np.argwhere(linked).tolist():
-        x, y = groups[left[i]].item(), groups[right[j]].item()
-        while top[x] != x:
-            x = top[x]
-        while top[y] != y:
-            y = top[y]
-        if x != y:
-            top[max(x, y)] = min(x, y)
-            found.append((prints[left[i]], prints[right[j]]))
+    for i in range(len(left)):
+        for j in np.flatnonzero(linked[i]).tolist():
+            x, y = groups[left[i]].item(), groups[right[j]].item()
+            while top[x] != x:
+                x = top[x]
+            while top[y] != y:
+                y = top[y]
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                found.append((prints[left[i]], prints[right[j]]))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
 def _block_links(split: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the groups of hot shingles that hold several: ``split`` has token, print, group. Shingles that share sets
-    make a family. Its sets outside its largest group, in blocks of bounded size, meet blocks of all its sets, each two
-    blocks in a task of their own."""
+    make a family. Its sets outside its largest group, in blocks of bounded size, meet blocks of all its sets that are not
+    too small or large to be linked with them, each two blocks in a task of their own."""
     least = split.groupBy("token").agg(F.min("print").alias("a"))
     family = components(split.join(least, "token").select("a", F.col("print").alias("b")).where("a <> b")).select(F.col("node").alias("print"), F.col("label").alias("family"))
-    rows = store(split.select("print", "group").distinct().join(family, "print").join(sets, "print"))
-    groups = rows.groupBy("family", "group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("s"))
-    blocks = lambda n, s: F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(F.sum(s) / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    largest = groups.groupBy("family").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
+    # a class is a factor of 2 ** 0.25 > 100 / PERCENT wide: linked sets are in the same or in neighbouring ones
+    rows = split.select("print", "group").distinct().join(family, "print").join(sets, "print").withColumn("class", F.floor(4 * F.log2(F.size("shingles"))).cast("int"))
+    rows = store(rows)
+    groups = rows.groupBy("family", "class", "group").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("s"))
+    largest = groups.groupBy("family", "group").agg(F.sum("n").alias("n")).groupBy("family").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
     groups = groups.join(largest, "family").withColumn("out", (F.col("group") != F.col("largest")).cast("int"))
-    size = groups.groupBy("family").agg(blocks(F.col("n"), F.col("s")).alias("wide"), blocks(F.col("n") * F.col("out"), F.col("s") * F.col("out")).alias("high"), F.first("largest").alias("largest"))
-    rows = rows.join(size, "family")
+    blocks = lambda n, s: F.greatest(F.ceil(F.sum(n) / BLOCK), F.ceil(F.sum(s) / BLOCK_SHINGLES)).cast("int")
+    size = store(groups.groupBy("family", "class").agg(blocks(F.col("n"), F.col("s")).alias("wide"), blocks(F.col("n") * F.col("out"), F.col("s") * F.col("out")).alias("high"), F.first("largest").alias("largest")))
+    wide, high = size.select("family", F.col("class").alias("of"), "wide"), size.where("high > 0").select("family", F.col("class").alias("mine_of"), "high", "largest")
     block = lambda n: F.pmod(F.xxhash64("print"), F.col(n)).cast("int")
     up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = rows.where(F.col("group") != F.col("largest")).withColumns({"low": block("high"), "other": up_to("wide"), "mine": F.lit(True)})
-    all_sets = rows.withColumns({"other": block("wide"), "low": up_to("high"), "mine": F.lit(False)})
-    dealt = mine.unionByName(all_sets).select("family", "low", "other", "mine", "print", "group", "shingles")
-    dealt = dealt.repartition(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), "family", "low", "other")  # few bytes, much work
-    return store(dealt.groupBy("family", "low", "other").applyInArrow(_linked, "a long, b long"))
+    near = F.explode(F.expr("sequence(class - 1, class + 1)"))
+    mine = rows.withColumn("mine_of", F.col("class")).join(high, ["family", "mine_of"]).where(F.col("group") != F.col("largest"))
+    mine = mine.withColumn("of", near).join(wide, ["family", "of"]).withColumns({"low": block("high"), "other": up_to("wide"), "mine": F.lit(True)})
+    all_sets = rows.withColumn("of", F.col("class")).join(wide, ["family", "of"]).withColumn("mine_of", near).join(high, ["family", "mine_of"])
+    all_sets = all_sets.withColumns({"other": block("wide"), "low": up_to("high"), "mine": F.lit(False)})
+    cell = ["family", "mine_of", "of", "low", "other"]
+    dealt = mine.select(*cell, "mine", "print", "group", "shingles").unionByName(all_sets.select(*cell, "mine", "print", "group", "shingles"))
+    dealt = dealt.repartition(int(split.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell)  # few bytes, much work
+    return store(dealt.groupBy(*cell).applyInArrow(_linked, "a long, b long"))
 
 
 def _across(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -356,15 +372,16 @@ def join_components(docs: DataFrame) -> DataFrame:
     hot = chosen.where("hot").select("token", "print", "n_hot", "size")
     pairs = store(_cold_pairs(chosen).unionByName(_hub_pairs(hot)).distinct())
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    wanted = prints.join(wanted, "print", "left_semi").select("print", F.col("row.text_hash").alias("_hash"), F.col("row.doc_id").alias("_id"))
-    found = texts.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = store(found.select("print", "text").mapInArrow(_sets, "print long, shingles array<long>").dropDuplicates(["print"]))
+    wanted = store(prints.join(wanted, "print", "left_semi").select("print", F.xxhash64("row.text_hash", "row.doc_id").alias("key")))
+    found = texts.select("text", F.xxhash64("text_hash", "doc_id").alias("key")).mapInArrow(partial(_sets, held=key_filter(wanted, "key")), "print long, shingles array<long>")
+    sets = store(found.join(wanted.hint("merge"), "print", "left_semi").dropDuplicates(["print"]))  # texts are never shuffled
     edges = _verified(pairs, sets)
     labels = components(edges)
     split = _split(hot, labels)
     if split.limit(1).count():
-        groups = split.select("print", "group").distinct()
-        open_sets = store(sets.join(groups, "print").select("print", "shingles"))
+        groups = store(split.select("print", "group").distinct())
+        open_sets = sets.mapInArrow(partial(_open, held=key_filter(groups, "print")), "print long, shingles array<long>")
+        open_sets = store(open_sets.join(groups, "print", "left_semi"))
         chosen = _signatures(open_sets, prints, needed)
         hot = chosen.where("hot").select("token", "print", "n_hot", "size")
         pairs = store(_across(_cold_pairs(chosen).unionByName(_hub_pairs(hot)).distinct(), groups))

@@ -84,6 +84,17 @@ def test_everything_hot_and_small_blocks(spark, monkeypatch):
     assert got == brute_force(docs) and len({c for _, _, c in got}) == 3
 
 
+def test_families_of_many_sizes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in range(400)]
+    docs = []
+    for size in range(40, 400, 6):  # prefixes of one text: linked with those up to 100 / 85 as long
+        docs += [" ".join(base[:size]), edited(rng, base[:size], 1 + size // 25)]
+    docs = [(int(i), docs[j]) for i, j in enumerate(rng.permutation(len(docs)))]
+    assert joined(spark, docs) == brute_force(docs)
+
+
 def test_repeated_rows_and_null_ids(spark):
     docs = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "x y z w"), (5, None), (5, ""), (None, None), (2, "A B C D E F")]
     assert joined(spark, docs) == brute_force(docs)
