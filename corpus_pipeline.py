@@ -28,9 +28,10 @@ def apply_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the least id, of repeated rows one. Null and empty texts are
+    """One document of each group of near copies stays, by SimHash fingerprints within two bits and, for what they leave apart, by
+    verified similarity of the sets of shingles: the one of the least id, of repeated rows one. Null and empty texts are
     copies of each other; null ids stay only where their group has no other."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, by_prints=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

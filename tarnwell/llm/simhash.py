@@ -10,13 +10,15 @@ exactly by the centres between them instead: two fingerprints are within two bit
 within one bit of both, and all fingerprints within one bit of the same centre are within two of each other. So each is
 listed under its 65 centres and tied to the least fingerprint of each centre: stars, no pairs.
 
-near_duplicates() works on these links. keep_one() goes by similarity instead, which fingerprints of 64 bits tell too
-roughly: near_copies() takes candidates from minimum hashes in bands and verifies each on the whole sets of shingles.
+near_duplicates() works on these links. As fingerprints of 64 bits tell similarity roughly, near_copies() looks for more:
+candidates from minimum hashes in bands, each verified on the whole sets of shingles. With by_prints it starts from the
+groups of the fingerprints, which that joins, never parts; so does the pipeline.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, slices
+from .common import as_bytes, cut, key_filter, passes, slices, store
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -132,6 +134,12 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def print_groups(prints: DataFrame) -> DataFrame:
+    """``prints`` (distinct print and other columns) with group: the least fingerprint that links lead to."""
+    labels = components(links(prints.select("print")))
+    return prints.join(labels, prints["print"] == labels["node"], "left").drop("node").withColumn("group", F.coalesce("label", "print")).drop("label")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, print, group (long) and component_id (least doc_id of the group) for every row of ``docs``.
 
@@ -141,9 +149,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = cut(fingerprints(docs))
     prints = cut(rows.groupBy("print").agg(F.min("doc_id").alias("least")))
-    labels = components(links(prints.select("print")))
-    grouped = prints.join(labels, prints["print"] == labels["node"], "left").select("print", "least", F.coalesce("label", "print").alias("group"))
-    grouped = cut(grouped)
+    grouped = cut(print_groups(prints))
     ids = grouped.groupBy("group").agg(F.min("least").alias("component_id"))
     return rows.join(grouped.join(ids, "group").select("print", "group", "component_id"), "print")
 
@@ -175,13 +181,26 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(t) for t in as_bytes(batch.column(2))]
         names = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
         keys = pa.array([_band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, keys], ["doc_id", "text_hash", "print", "keys"])
+        simhashes = np.frombuffer(b"".join(map(fingerprint, as_bytes(batch.column(2)))), ">i8").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(simhashes), names, keys], ["doc_id", "text_hash", "simhash", "print", "keys"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sets of the rows whose key passes the filter ``held``."""
     for batch in slices(batches):
-        sets = pa.array([shingle_set(t).view(np.int64) for t in as_bytes(batch.column(1))], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["print", "shingles"])
+        batch = batch.filter(pa.array(passes(held, batch.column("key").to_numpy())))
+        sets = [shingle_set(t) for t in as_bytes(batch.column("text"))]
+        names = pa.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) - (1 << 63) for s in sets], pa.int64())
+        yield pa.RecordBatch.from_arrays([names, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["print", "shingles"])
+
+
+def _same_fingerprints(rows: DataFrame) -> DataFrame:
+    """Links a, b (stars) between the prints of ``rows`` (simhash, print) whose fingerprints are in one group."""
+    held = rows.select("simhash", "print").distinct()
+    groups = print_groups(held.select(F.col("simhash").alias("print")).distinct()).select(F.col("print").alias("simhash"), "group")
+    held = store(held.join(groups, "simhash").select("group", "print").distinct())
+    first = held.groupBy("group").agg(F.min("print").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "a")
+    return store(held.join(first, "group").where("a <> print").select("a", F.col("print").alias("b")).distinct())
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,7 +209,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("print").alias("a"), F.col("shingles").alias("sa"))
     shared = F.size(F.array_intersect("sa", "sb"))  # of all: the members of both less those shared
     alike = shared * sum(ALIKE) >= ALIKE[0] * (F.size("sa") + F.size("sb"))
-    return cut(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(alike).select("a", "b"))
+    return store(pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(alike).select("a", "b"))
 
 
 def _forest(table: pa.Table) -> pa.Table:
@@ -233,37 +252,42 @@ def _between_groups(many: DataFrame, sets: DataFrame) -> DataFrame:
     """
     family = components(many.select("a", F.col("print").alias("b")).where("a <> b")).select(F.col("node").alias("print"), F.col("label").alias("family"))
     rows = many.select("print", "group").distinct().join(family, "print").join(sets, "print")
-    rows = cut(rows)
+    rows = store(rows)
     size = rows.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("print"), F.col("blocks")).cast("int")
     rows = rows.join(size, "family").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "print", "group", "shingles")
-    return cut(rows.groupBy("family", "low", "high").applyInArrow(_forest, "a long, b long"))
+    return store(rows.groupBy("family", "low", "high").applyInArrow(_forest, "a long, b long"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, print (of the text's set of shingles), group and component_id for every row of ``docs``.
+def near_copies(docs: DataFrame, by_prints: bool = False) -> DataFrame:
+    """doc_id, text_hash, simhash (the fingerprint), print (of the text's set of shingles), group and component_id for every row of ``docs``.
 
-    Rows whose sets are alike, directly or through others, form a group. Candidates share a band key; every link is
-    verified on the whole sets. Of a key with more than BUCKET holders, all are first compared with the least; keys whose
+    Rows whose sets are alike, or with ``by_prints`` whose fingerprints are linked as in near_duplicates(), directly or through
+    others, form a group. Candidates for alike sets share a band key and are not yet in one group; every such link is verified on the whole sets. Of a key with more than BUCKET holders, all are first compared with the least; keys whose
     holders are not in one group by then are compared block by block (_between_groups). Texts without words are copies of each other; null texts count as empty. A very
     long text is one sketch and, if it has candidates, one array of hashes. Null ids are ignored by component_id. Other
     columns are not read; an empty table gives an empty result.
     """
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = cut(numbered.mapInArrow(_sketches, "doc_id long, text_hash long, print long, keys array<long>"))
-    prints = cut(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.min(F.struct("text_hash", "doc_id")).alias("row")))
+    rows = store(numbered.mapInArrow(_sketches, "doc_id long, text_hash long, simhash long, print long, keys array<long>"))
+    known = _same_fingerprints(rows) if by_prints else rows.select(F.col("print").alias("a"), F.col("print").alias("b")).limit(0)
+    met = components(known)
+    prints = store(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys"), F.min(F.struct("text_hash", "doc_id")).alias("row")))
     index = prints.select(F.explode("keys").alias("key"), "print")
     held = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("a")).where("n > 1")
-    index = cut(index.join(held.hint("shuffle_hash"), "key"))
+    index = store(index.join(held.hint("shuffle_hash"), "key"))
     few = index.where(f"n <= {BUCKET}")
     pairs = few.select("key", F.col("print").alias("b")).join(few.select("key", F.col("print").alias("a")), "key").where("a < b").select("a", "b")
     pairs = pairs.unionByName(index.where(f"n > {BUCKET} AND a <> print").select("a", F.col("print").alias("b")))
-    pairs = cut(pairs.distinct())
-    wanted = prints.join(index.select("print").distinct(), "print", "left_semi").select("print", F.col("row.text_hash").alias("_hash"), F.col("row.doc_id").alias("_id"))
-    texts = numbered.join(wanted, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    sets = cut(texts.select("print", "text").mapInArrow(_sets, "print long, shingles array<long>").dropDuplicates(["print"]))
-    edges = _verified(pairs, sets)
+    left, right = (met.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")) for c in ("a", "b"))
+    apart = F.coalesce("_a", "a") != F.coalesce("_b", "b")
+    pairs = store(pairs.distinct().join(left, "a", "left").join(right, "b", "left").where(apart).select("a", "b"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).unionByName(index.where(f"n > {BUCKET}").select("print")).distinct()
+    wanted = store(prints.join(wanted, "print", "left_semi").select("print", F.xxhash64("row.text_hash", "row.doc_id").alias("key")))
+    found = numbered.select("text", F.xxhash64("text_hash", "doc_id").alias("key")).mapInArrow(partial(_sets, held=key_filter(wanted, "key")), "print long, shingles array<long>")
+    sets = store(found.join(wanted.hint("merge"), "print", "left_semi").dropDuplicates(["print"]))  # texts are never shuffled
+    edges = known.unionByName(_verified(pairs, sets))
     labels = components(edges)
     group = F.coalesce("label", "print").alias("group")
     many = cut(index.where(f"n > {BUCKET}").join(labels, F.col("print") == F.col("node"), "left").select("key", "print", "a", group))
@@ -276,10 +300,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return rows.drop("keys").join(grouped.join(ids, "group").select("print", "group", "component_id"), "print")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their group of near copies: the row of the least id (null if the group
+def keep_one(docs: DataFrame, by_prints: bool = False) -> DataFrame:
+    """The rows of ``docs``, all columns, that stand for their group of near_copies(): the row of the least id (null if the group
     has no other), of several such rows the one of the least hash of its text, and one if that is repeated."""
-    found = near_copies(docs)
+    found = near_copies(docs, by_prints)
     chosen = cut(found.where("doc_id <=> component_id").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("it"), F.count(F.lit(1)).alias("n")))
     ids = chosen.select(F.col("it.doc_id").alias("_id"), F.col("it.text_hash").alias("_hash"))
     kept = docs.join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_semi")

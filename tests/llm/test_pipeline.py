@@ -82,3 +82,21 @@ def test_every_stage_takes_odd_rows(spark):
 
 def test_stages_are_five_and_named():
     assert len(p.STAGES) == 5 and len({n for n, _ in p.STAGES}) == 5 and p.ORACLE_SQL is None
+
+
+def test_near_duplicates_go_by_fingerprints(spark):
+    chorus = "la lo li " * 120
+    texts = [(k, chorus + " ".join(f"v{k}x{i}" for i in range(6))) for k in range(4)]  # few shingles are shared, but those are most of the text
+    texts += [(10 + k, " ".join(f"u{k}x{i}" for i in range(90))) for k in range(4)]
+    docs = odd(spark, [(i, t, "en", "s", 9) for i, t in texts])
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+    assert len({groups[k] for k in range(4)}) < 4
+    kept = {r["doc_id"] for r in p.drop_near_duplicates(spark, docs, DATA).collect()}
+    assert kept == set(groups.values())
+
+
+def test_each_group_of_fingerprints_keeps_one_row_at_most(spark):
+    docs = read(spark, DATA, "documents")
+    kept = p.drop_near_duplicates(spark, docs, DATA).select("doc_id")
+    groups = simhash.near_duplicates(docs).select("doc_id", "group").join(kept, "doc_id")
+    assert groups.groupBy("group").count().where("count > 1").count() == 0
