@@ -32,6 +32,8 @@ class Shape:
         of[order] = 1 + np.minimum((mass / mass[-1] * (CLASSES - 1)).astype(int), CLASSES - 2)
         self.of = of
         self.members = [np.flatnonzero(of == c) for c in range(CLASSES)]
+        #: The members as a slice, which copies nothing, where they are one run.
+        self.run = [slice(int(m[0]), int(m[-1]) + 1) if len(m) and m[-1] - m[0] + 1 == len(m) else m for m in self.members]
         self.place = np.zeros(len(counts), np.int64)
         for m in self.members:
             self.place[m] = np.arange(len(m))
@@ -42,10 +44,11 @@ def start(shape: Shape) -> dict[str, np.ndarray]:
     random = np.random.default_rng(SEED)
     words = len(shape.of)
     mass = np.array([max(shape.share[m].sum(), 1e-9) for m in shape.members])
-    small = lambda *size: random.normal(0, 0.1, size).astype(np.float32)
+    # The gates (reset, mix, new state) come first, so that each one's numbers lie together.
+    small = lambda size: np.ascontiguousarray(random.normal(0, 0.1, (size, 3, STATE)).astype(np.float32).transpose(1, 0, 2))
     return {
-        "input": small(words, 3 * STATE),
-        "state": small(STATE, 3 * STATE),
+        "input": small(words),
+        "state": small(STATE),
         "classes": np.zeros((STATE, CLASSES), np.float32),
         "class_bias": np.log(mass).astype(np.float32),
         "words": np.zeros((words, STATE), np.float32),
@@ -66,37 +69,42 @@ def unflat(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
 
 
 def _forward(model: dict, words: np.ndarray, opens: np.ndarray, before: np.ndarray, h: np.ndarray) -> tuple:
-    """A window of steps x lanes: the words read, whether the state goes on, the states before and after each step, and the
-    gates, new states and reset parts that lead from one to the other. Where a text opens, the state starts anew."""
+    """A window of steps x lanes: the words read, the states before and after each step, and the gates, new states and reset
+    parts that lead from one to the other. Where a text opens, the state starts anew."""
     steps, lanes = words.shape
+    opened = opens.any(axis=1).tolist()
     inputs = np.where(opens, END, np.concatenate([before[None], words[:-1]]))
-    goes_on = (~opens).astype(h.dtype)[:, :, None]
-    seen = np.take(model["input"], inputs, axis=0)
+    seen = np.take(model["input"], inputs, axis=1)  # becomes the gates and the new states in place
     kind = seen.dtype
-    gates, news, kepts = np.empty((steps, lanes, 2 * STATE), kind), np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)
-    states, after = np.empty((steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)
+    gates, news = seen[:2], seen[2]
+    states, after, kepts = (np.empty((steps, lanes, STATE), kind) for _ in range(3))
+    kept, step = np.empty((3, lanes, STATE), kind), np.empty((lanes, STATE), kind)
     for t in range(steps):
-        np.multiply(after[t - 1] if t else h, goes_on[t], out=states[t])
-        kept = states[t] @ model["state"]
-        gate, new = gates[t], news[t]
-        np.add(seen[t, :, : 2 * STATE], kept[:, : 2 * STATE], out=gate)
-        gate *= 0.5
-        np.tanh(gate, out=gate)
-        gate *= 0.5
-        gate += 0.5
-        kepts[t] = kept[:, 2 * STATE :]
-        np.multiply(gate[:, :STATE], kepts[t], out=new)
-        new += seen[t, :, 2 * STATE :]
+        state, gate, new = states[t], gates[:, t], news[t]
+        state[...] = after[t - 1] if t else h
+        if opened[t]:
+            state[opens[t]] = 0
+        np.matmul(state, model["state"], out=kept)
+        gate += kept[:2]
+        np.negative(gate, out=gate)
+        np.exp(gate, out=gate)
+        gate += 1
+        np.reciprocal(gate, out=gate)
+        kepts[t] = kept[2]
+        np.multiply(gate[0], kept[2], out=step)
+        new += step
         np.tanh(new, out=new)
-        step = new - states[t]
-        step *= gate[:, STATE:]
-        np.add(states[t], step, out=after[t])
-    return inputs, goes_on, states, after, gates, news, kepts
+        np.subtract(new, state, out=step)
+        step *= gate[1]
+        np.add(state, step, out=after[t])
+    return inputs, states, after, gates, news, kepts
 
 
 def _masses(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """exp(x) and its sums by row, up to a factor; ``x`` loses the logarithm of that factor."""
-    x -= x.max(initial=-1e30)  # every caller's x is its own
+    top = x.max(initial=-1e30)
+    if top > 40:  # exp stays finite below
+        x -= top  # every caller's x is its own
     mass = np.exp(x)
     sums = mass @ np.ones(x.shape[1], x.dtype)
     if not sums.min(initial=1) > 1e-30:  # rows far below the largest value
@@ -121,21 +129,30 @@ def _chosen_and_slope(x: np.ndarray, at: tuple) -> tuple[float, np.ndarray]:
     return total, mass
 
 
-def _by_class(shape: Shape, target: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def _by_class(shape: Shape, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+    """The order that brings targets of one class together; in it the classes, the places in them, and each class's run."""
     of = np.take(shape.of, target)
     order = np.argsort(of, kind="stable")  # radix sort, as classes are bytes
-    edges = np.searchsorted(of[order], np.arange(CLASSES + 1))
-    return [(c, order[edges[c] : edges[c + 1]]) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=CLASSES))]).tolist()
+    runs = [(c, slice(edges[c], edges[c + 1])) for c in range(CLASSES) if edges[c] < edges[c + 1]]
+    return order, of[order], np.take(shape.place, target[order]), runs
 
 
 def log_odds(model: dict, shape: Shape, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target after each state."""
-    out = _chosen(h @ model["classes"] + model["class_bias"], (np.arange(len(h)), shape.of[target])).astype(np.float64)
-    for c, rows in _by_class(shape, target):
-        members = shape.members[c]
-        if len(members) > 1:
-            logits = h[rows] @ model["words"][members].T + model["word_bias"][members]
-            out[rows] += _chosen(logits, (np.arange(len(rows)), shape.place[target[rows]]))
+    order, of, place, runs = _by_class(shape, target)
+    h, each = np.take(h, order, axis=0), np.arange(len(h))
+    logits = h @ model["classes"]
+    logits += model["class_bias"]
+    logs = _chosen(logits, (each, of)).astype(np.float64)
+    for c, rows in runs:
+        members = shape.run[c]
+        if len(shape.members[c]) > 1:
+            logits = h[rows] @ model["words"][members].T
+            logits += model["word_bias"][members]
+            logs[rows] += _chosen(logits, (each[: len(logits)], place[rows]))
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
@@ -178,7 +195,7 @@ def score(model: dict, shape: Shape, texts: list[np.ndarray]) -> np.ndarray:
     h, before = np.zeros((count, STATE), np.float32), np.full(count, END, np.int32)
     for word, owner, opens, live in _windows(texts, longest_first, count) if texts else ():
         n = word.shape[1]
-        after = _forward(model, word, opens, before[:n], h[:n])[3]
+        after = _forward(model, word, opens, before[:n], h[:n])[2]
         h, before = after[-1], word[-1]
         at = np.flatnonzero(live)
         logs = log_odds(model, shape, after.reshape(-1, STATE)[at], word.ravel()[at])
@@ -186,64 +203,93 @@ def score(model: dict, shape: Shape, texts: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _sum_rows(values: np.ndarray, rows: np.ndarray, count: int) -> np.ndarray:
-    out = np.zeros((count, *values.shape[1:]), np.float32)
-    order = np.argsort(rows.astype(np.uint16) if count < 1 << 16 else rows, kind="stable")  # radix sort where short
-    found, first = np.unique(rows[order], return_index=True)
-    if len(found):
-        out[found] = np.add.reduceat(values[order], first, axis=0)
-    return out
+def _sum_rows(parts: list[np.ndarray], rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, ascending, and for each part the sums of its values by them."""
+    order = np.argsort(rows.astype(np.uint16) if rows.max(initial=0) < 1 << 16 else rows, kind="stable")  # radix sort where short
+    rows = rows[order]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    return rows[first], np.stack([np.add.reduceat(np.take(p, order, axis=0), first, axis=0) for p in parts])
 
 
 def gradients(model: dict, shape: Shape, words: np.ndarray, opens: np.ndarray, before: np.ndarray, h: np.ndarray, mask: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Gradients of a window's log probability (words: steps x lanes), the state after it, and that log probability.
+    """Gradients of a window's log probability (words: steps x lanes), the state after it, and that log probability."""
+    out, (read, of_read), h, total = _gradients(model, shape, words, opens, before, h, mask)
+    out["input"] = np.zeros_like(model["input"])
+    out["input"][:, read] = of_read
+    return {k: out[k] for k in model}, h, total
+
+
+def _gradients(model: dict, shape: Shape, words: np.ndarray, opens: np.ndarray, before: np.ndarray, h: np.ndarray, mask: np.ndarray) -> tuple[dict, tuple, np.ndarray, float]:
+    """As ``gradients``, but those of ``input`` only for the words read, after these words.
 
-    What doesn't depend on the recurrence is done for all steps at once.
+    What doesn't depend on the recurrence is done for all steps at once, on places in order of their words' classes.
     """
     steps, lanes = words.shape
-    inputs, goes_on, states, after, gates, news, kepts = _forward(model, words, opens, before, h)
+    inputs, states, after, gates, news, kepts = _forward(model, words, opens, before, h)
     kind = after.dtype
-    live = np.flatnonzero(mask) if not mask.all() else slice(None)
-    at = after.reshape(-1, STATE)[live]
-    target = words.ravel()[live]
-    total, slope = _chosen_and_slope(at @ model["classes"] + model["class_bias"], (np.arange(len(at)), shape.of[target]))
-    out = {k: np.zeros_like(v) for k, v in model.items() if k in ("words", "word_bias")}
-    out["classes"], out["class_bias"] = at.T @ slope, slope.sum(axis=0)
+    live = np.flatnonzero(mask)
+    order, of, place, runs = _by_class(shape, words.ravel()[live])
+    live = live[order]
+    at, each, ones = np.take(after.reshape(-1, STATE), live, axis=0), np.arange(len(live)), np.ones(len(live), kind)
+    logits = at @ model["classes"]
+    logits += model["class_bias"]
+    total, slope = _chosen_and_slope(logits, (each, of))
+    out = {k: np.zeros_like(model[k]) for k in ("words", "word_bias")}
+    out["classes"], out["class_bias"] = at.T @ slope, ones @ slope
     back = slope @ model["classes"].T
-    for c, rows in _by_class(shape, target):
-        members = shape.members[c]
-        if len(members) > 1:
-            mine = at[rows]
-            logits = mine @ model["words"][members].T + model["word_bias"][members]
-            part, slope = _chosen_and_slope(logits, (np.arange(len(rows)), shape.place[target[rows]]))
+    for c, rows in runs:
+        members = shape.run[c]
+        if len(shape.members[c]) > 1:
+            mine, theirs = at[rows], model["words"][members]
+            logits = mine @ theirs.T
+            logits += model["word_bias"][members]
+            part, slope = _chosen_and_slope(logits, (each[: len(mine)], place[rows]))
             total += part
-            out["words"][members], out["word_bias"][members] = slope.T @ mine, slope.sum(axis=0)
-            back[rows] += slope @ model["words"][members]
+            out["words"][members], out["word_bias"][members] = slope.T @ mine, ones[rows] @ slope
+            back[rows] += slope @ theirs
     to_state = np.zeros((steps * lanes, STATE), kind)
     to_state[live] = back
     to_state = to_state.reshape(steps, lanes, STATE)
-    r, z = gates[..., :STATE], gates[..., STATE:]
-    of_new = z * (1 - news * news)
-    of_mix = (news - states) * z * (1 - z)
-    of_reset = kepts * r * (1 - r)
-    keep = 1 - z
-    slopes, inner = np.empty((steps, lanes, 3 * STATE), kind), np.empty((steps, lanes, 3 * STATE), kind)
-    carried, back_state = np.zeros((lanes, STATE), kind), np.ascontiguousarray(model["state"].T)
+    inner, of_new = np.empty((3, steps, lanes, STATE), kind), np.empty((steps, lanes, STATE), kind)
+    carried, through, keep, part = np.zeros((lanes, STATE), kind), np.empty((3, lanes, STATE), kind), np.empty((lanes, STATE), kind), np.empty((lanes, STATE), kind)
+    back_state = np.ascontiguousarray(model["state"].transpose(0, 2, 1))
     for t in range(steps - 1, -1, -1):
-        d = carried + to_state[t]
-        new, row = d * of_new[t], inner[t]
-        np.multiply(new, of_reset[t], out=row[:, :STATE])
-        np.multiply(d, of_mix[t], out=row[:, STATE : 2 * STATE])
-        np.multiply(new, r[t], out=row[:, 2 * STATE :])
-        slopes[t, :, 2 * STATE :] = new
-        carried = row @ back_state
-        d *= keep[t]
-        carried += d
-        carried *= goes_on[t]
-    slopes[..., : 2 * STATE] = inner[..., : 2 * STATE]
-    out["state"] = states.reshape(-1, STATE).T @ inner.reshape(-1, 3 * STATE)
-    out["input"] = _sum_rows(slopes.reshape(-1, 3 * STATE), inputs.ravel(), len(model["input"]))
-    return {k: out[k] for k in model}, after[-1], total
+        (r, z), new, slope = gates[:, t], news[t], of_new[t]
+        carried += to_state[t]
+        np.subtract(1, z, out=keep)
+        np.multiply(new, new, out=part)
+        np.subtract(1, part, out=part)
+        part *= z
+        np.multiply(carried, part, out=slope)
+        np.subtract(new, states[t], out=part)
+        part *= z
+        part *= keep
+        np.multiply(carried, part, out=inner[1, t])
+        np.multiply(slope, r, out=inner[2, t])
+        np.subtract(1, r, out=part)
+        part *= kepts[t]
+        np.multiply(part, inner[2, t], out=inner[0, t])
+        np.matmul(inner[:, t], back_state, out=through)
+        carried *= keep
+        for kept in through:
+            carried += kept
+        if opens[t].any():
+            carried[opens[t]] = 0
+    out["state"] = np.matmul(states.reshape(-1, STATE).T, inner.reshape(3, -1, STATE))
+    read = _sum_rows([p.reshape(-1, STATE) for p in (inner[0], inner[1], of_new)], inputs.ravel())
+    return out, read, after[-1], total
+
+
+def _climb(value: np.ndarray, past: np.ndarray, slope: np.ndarray, rate: float) -> None:
+    """One step of ``value`` along ``slope`` (lost), as long as its ``past`` steps let it be."""
+    slope *= 1 / WINDOW
+    np.clip(slope, -5, 5, out=slope)
+    size = slope * slope
+    past += size
+    np.sqrt(past, out=size)
+    slope *= rate
+    slope /= size
+    value += slope
 
 
 def train(model: dict, shape: Shape, texts: list[np.ndarray], epochs: int = 1) -> dict:
@@ -260,17 +306,14 @@ def train(model: dict, shape: Shape, texts: list[np.ndarray], epochs: int = 1) -
         h, before = np.zeros((count, STATE), np.float32), np.full(count, END, np.int32)
         for words, _, opens, mask in _windows(texts, random.permutation(len(texts)).tolist(), count):
             n = words.shape[1]
-            slopes, h, _ = gradients(model, shape, words, opens, before[:n], h[:n], mask)
+            slopes, (read, of_read), h, _ = _gradients(model, shape, words, opens, before[:n], h[:n], mask)
             before = words[-1]
             rate = LEARNING * (1 - seen / (epochs * size))
             seen += int(mask.sum())
             for k, g in slopes.items():
-                g *= 1 / WINDOW
-                np.clip(g, -5, 5, out=g)
-                size_of_step = g * g
-                past[k] += size_of_step
-                np.sqrt(past[k], out=size_of_step)
-                g *= rate
-                g /= size_of_step
-                model[k] += g
+                _climb(model[k], past[k], g, rate)
+            # Words that weren't read have no gradient and stay as they are.
+            value, steps = model["input"][:, read], past["input"][:, read]
+            _climb(value, steps, of_read, rate)
+            model["input"][:, read], past["input"][:, read] = value, steps
     return model

@@ -13,17 +13,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import as_bytes, cut, slices
+from .common import PIECE_BYTES, cut, slices, within
 
 #: Rows of crc32(doc_id) mod HELD_OUT_OF == HELD_OUT teach nothing.
 HELD_OUT_OF, HELD_OUT = 7, 2
@@ -33,16 +33,18 @@ TRAINER_TOKENS, ROUNDS = 2_000_000, 1
 BUCKETS = 64
 #: Distinct words that a task counts before it hands them on, and numbers of a model's block.
 FLUSH, BLOCK = 300_000, 4096
+#: Texts whose words are read together, if they take PIECE_BYTES at most.
+READ_ROWS = 2048
 #: Texts that are scored together.
 SCORED_ROWS = 4096
 END = b""  # no word is empty
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Lower-case words (A-Z only), then the end."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+def tokens(texts: pa.Array) -> pa.ListArray:
+    """Each text's lower-case words (A-Z only), then the end. Null counts as empty."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    # An empty word follows white space at a text's end, and is all that an empty text has.
+    return pc.ascii_split_whitespace(pc.binary_join_element_wise(texts, pc.if_else(pc.equal(texts, ""), "", " "), ""))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,20 +52,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter = Counter()
+    held, rows = [], 0
 
-    def out() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        seen.clear()
-        return batch
+    def merged() -> pa.Table:
+        return pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"]).combine_chunks()
 
-    for batch in slices(batches):
-        for text in as_bytes(batch.column(0)):
-            seen.update(tokens(text))
-        if len(seen) > FLUSH:
-            yield out()
-    if seen:
-        yield out()
+    for batch in within(batches, "text", READ_ROWS, PIECE_BYTES):
+        words, n = pc.value_counts(tokens(batch.column("text")).flatten()).flatten()
+        held.append(pa.RecordBatch.from_arrays([words.cast(pa.binary()), n], ["word", "n"]))
+        rows += len(n)
+        if rows > 2 * FLUSH:
+            held = merged().to_batches()
+            rows = sum(b.num_rows for b in held)
+            if rows > FLUSH:
+                yield from held
+                held, rows = [], 0
+    if held:
+        yield from merged().to_batches()
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -76,7 +81,7 @@ def count_words(docs: DataFrame) -> DataFrame:
 class Lexicon:
     """What executors need to know of the counts."""
 
-    hot: dict[bytes, int]  # word -> place in c
+    hot: pa.Array  # words, in the order of c
     c: np.ndarray
     shape: gru.Shape
     vocabulary: int
@@ -90,10 +95,9 @@ class Lexicon:
         """How the model's words are stored."""
         return np.dtype("<u2" if self.vocabulary < 60_000 else "<u4")
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def places(self, words: pa.Array) -> np.ndarray:
         """Places of hot words, -1 for others."""
-        get = self.hot.get
-        return np.array([get(w, -1) for w in words], np.int32)
+        return pc.index_in(words, value_set=self.hot).fill_null(-1).to_numpy(zero_copy_only=False)
 
     def model_words(self, places: np.ndarray) -> np.ndarray:
         return np.where((places >= 0) & (places < self.vocabulary), places + gru.END, gru.UNKNOWN).astype(np.int32)
@@ -118,7 +122,7 @@ def lexicon(counts: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) ->
     total, distinct = sums["total"] or 0, sums["distinct"]
     rare_total = total - int(known.sum())
     shape = gru.Shape(np.concatenate([[rare_total], known]))
-    return Lexicon({w: i for i, w in enumerate(words)}, c, shape, vocabulary, total, distinct, rare_total, max(0, distinct - int((known > 0).sum())))
+    return Lexicon(pa.array(words, pa.binary()), c, shape, vocabulary, total, distinct, rare_total, max(0, distinct - int((known > 0).sum())))
 
 
 def train(texts: DataFrame, lex: Lexicon) -> dict[str, np.ndarray]:
@@ -173,12 +177,9 @@ _NUMBERS = "row long, doc_id long, n_tokens long, known long, hot_sum double, un
 _READ_SQL = "row long, doc_id long, key long, teaches boolean, n_tokens long, known long, hot_sum double, unknown_sum double, n_unknown long, words binary, rare array<struct<word:binary,n:int>>"
 
 
-def _rare(held: list[Counter]) -> pa.Array:
-    """Each text's rare words with their counts."""
-    ends = np.concatenate([[0], np.cumsum([len(c) for c in held])]).astype(np.int32)
-    words = pa.array([w for c in held for w in c], pa.binary())
-    times = pa.array([n for c in held for n in c.values()], pa.int32())
-    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, times], ["word", "n"]))
+def _lists(lengths: np.ndarray) -> np.ndarray:
+    """Offsets of lists of these lengths."""
+    return np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
 
 
 def score(docs: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -194,18 +195,25 @@ def score(docs: DataFrame, hot: int = HOT, vocabulary: int = VOCABULARY) -> Data
     logs = np.log10(lex.c + 1.0)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            held, sums, stored = [], [], []
-            for text in as_bytes(batch.column(4)):
-                words = tokens(text)
-                places = lex.numbers(words)
-                found = places[places >= 0]
-                outside = found[found >= lex.vocabulary]
-                held.append(Counter([words[i] for i in np.flatnonzero(places < 0).tolist()]))
-                stored.append(lex.model_words(places).astype(lex.stored).tobytes())
-                sums.append((len(words), int((lex.c[found] > 0).sum()), float(logs[found].sum()), float(logs[outside].sum()), len(words) - len(found) + len(outside)))
-            columns = [pa.array(c, _READ.field(k).type) for k, c in enumerate(zip(*sums, strict=True), 4)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns, pa.array(stored, pa.binary()), _rare(held)], _READ.names)
+        for batch in within(batches, "text", READ_ROWS, PIECE_BYTES):
+            words = tokens(batch.column("text"))
+            lengths = pc.list_value_length(words).to_numpy()
+            coded = words.flatten().dictionary_encode()
+            distinct, codes = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            # What is known of each distinct word goes to all its places.
+            places = lex.places(distinct)
+            log, outside = np.where(places >= 0, logs[places], 0.0), (places < 0) | (places >= lex.vocabulary)
+            sums = [np.bincount(owner, of_word[codes], len(lengths)) for of_word in ((places >= 0) & (lex.c[places] > 0), log, np.where(outside, log, 0.0), outside)]
+            columns = [pa.array(c.astype(_READ.field(k).type.to_pandas_dtype())) for k, c in enumerate([lengths, *sums], 4)]
+            stored = lex.model_words(places).astype(lex.stored)[codes]
+            numbers = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(_lists(lengths.astype(np.int64) * stored.itemsize)), pa.py_buffer(stored)])
+            at = np.flatnonzero((places < 0)[codes])
+            pairs, times = np.unique(owner[at] * len(distinct) + codes[at], return_counts=True)
+            of, word = np.divmod(pairs, len(distinct))
+            rare = pa.StructArray.from_arrays([distinct.take(pa.array(word)), pa.array(times.astype(np.int32))], ["word", "n"])
+            rare = pa.ListArray.from_arrays(pa.array(_lists(np.bincount(of, minlength=len(lengths)))), rare)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *columns, numbers, rare], _READ.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, SCORED_ROWS):

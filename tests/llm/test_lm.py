@@ -1,8 +1,11 @@
 import math
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from tarnwell.llm import gru, lm
 
@@ -139,3 +142,72 @@ def test_a_trainer_holds_a_bounded_number_of_tokens(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert lm.score(table(spark, []).limit(0)).count() == 0
+
+
+def test_words_are_cut_at_ascii_white_space_only():
+    random = np.random.default_rng(6)
+    characters = [*" \t\n\x0b\x0c\r", "\x00", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "a", "B", "Z", "\u00c9"]
+    texts = ["".join(random.choice(characters, n)) for n in random.integers(0, 12, 2000)] + ["", "  ", None]
+    got = lm.tokens(pa.array(texts, pa.string())).cast(pa.list_(pa.binary())).to_pylist()
+    assert got == [[*(t or "").encode().lower().split(), b""] for t in texts]
+
+
+def test_counting_costs_less_than_a_loop_over_words():
+    texts = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).combine_chunks()
+    want: Counter = Counter()
+
+    def loop():
+        want.clear()
+        for text in texts["text"].to_pylist():
+            want.update([*(text or "").encode().lower().split(), b""])
+
+    def count():
+        got.clear()
+        for batch in lm._count(iter(texts.to_batches())):
+            for word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got[word] += n
+
+    def least(run):
+        found = []
+        for _ in range(2):
+            begin = time.process_time()
+            run()
+            found.append(time.process_time() - begin)
+        return min(found)
+
+    got: Counter = Counter()
+    count()
+    loop()
+    assert got == want
+    assert least(lambda: list(lm._count(iter(texts.to_batches())))) < 0.7 * least(loop)
+
+
+def test_counts_handed_on_in_parts_add_up(monkeypatch):
+    monkeypatch.setattr(lm, "FLUSH", 40)
+    monkeypatch.setattr(lm, "READ_ROWS", 3)
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(30)) for i in range(50)]
+    got: Counter = Counter()
+    parts = list(lm._count(iter(pa.table({"text": texts}).to_batches())))
+    for batch in parts:
+        for word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            got[word] += n
+    assert len(parts) > 1 and got == Counter(w for t in texts for w in [*t.encode().split(), b""])
+
+
+def test_training_steps_are_those_of_whole_gradients():
+    model, shape = small()
+    random = np.random.default_rng(12)
+    texts = [np.append(random.integers(2, 40, n), 1).astype(np.uint16) for n in (300, 40, 7, 90, 0)]
+    got = gru.train(model, shape, texts)
+    want, past = {k: v.copy() for k, v in model.items()}, {k: np.full_like(v, 1e-2) for k, v in model.items()}
+    size, seen, h, before = sum(map(len, texts)), 0, np.zeros((1, gru.STATE), np.float32), np.full(1, gru.END)
+    order = np.random.default_rng(gru.SEED).permutation(len(texts)).tolist()
+    for words, _, opens, mask in gru._windows(texts, order, 1):
+        slopes, h, _ = gru.gradients(want, shape, words, opens, before, h, mask)
+        before, rate = words[-1], gru.LEARNING * (1 - seen / size)
+        seen += int(mask.sum())
+        for k, g in slopes.items():
+            g = np.clip(g / gru.WINDOW, -5, 5)
+            past[k] += g * g
+            want[k] += rate * g / np.sqrt(past[k])
+    assert all(np.allclose(got[k], want[k], atol=1e-4) for k in want) and not np.allclose(got["input"], model["input"], atol=1e-2)
